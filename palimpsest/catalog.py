@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = []
+MODULES = ["scans", "relating", "ordering", "graphing"]
 
 
 def queries() -> dict:
