@@ -7,7 +7,8 @@ vectors on either side of the place, whatever prefix length that takes, so dense
 short ones. The arrays are range-split, streamed in blocks and scored with one matrix product per block; nothing depends on how
 many vectors share a prefix, so a hot prefix costs what any other stretch of the array costs.
 
-Exact copies are searched once, as one representative, and expanded at the end.
+Vectors are known by a hash of their content: copies in a batch are planted once, copies that meet in an array count once, and the
+answers are expanded to all copies at the end from a table of ids that holds no vectors. Only the trees move vectors.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import materialize, partitions
 
-TREES = 6
-REACH = 1024
+TREES = 4
+REACH = 2048
 #: Signs in a hash; an array of n vectors needs about log2(n / REACH) of them to separate neighbourhoods, the rest break ties.
 BITS = 62
 BLOCK = 1024
+#: Rows in a stretch of a sorted array: bounds what a task reads.
+ROWS_PER_STRETCH = 40_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,17 +61,33 @@ def _unit(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.n
         yield rows, np.stack([data[a : a + size] for a in start[rows]]).view(np.float32)
 
 
+def _scaled(batch: pa.RecordBatch) -> list[bytes]:
+    """Unit vectors as packed float32; scaled copies of a vector become equal where rounding allows."""
+    vectors = batch.column("vector")
+    ends = vectors.offsets.to_numpy()
+    flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32)
+    out = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        v = flat[a:b].astype(np.float64)
+        v /= np.abs(v).max()  # far from overflow before the norm
+        out.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
+    return out
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = batch.column("vector")
-        ends = vectors.offsets.to_numpy()
-        flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32)
-        out = []
-        for a, b in zip(ends[:-1], ends[1:]):
-            v = flat[a:b].astype(np.float64)
-            v /= np.abs(v).max()  # far from overflow before the norm
-            out.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("model"), pa.array(out, pa.binary())], ["vec_id", "model", "unit"])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("model"), pa.array(_scaled(batch), pa.binary())], ["vec_id", "model", "unit"])
+
+
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids with the content hash of their vector, without the vector."""
+    for batch in batches:
+        names = [_copy(m, u) for m, u in zip(batch.column("model").to_pylist(), _scaled(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.int64())], ["vec_id", "copy"])
+
+
+def _copy(model: str, unit: bytes) -> int:
+    return xxhash.xxh64_intdigest(unit, seed=xxhash.xxh32_intdigest(model)) - (1 << 63)
 
 
 def _plant(trees: int, seed: int):
@@ -76,13 +96,17 @@ def _plant(trees: int, seed: int):
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for batch in batches:
+            units, models = _scaled(batch), batch.column("model").to_pylist()
+            names = np.array([_copy(m, u) for m, u in zip(models, units)], np.int64)
+            _, first = np.unique(names, return_index=True)
+            first.sort()
+            some = pa.RecordBatch.from_arrays([pa.array([units[k] for k in first], pa.binary())], ["unit"])
+            rest = [pa.array([models[k] for k in first]), pa.array(names[first])]
             for tree in range(trees):
-                code = np.zeros(batch.num_rows, np.int64)
-                for rows, x in _unit(batch, "unit"):
+                code = np.zeros(len(first), np.int64)
+                for rows, x in _unit(some, "unit"):
                     code[rows] = ((x @ planes(tree, x.shape[1], seed)) >= 0).astype(np.int64) @ weights
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, tree, np.int32)), batch.column("model"), pa.array(code), batch.column("vec_id"), batch.column("unit")], ["tree", "model", "code", "vec_id", "unit"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), tree, np.int32)), rest[0], pa.array(code), rest[1], some.column(0)], ["tree", "model", "code", "copy", "unit"])
 
     return plant
 
@@ -122,15 +146,19 @@ def _climb(reach: int, k: int, least: float):
             while done < len(held_ids) and (final or len(held_ids) - done >= BLOCK + reach):
                 high = min(done + BLOCK, len(held_ids))
                 a, b, s = _best(held_ids, held_x, done, high, reach, k, least)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["vec_id", "other", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["asks", "found", "similarity"])
                 done = high
             drop = max(0, done - reach)
             held_ids, held_x, done = held_ids[drop:], held_x[drop:], done - drop
 
         for batch in batches:
             trees, models = batch.column("tree").to_numpy(), np.array(batch.column("model").to_pylist(), object)
-            ids = batch.column("vec_id").to_numpy()
+            ids = batch.column("copy").to_numpy()
             for rows, x in _unit(batch, "unit"):
+                # Copies of a vector have one code and stand side by side.
+                fresh = np.concatenate([[True], (ids[rows][1:] != ids[rows][:-1]) | (trees[rows][1:] != trees[rows][:-1])])
+                fresh[0] = held_x is None or not len(held_ids) or held_ids[-1] != ids[rows[0]] or key[0] != trees[rows[0]]
+                rows, x = rows[fresh], x[fresh]
                 new = np.flatnonzero(np.concatenate([[True], (trees[rows][1:] != trees[rows][:-1]) | (models[rows][1:] != models[rows][:-1])]))
                 for a, b in zip(new, [*new[1:], len(rows)]):
                     now = (trees[rows[a]], models[rows[a]], x.shape[1])
@@ -157,37 +185,27 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     forest's recall (see the README), which rises with ``trees`` and ``reach``.
     """
     spark = vectors.sparkSession
-    good = usable(vectors).mapInArrow(_pack, "vec_id long, model string, unit binary")
-    # Copies of a vector meet in one hash partition, and a redelivered row has the same vector, so one shuffle serves both.
-    width = partitions(spark)
-    alike = good.withColumn("copy", F.xxhash64("model", "unit")).repartition(width, "copy").dropDuplicates(["copy", "vec_id"])
-    ranked = alike.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id")))
-    stored = materialize(ranked.select("vec_id", "model", "copy", "n", F.when(F.col("n") == 1, F.col("unit")).alias("unit")))
-    single = stored.where("n = 1").select("vec_id", "model", "unit")
-    forest = single.mapInArrow(_plant(trees, seed), "tree int, model string, code long, vec_id long, unit binary")
-    rows_per_part = 40_000
-    split = max(width, min(20 * width, -(-stored.where("n = 1").count() * trees // rows_per_part)))
-    # The leading signs name a stretch of the array; stretches are spread by hash and sorted inside.
-    held = forest.repartitionByRange(split, "tree", "model", "code", "vec_id").sortWithinPartitions("tree", "model", "code", "vec_id")
-    offered = held.mapInArrow(_climb(reach, k, least), "vec_id long, other long, similarity double")
-    merged = offered.groupBy("vec_id", "other").agg(F.max("similarity").alias("similarity"))
-    best = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other")
-    found = merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    heads = stored.where(F.col("n") <= k + 1)
-    copied = heads.where("n = 2").select("copy").distinct()
-    if copied.isEmpty():
-        return found.select("vec_id", "other", "similarity", "place")
-    found = materialize(found.select("vec_id", "other", "similarity"))
-    # Each representative's answer, with the copies of the answers and its own: at most (k + 1) squared rows each.
-    first = heads.where("n = 1").select("copy", F.col("vec_id").alias("rep"))
-    members = heads.join(first, "copy").select("rep", F.col("vec_id").alias("member"))
-    outer = found.join(members, found.other == members.rep).select(found.vec_id.alias("asks"), F.col("member").alias("other"), "similarity")
-    own = heads.join(first, "copy").join(copied, "copy").select(F.col("rep").alias("asks"), F.col("vec_id").alias("other"), F.lit(1.0).alias("similarity"))
-    pool = outer.union(own).withColumn("place", F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("similarity"), "other"))).where(F.col("place") <= k + 1)
-    every = stored.join(first, "copy").select("vec_id", "rep")
+    good = usable(vectors)
+    # Ids without vectors: the first k + 1 of each group of copies, and all members.
+    named = materialize(good.mapInArrow(_name, "vec_id long, copy long").distinct())
+    heads = named.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    forest = good.mapInArrow(_plant(trees, seed), "tree int, model string, code long, copy long, unit binary")
+    split = max(partitions(spark), -(-named.count() * trees // ROWS_PER_STRETCH))
+    # Range partitions are stretches of the sorted arrays; the salt lets a stretch of copies be cut, too.
+    held = forest.withColumn("salt", F.spark_partition_id()).repartitionByRange(split, "tree", "model", "code", "copy", "salt")
+    held = held.sortWithinPartitions("tree", "model", "code", "copy").drop("salt")
+    offered = held.mapInArrow(_climb(reach, k, least), "asks long, found long, similarity double")
+    merged = offered.where("asks <> found").groupBy("asks", "found").agg(F.max("similarity").alias("similarity"))
+    near = merged.join(heads.where("n = 1").select(F.col("copy").alias("found"), F.col("vec_id").alias("first")), "found")
+    listed = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("similarity"), "first"))
+    near = materialize(near.withColumn("place", listed).where(F.col("place") <= k).select("asks", "found", "similarity"))
+    # Each group's answer: the heads of the groups it found and its own; at most (k + 1) squared rows.
+    own = heads.join(heads.where("n = 2").select("copy"), "copy", "left_semi").select(F.col("copy").alias("asks"), F.col("vec_id").alias("other"), F.lit(1.0).alias("similarity"))
+    outer = near.join(heads.select(F.col("copy").alias("found"), F.col("vec_id").alias("other")), "found").select("asks", "other", "similarity")
+    pool = outer.union(own).withColumn("p", F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("similarity"), "other"))).where(F.col("p") <= k + 1)
     mine = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other")
-    answers = every.join(pool, every.rep == pool.asks).where("vec_id <> other").select("vec_id", "other", "similarity").withColumn("place", F.row_number().over(mine))
-    return answers.where(F.col("place") <= k)
+    answers = named.join(pool, named.copy == pool.asks).where("vec_id <> other").select("vec_id", "other", "similarity")
+    return answers.withColumn("place", F.row_number().over(mine)).where(F.col("place") <= k)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.75, **forest) -> DataFrame:
