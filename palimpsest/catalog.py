@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "relating", "ordering", "graphing", "retrieving"]
+MODULES = ["scans", "relating", "ordering", "graphing", "retrieving", "storing"]
 
 
 def queries() -> dict:
