@@ -28,12 +28,14 @@ from palimpsest.operators.components import connected_components
 from palimpsest.runtime import materialize, partitions
 
 #: Ratio between the largest and the smallest set of a size band.
-BAND = 1.4
+BAND = 2.0
 #: Segments per element of the band's largest set.
-SEGMENTS = 0.4
+SEGMENTS = 0.5
 #: Sets on which signature costs are fitted, and cells of the cost table.
 COST_SAMPLE = 20_000
 COST_CELLS = 1 << 20
+#: What a signature costs to send, in candidate pairs.
+ENTRY_COST = 0.3
 #: Expected entries of one signature beyond which it is salted, and signatures per reducer.
 SALT_AT = 1_000_000
 ENTRIES_PER_REDUCER = 6_000_000
@@ -214,8 +216,8 @@ def _probe_entries(plan: Plan, codes: np.ndarray, offsets: np.ndarray, costs: Co
         total, cell, without = _subsets(part, owner, n, band, m)
         segment = np.tile(np.arange(m), n)
         whole, thinner, dropped = _signature(total.ravel(), segment, band, 0), _signature(total.ravel(), segment, band, 1), _signature(without, cell % m, band, 0)
-        one = costs.of(whole) + np.float32(0.01)
-        two = one + costs.of(thinner) + np.float32(0.02) + np.bincount(cell, weights=costs.of(dropped) + 0.01, minlength=n * m).astype(np.float32)
+        one = costs.of(whole) + np.float32(ENTRY_COST)
+        two = one + costs.of(thinner) + np.float32(ENTRY_COST) + np.bincount(cell, weights=costs.of(dropped) + ENTRY_COST, minlength=n * m).astype(np.float32)
         units = plan.units(sizes[rows], band)
         given = np.zeros(n * m, np.int8)
         step = max(1, 30_000_000 // (m * (int(units.max()) + 1)))
@@ -228,7 +230,7 @@ def _probe_entries(plan: Plan, codes: np.ndarray, offsets: np.ndarray, costs: Co
 
 
 def _spread(signatures: np.ndarray, rows: np.ndarray, ids: np.ndarray, costs: Costs, reducers: int, probing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(reducer, 32-bit signature, row); a frequent signature has several shares: an entry goes to one of them, a probe to all."""
+    """(reducer, 24 bits of the signature, row); within a reducer chance matches are few and the sketches drop them. A frequent signature has several shares: an entry goes to one of them, a probe to all."""
     shares = 1 + (costs.of(signatures) * costs.scale / SALT_AT).astype(np.int64)
     if probing:
         again = np.repeat(np.arange(len(signatures)), shares)
@@ -237,26 +239,30 @@ def _spread(signatures: np.ndarray, rows: np.ndarray, ids: np.ndarray, costs: Co
     else:
         share = (_mix(ids[rows].view(np.uint64), 11) >> np.uint64(1)).astype(np.int64) % shares
     place = _mix(signatures + share.astype(np.uint64), 13)
-    return (place >> np.uint64(33)).astype(np.int64) % reducers, (signatures >> np.uint64(16)).astype(np.uint32), rows
+    return (place >> np.uint64(33)).astype(np.int64) % reducers, ((signatures >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.uint32), rows
 
 
-def _block(ids, sizes, sketch, where, signature, rows, probe_where, probe_signature, probe_rows, reducer) -> bytes | None:
-    mine, asks = where == reducer, probe_where == reducer
-    if not mine.any() and not asks.any():
-        return None
-    used = np.union1d(rows[mine], probe_rows[asks])
-    place = lambda r: np.searchsorted(used, r).astype(np.uint16)
-    parts = [ids[used], sizes[used].astype(np.int32), sketch[used], signature[mine], place(rows[mine]), probe_signature[asks], place(probe_rows[asks])]
-    return np.array([len(used), mine.sum(), asks.sum()], np.int64).tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+def _block(ids, sizes, sketch, signature, rows, probe_signature, probe_rows) -> bytes:
+    """Entries stand in the order of their sets, so a count per set says whose they are."""
+    mine, asks = np.bincount(rows, minlength=len(ids)), np.bincount(probe_rows, minlength=len(ids))
+    used = (mine > 0) | (asks > 0)
+    wide = 1 if max(mine.max(), asks.max()) < 256 else 4
+    counts = [x[used].astype(np.uint8 if wide == 1 else np.uint32) for x in (mine, asks)]
+    halves = lambda x: [(x >> np.uint32(8)).astype(np.uint16), x.astype(np.uint8)]
+    parts = [ids[used], sizes[used].astype(np.int32), sketch[used], *counts, *halves(signature), *halves(probe_signature)]
+    return np.array([int(used.sum()), len(rows), len(probe_rows), wide], np.int64).tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
 
 def _unblock(raw: bytes) -> list[np.ndarray]:
-    n, e, p = np.frombuffer(raw, np.int64, 3)
-    out, at = [], 24
-    for kind, count in ((np.int64, n), (np.int32, n), (np.uint64, 4 * n), (np.uint32, e), (np.uint16, e), (np.uint32, p), (np.uint16, p)):
-        out.append(np.frombuffer(raw, kind, count, at))
+    """(ids, sizes, sketches, entry signatures, their sets, probe signatures, their sets)"""
+    n, e, p, wide = np.frombuffer(raw, np.int64, 4)
+    count = np.uint8 if wide == 1 else np.uint32
+    out, at = [], 32
+    for kind, size in ((np.int64, n), (np.int32, n), (np.uint64, 4 * n), (count, n), (count, n), (np.uint16, e), (np.uint8, e), (np.uint16, p), (np.uint8, p)):
+        out.append(np.frombuffer(raw, kind, size, at))
         at += out[-1].nbytes
-    return out
+    join = lambda high, low: (high.astype(np.uint32) << np.uint32(8)) | low
+    return [*out[:3], join(out[5], out[6]), np.repeat(np.arange(n), out[3]), join(out[7], out[8]), np.repeat(np.arange(n), out[4])]
 
 
 def _sender(plan: Plan, width: int, costs: Costs, reducers: int):
@@ -269,8 +275,7 @@ def _sender(plan: Plan, width: int, costs: Costs, reducers: int):
             sketch = _sketch(codes, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
             index = _spread(*_index_entries(plan, codes, offsets), number, costs, reducers, False)
             probe = _spread(*_probe_entries(plan, codes, offsets, costs), number, costs, reducers, True)
-            made = [(r, b) for r in range(reducers) if (b := _block(number, sizes, sketch, *index, *probe, r))] if reducers < 64 else _many_blocks(number, sizes, sketch, index, probe)
-            for r, b in made:
+            for r, b in _blocks(number, sizes, sketch, index, probe):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.binary())], ["reducer", "block"])
 
         for batch in batches:
@@ -285,14 +290,20 @@ def _sender(plan: Plan, width: int, costs: Costs, reducers: int):
     return send
 
 
-def _many_blocks(ids, sizes, sketch, index, probe) -> Iterator[tuple[int, bytes]]:
-    """As :func:`_block` for each reducer, for many reducers: entries are grouped by one sort."""
-    i, p = np.argsort(index[0], kind="stable"), np.argsort(probe[0], kind="stable")
-    index, probe = [x[i] for x in index], [x[p] for x in probe]
+def _blocks(ids, sizes, sketch, index, probe) -> Iterator[tuple[int, bytes]]:
+    """(reducer, block) for each reducer that gets anything: entries are sorted (by radix) by reducer and set."""
+    small = lambda w: w.astype(np.uint16) if not len(w) or w.max() < 65_536 else w
+
+    def grouped(entries):
+        order = np.argsort(small(entries[2]), kind="stable")
+        order = order[np.argsort(small(entries[0][order]), kind="stable")]
+        return [x[order] for x in entries]
+
+    index, probe = grouped(index), grouped(probe)
     for r in np.union1d(index[0], probe[0]):
         a, b = np.searchsorted(index[0], [r, r + 1])
         c, d = np.searchsorted(probe[0], [r, r + 1])
-        yield int(r), _block(ids, sizes, sketch, *(x[a:b] for x in index), *(x[c:d] for x in probe), r)
+        yield int(r), _block(ids, sizes, sketch, index[1][a:b], index[2][a:b], probe[1][c:d], probe[2][c:d])
 
 
 def _matcher(plan: Plan):
@@ -307,9 +318,9 @@ def _matcher(plan: Plan):
         entry_row = np.concatenate([b[4] + base[k] for k, b in enumerate(blocks)]).astype(np.int32)
         probe_row = np.concatenate([b[6] + base[k] for k, b in enumerate(blocks)]).astype(np.int32)
         del blocks
-        order = np.argsort(entry, kind="stable")
+        order = np.argsort(entry)
         entry, entry_row = entry[order], entry_row[order]
-        order = np.argsort(probe, kind="stable")
+        order = np.argsort(probe)
         probe, probe_row = probe[order], probe_row[order]
         first, counts = np.searchsorted(entry, probe), np.searchsorted(entry, probe, side="right")
         counts -= first
@@ -374,13 +385,9 @@ def representatives(records: DataFrame, key: str, text: str, least_words: int) -
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     read = records.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") >= least_words)
-    read = read.select("id", F.array_join("w", " ").alias("words"))
-    read = read.withColumn("gid", F.xxhash64("words"))
-    # One shuffle on the wording's hash serves both: copies of a wording meet, and so do redelivered rows of a record.
-    width = partitions(records.sparkSession)
-    once = read.repartition(width, "gid", F.pmod(F.xxhash64("id"), F.lit(8))).dropDuplicates(["gid", "id"])
-    stored = materialize(once)
-    return stored.select("id", "gid"), stored.select("gid", "words").dropDuplicates(["gid"])
+    stored = materialize(read.select("id", F.array_join("w", " ").alias("words")).withColumn("gid", F.xxhash64("words")))
+    # Copies of a wording are folded before the shuffle, so a hot wording travels once per task.
+    return stored.select("id", "gid").distinct(), stored.groupBy("gid").agg(F.first("words").alias("words"))
 
 
 def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -404,12 +411,15 @@ def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     costs = Costs(cells, number / max(1, len(sample)))
     # About three signatures per shingle and set.
     entries = number * 3 * max(1, len(codes) // max(1, len(sample)))
-    reducers = max(partitions(spark), -(-entries // ENTRIES_PER_REDUCER))
+    reducers = max(min(partitions(spark), 6), -(-entries // ENTRIES_PER_REDUCER))
     blocks = texts.select("gid", "words").mapInArrow(_sender(plan, shingle, costs, reducers), "reducer int, block binary")
     near = blocks.repartitionById(reducers, F.col("reducer")).mapInArrow(_matcher(plan), "a long, b long").distinct()
-    one = texts.select(F.col("gid").alias("a"), F.col("words").alias("words_a"))
-    two = texts.select(F.col("gid").alias("b"), F.col("words").alias("words_b"))
     near = materialize(near)
+    # Only the texts in a surviving pair are moved for the exact check.
+    involved = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
+    asked = materialize(texts.join(involved, "gid", "left_semi"))
+    one = asked.select(F.col("gid").alias("a"), F.col("words").alias("words_a"))
+    two = asked.select(F.col("gid").alias("b"), F.col("words").alias("words_b"))
     return near.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b").mapInPandas(_verifier(shingle, least), "a long, b long, similarity double")
 
 
