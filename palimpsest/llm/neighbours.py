@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.runtime import materialize, partitions
+from palimpsest.runtime import materialize
 
 TREES = 4
 REACH = 2048
 #: Signs in a hash; an array of n vectors needs about log2(n / REACH) of them to separate neighbourhoods, the rest break ties.
 BITS = 62
 BLOCK = 1024
-#: Rows in a stretch of a sorted array: bounds what a task reads.
+#: Rows in a stretch of a sorted array: bounds what a task reads. Neighbours across the end of a stretch are left to the other trees.
 ROWS_PER_STRETCH = 40_000
 
 
@@ -184,13 +184,12 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     counts once; a model with one vector gives nothing. Similarities are exact; which neighbours are found is subject to the
     forest's recall (see the README), which rises with ``trees`` and ``reach``.
     """
-    spark = vectors.sparkSession
     good = usable(vectors)
     # Ids without vectors: the first k + 1 of each group of copies, and all members.
     named = materialize(good.mapInArrow(_name, "vec_id long, copy long").distinct())
     heads = named.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     forest = good.mapInArrow(_plant(trees, seed), "tree int, model string, code long, copy long, unit binary")
-    split = max(partitions(spark), -(-named.count() * trees // ROWS_PER_STRETCH))
+    split = max(1, -(-named.count() * trees // ROWS_PER_STRETCH))
     # Range partitions are stretches of the sorted arrays; the salt lets a stretch of copies be cut, too.
     held = forest.withColumn("salt", F.spark_partition_id()).repartitionByRange(split, "tree", "model", "code", "copy", "salt")
     held = held.sortWithinPartitions("tree", "model", "code", "copy").drop("salt")
