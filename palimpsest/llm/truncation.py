@@ -198,7 +198,7 @@ def source_limits(histogram: pd.DataFrame) -> pd.DataFrame:
             k = int(np.searchsorted(lengths, x))
             out.append((unit, x, float(np.clip(1 - usual[k] / counts[k], 0.02, 0.98))))
         # Cuts at a word boundary end anywhere in the last BOUNDARY characters below a limit: look for crowded windows.
-        dense = np.zeros(int(lengths.max()) + 2)
+        dense = np.zeros(max(int(lengths.max()), 12 * BOUNDARY) + 2)  # never shorter than a kernel
         dense[lengths] = counts
         dense[[x for x in limits]] = 0
         window = np.convolve(dense, np.ones(BOUNDARY))[: len(dense)]
