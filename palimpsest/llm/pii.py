@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 KINDS = ["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME"]
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, OVERLAP = 384, 96
-LANES = 512
+WINDOW, OVERLAP = 640, 96
+LANES = 256
 MODEL = Path(__file__).with_name("pii_model.npz")
 
 _SIGNS = "\n !\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~"
@@ -44,23 +44,29 @@ def encode(text: str) -> np.ndarray:
 
 
 def lstm(symbols: np.ndarray, table: np.ndarray, recurrent: np.ndarray) -> np.ndarray:
-    """Hidden states (time, H, lanes) of one direction. ``table``: input part of the gates per symbol; gates i, f, o are piecewise linear."""
+    """Hidden states (time, H, lanes) of one direction. ``table``: input part of the gates per symbol; gates i, f, o are piecewise
+    linear, their slope and offset folded into the weights."""
     steps, lanes = symbols.shape
     size = recurrent.shape[1]
+    slope = np.repeat(np.array([0.25, 1.0], np.float32), [3 * size, size])
+    inputs = np.ascontiguousarray((table * slope + np.repeat(np.array([0.5, 0.0], np.float32), [3 * size, size])).T)
+    recurrent = recurrent * slope[:, None]
+    places = symbols.astype(np.intp)
     out = np.empty((steps, size, lanes), np.float32)
     h, c = np.zeros((size, lanes), np.float32), np.zeros((size, lanes), np.float32)
+    z = np.empty((4 * size, lanes), np.float32)
+    s, g = z[: 3 * size], z[3 * size :]
+    i, f, o = s[:size], s[size : 2 * size], s[2 * size :]
     for t in range(steps):
-        z = recurrent @ h
-        z += table[symbols[t]].T
-        s, g = z[: 3 * size], np.tanh(z[3 * size :])
-        s *= 0.25
-        s += 0.5
-        np.maximum(s, 0, out=s)
-        np.minimum(s, 1, out=s)
-        c *= s[size : 2 * size]
-        g *= s[:size]
+        np.matmul(recurrent, h, out=z)
+        z += inputs[:, places[t]]
+        np.clip(s, 0, 1, out=s)
+        np.tanh(g, out=g)
+        c *= f
+        g *= i
         c += g
-        h = np.multiply(s[2 * size :], np.tanh(c), out=out[t])
+        h = np.tanh(c, out=out[t])
+        h *= o
     return out
 
 
@@ -87,20 +93,23 @@ def may_hold(model: dict[str, np.ndarray], scores: np.ndarray, symbols: np.ndarr
 
 
 def viterbi(model: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
-    """Best tags (time, lanes)."""
-    step = model["trans"].T[:, :, None]  # to, from
-    total = scores[0] + model["start"][:, None]
-    back = np.empty((len(scores), TAGS, scores.shape[2]), np.int8)
+    """Best tags (time, lanes). Only the best totals are kept on the way; the way back picks the one predecessor that it needs."""
+    step = model["trans"]
+    totals = np.empty_like(scores)
+    totals[0] = scores[0] + model["start"][:, None]
+    way = np.empty((TAGS, scores.shape[2]), np.float32)
     for t in range(1, len(scores)):
-        every = step + total[None]
-        pick = every.argmax(axis=1)
-        back[t] = pick
-        total = np.take_along_axis(every, pick[:, None], 1)[:, 0] + scores[t]
+        before, best = totals[t - 1], totals[t]
+        np.add(before[0], step[0][:, None], out=best)
+        for k in range(1, TAGS):
+            np.add(before[k], step[k][:, None], out=way)
+            np.maximum(best, way, out=best)
+        best += scores[t]
     tags = np.empty((len(scores), scores.shape[2]), np.int8)
-    tags[-1] = total.argmax(axis=0)
-    lanes = np.arange(scores.shape[2])
+    tags[-1] = totals[-1].argmax(axis=0)
+    into = np.ascontiguousarray(step.T)
     for t in range(len(scores) - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t], lanes]
+        tags[t - 1] = (into[tags[t]].T + totals[t - 1]).argmax(axis=0)
     return tags
 
 
