@@ -70,12 +70,11 @@ def covering_cells(lat: float, lon: float, radius_metres: float) -> list[str]:
     d_lat, d_lon = 180.0 / (1 << bits // 2), 360.0 / (1 << (bits + 1) // 2)
     reach_lat = radius_metres / (math.pi * EARTH_RADIUS / 180)
     reach_lon = min(180.0, reach_lat / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + reach_lat)))))
-    cells = set()
-    steps_lat, steps_lon = int(reach_lat / d_lat) + 1, int(reach_lon / d_lon) + 1
-    for i in range(-steps_lat, steps_lat + 1):
-        for j in range(-steps_lon, steps_lon + 1):
-            cells.add(_encode(max(-90.0, min(90.0, lat + i * d_lat)), (lon + j * d_lon + 180.0) % 360.0 - 180.0, precision))
-    return sorted(cells)
+    rows = range(math.floor((lat - reach_lat + 90.0) / d_lat - 1e-6), math.floor((lat + reach_lat + 90.0) / d_lat + 1e-6) + 1)
+    columns = range(math.floor((lon - reach_lon + 180.0) / d_lon - 1e-6), math.floor((lon + reach_lon + 180.0) / d_lon + 1e-6) + 1)
+    across = 1 << (bits + 1) // 2
+    down = range(max(0, rows[0]), min((1 << bits // 2) - 1, rows[-1]) + 1)
+    return sorted({_encode((y + 0.5) * d_lat - 90.0, (x % across + 0.5) * d_lon - 180.0, precision) for y in down for x in columns})
 
 
 def _encode(lat: float, lon: float, precision: int) -> str:
