@@ -198,7 +198,7 @@ def acl_readable(spark, folder):
     return fl.readable(m, grants, TENANT).groupBy("user_id").agg(F.count("*").alias("readable"))
 
 
-@_reg.add(_M + f"SELECT id, true AS has_more FROM (SELECT id FROM m WHERE user_id = '{HOT_TENANT}' ORDER BY importance DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 10 OFFSET 20)")
+@_reg.add(_M + f"SELECT id, (SELECT count(*) > 30 FROM m WHERE user_id = '{HOT_TENANT}') AS has_more FROM (SELECT id FROM m WHERE user_id = '{HOT_TENANT}' ORDER BY importance DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 10 OFFSET 20)")
 def page_offset(spark, folder):
     order = [F.desc_nulls_last("importance"), F.desc_nulls_last("created_at"), F.asc("id")]
     return fl.page(memories(spark, folder).where(F.col("user_id") == HOT_TENANT).select("id", "importance", "created_at"), order, 20, 10).select("id", "has_more")
