@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "relating", "ordering", "graphing", "retrieving", "storing"]
+MODULES = ["scans", "relating", "ordering", "graphing", "retrieving", "ranking", "storing"]
 
 
 def queries() -> dict:
