@@ -197,3 +197,28 @@ def test_stream_and_batch_agree(spark):
 def test_relative_dates_and_ordinals(spark):
     df = spark.createDataFrame([("what did we say in the second session?",), ("the 12th meeting",), ("none",), (None,)], "t string")
     assert [r.o for r in df.select(strings.ordinal_reference(F.col("t")).alias("o")).collect()] == [2, 12, None, None]
+
+
+def test_query_analysis():
+    from palimpsest.functions import querying as q
+
+    a = q.analyse("stale map tiles without the useful robot restarting")
+    assert ("map", "tiles") in a.phrases and "robot" in a.negated and "useful" in a.modifiers and "restarting" in a.relations
+    assert a.weights()["map"] == 2.3 and "robot" not in a.weights()
+    assert q.kind_of("When did the robot stop?") == "temporal" and q.kind_of("robots in docks") == "exploratory" and q.kind_of("What is the name of the dock?") == "attribute"
+    assert q.decompose("Who moved it and when did it fall?") == ["Who moved it", "when did it fall"] and q.decompose("one thing") == ["one thing"] and q.decompose("") == [""]
+    assert q.channel_weights(0.9) == (0.75, 0.25) and abs(sum(q.channel_weights(0.1, (0.8, 0.2), 5)) - 1) < 1e-12 and q.learned_weights((0.5, 0.5), True)[0] > 0.5
+
+
+def test_competition_and_persistence():
+    import numpy as np
+    import pandas as pd
+
+    from palimpsest.operators import ranking as rk
+
+    c = pd.DataFrame({"id": [1, 2, 3], "vector": [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]], "strength": [0.5, 0.9, 0.1]})
+    assert rk.compete(c)["id"].tolist() == [2, 3]
+    assert np.allclose(rk.persistence(np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])), [0.0, 1.0])
+    x = np.random.default_rng(1).standard_normal((40, 5))
+    turn = np.linalg.qr(np.random.default_rng(2).standard_normal((5, 5)))[0]
+    assert np.allclose(rk.aligned(x, x @ turn), turn)
