@@ -123,8 +123,8 @@ k AS (SELECT from_entity AS e FROM x WHERE NOT prune UNION SELECT to_entity FROM
 def graph_decay_sweep(spark, folder):
     x = edges(spark, folder).withColumn("prune", F.coalesce(sc.edge_prunable(_hours(), F.col("tier"), F.col("ltp_status")), F.lit(False)))
     kept = x.where("not prune").select(F.explode(F.array("from_entity", "to_entity")).alias("uuid")).distinct()
-    orphans = table(spark, folder, "graph_entities").select("uuid").distinct().join(kept, "uuid", "left_anti").agg(F.count("*").alias("orphans"))
-    return x.agg(F.count_if("prune").alias("pruned")).join(orphans)  # two single rows
+    orphans = table(spark, folder, "graph_entities").select("uuid").distinct().join(kept, "uuid", "left_anti").count()
+    return x.agg(F.count_if("prune").alias("pruned")).withColumn("orphans", F.lit(orphans).cast("long"))
 
 
 @_reg.add(_G + "SELECT uuid, round(CASE WHEN tier = 'L1' THEN 0.0::DOUBLE ELSE activation_count / 10.0::DOUBLE * 0.5 + strength::DOUBLE / (CASE WHEN tier = 'L2' THEN 0.65::DOUBLE ELSE 0.80 END) * 0.5 + coalesce(entity_confidence::DOUBLE, 0.5) * 0.3 END, 6) AS readiness FROM g")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import filters as fl
 from palimpsest.operators import ordered as od
 from palimpsest.operators import relations as rel
 from palimpsest.plans.common import EDGES, MEMORIES, MESSAGES, Registry, edges, memories, messages, r
@@ -63,9 +62,6 @@ def topic_threads(spark, folder):
     return x.withColumn("overlap", rel.jaccard(F.col("w"), F.col("p"))).where("overlap >= 0.1").select("session_id", "msg_id", r("overlap").alias("overlap"))
 
 
-_AT = "TIMESTAMPTZ '2024-12-01 00:00:00+00'"
-
-
 @_reg.add(f"""WITH {EDGES}, x AS (SELECT uuid, activation_timestamps AS a, last_activated AS n FROM g WHERE last_activated IS NOT NULL AND activation_timestamps IS NOT NULL)
 SELECT uuid, len([t for t in a if t > n - INTERVAL 24 HOUR and t <= n]) >= 5 AS burst, len([t for t in a if t > n - INTERVAL 7 DAY and t <= n]) >= 3 AND len([t for t in a if t > n - INTERVAL 14 DAY and t <= n - INTERVAL 7 DAY]) >= 3 AS weekly FROM x""")
 def ltp_patterns(spark, folder):
