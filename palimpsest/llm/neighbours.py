@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import materialize
 
 TREES = 4
-REACH = 2048
+REACH = 4096
 #: Signs in a hash; an array of n vectors needs about log2(n / REACH) of them to separate neighbourhoods, the rest break ties.
 BITS = 62
 BLOCK = 1024
