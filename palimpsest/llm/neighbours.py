@@ -4,8 +4,10 @@ Each tree cuts the sphere with random orthogonal hyperplanes: a vector's hash is
 vectors sorted by that string. Descending to the longest matching prefix is finding a vector's place in the array; ascending for
 more candidates is walking outwards from it, over ever shorter common prefixes. All trees ascend in step: each offers ``reach``
 vectors on either side of the place, whatever prefix length that takes, so dense regions stop at long prefixes and sparse ones at
-short ones. The arrays are range-split, streamed in blocks and scored with one matrix product per block; nothing depends on how
-many vectors share a prefix, so a hot prefix costs what any other stretch of the array costs.
+short ones. The larger the collection, the longer the prefixes that ``reach`` vectors share and the rarer a pair meets in one tree:
+the number of trees grows with it (``trees_for``). The arrays are cut into stretches; a stretch also holds the ``reach`` vectors
+before and behind it, which answer there and ask in their own. Stretches are streamed in blocks and scored with one matrix product
+per block; nothing depends on how many vectors share a prefix, so a hot prefix costs what any other stretch of the array costs.
 
 Vectors are known by a hash of their content: copies in a batch are planted once, copies that meet in an array count once, and the
 answers are expanded to all copies at the end from a table of ids that holds no vectors. Only the trees move vectors.
@@ -13,7 +15,10 @@ answers are expanded to all copies at the end from a table of ids that holds no
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +28,29 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import materialize
 
+#: Fewest trees, and trees that are planted at a time.
 TREES = 4
+#: Chance that a pair of similarity ``NEAR`` (or ``least``, if that is more) meets in some tree; more similar pairs meet more often.
+MEET, NEAR = 0.86, 0.75
 REACH = 4096
 #: Signs in a hash; an array of n vectors needs about log2(n / REACH) of them to separate neighbourhoods, the rest break ties.
 BITS = 62
 BLOCK = 1024
-#: Rows in a stretch of a sorted array: bounds what a task reads. Neighbours across the end of a stretch are left to the other trees.
+#: Rows in a stretch of a sorted array (eight times the reach at least): bounds what a task reads, besides the rows around it.
 ROWS_PER_STRETCH = 40_000
 
 
+def trees_for(rows: int, reach: int = REACH, least: float = -1.0) -> int:
+    """Trees with which a pair of similarity ``NEAR`` or ``least`` meets with chance ``MEET`` among so many rows.
+
+    A tree separates rows that are further apart than ``reach`` by about log2(rows / (2 reach)) signs, and each sign agrees with
+    chance 1 - angle / pi.
+    """
+    signs = max(0.0, math.log2(max(rows, 1) / (2 * reach)))
+    one = (1 - math.acos(min(1.0, max(NEAR, least))) / math.pi) ** signs
+    return TREES if one >= 1 else max(TREES, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """One row per ``vec_id`` whose vector is not null, has ``dimensions`` elements, all finite, not all zero."""
     good = (
@@ -90,23 +109,123 @@ def _copy(model: str, unit: bytes) -> int:
     return xxhash.xxh64_intdigest(unit, seed=xxhash.xxh32_intdigest(model)) - (1 << 63)
 
 
-def _plant(trees: int, seed: int):
-    """Rows for every tree: the vector with its place (the hash) in that tree."""
+def _coded(trees: range, seed: int, batch: pa.RecordBatch):
+    """The distinct vectors of a batch: packed, models, content hashes; and an iterator of their places (the hash) in every tree."""
+    weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+    units, models = _scaled(batch), batch.column("model").to_pylist()
+    names = np.array([_copy(m, u) for m, u in zip(models, units)], np.int64)
+    _, first = np.unique(names, return_index=True)
+    first.sort()
+    some = pa.RecordBatch.from_arrays([pa.array([units[k] for k in first], pa.binary())], ["unit"])
+
+    def places():
+        for tree in trees:
+            code = np.zeros(len(first), np.int64)
+            for rows, x in _unit(some, "unit"):
+                code[rows] = ((x @ planes(tree, x.shape[1], seed)) >= 0).astype(np.int64) @ weights
+            yield tree, code
+
+    return some.column(0), np.array([models[k] for k in first], object), names[first], places()
+
+
+def _places(trees: range, seed: int):
+    """Rows for every tree without the vector."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, models, names, places = _coded(trees, seed, batch)
+            for tree, code in places:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), tree, np.int32)), pa.array(models, pa.string()), pa.array(code), pa.array(names)], ["tree", "model", "code", "copy"])
+
+    return place
+
+
+def _marks(every: int):
+    """Of a sorted partition: about every so many distinct rows the next new code with its rank, and the rows of each array."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, key, last, rank, due, out = TaskContext.get().partitionId(), None, None, 0, 0, []
+
+        def rows():
+            done = pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("tree", pa.int32()), ("model", pa.string()), ("rank", pa.int64()), ("code", pa.int64())]))
+            out.clear()
+            return done
+
+        for batch in batches:
+            trees, models = batch.column("tree").to_numpy(), np.array(batch.column("model").to_pylist(), object)
+            codes, ids = batch.column("code").to_numpy(), batch.column("copy").to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (trees[1:] != trees[:-1]) | (models[1:] != models[:-1])])) if len(ids) else []
+            for a, b in zip(new, [*new[1:], len(ids)]):
+                if (trees[a], models[a]) != key:
+                    if key:
+                        out.append({"part": part, "tree": key[0], "model": key[1], "rank": rank, "code": None})
+                    key, last, rank, due = (int(trees[a]), models[a]), None, 0, 0
+                code, name = codes[a:b], ids[a:b]
+                fresh = np.concatenate([[last is None or last != (code[0], name[0])], (code[1:] != code[:-1]) | (name[1:] != name[:-1])])
+                turn = np.concatenate([[last is not None and last[0] != code[0]], code[1:] != code[:-1]])
+                ranks = rank + np.cumsum(fresh) - 1
+                for k in np.flatnonzero(turn):
+                    if ranks[k] >= due:
+                        out.append({"part": part, "tree": key[0], "model": key[1], "rank": int(ranks[k]), "code": int(code[k])})
+                        due = int(ranks[k]) + every
+                rank, last = int(ranks[-1]) + 1, (code[-1], name[-1])
+            yield rows()
+        if key:
+            out.append({"part": part, "tree": key[0], "model": key[1], "rank": rank, "code": None})
+            yield rows()
+
+    return mark
+
+
+def _cut(marks: list, reach: int, size: int) -> tuple[int, dict]:
+    """The number of stretches; per array the number of its first, the codes at which stretches begin, and for each stretch the codes
+    from which and below which rows belong to it or are within ``reach`` of it."""
+    arrays = defaultdict(lambda: ([], [0]))
+    for m in sorted(marks, key=lambda m: (m.part, m.code is None, m.rank)):
+        points, total = arrays[m.tree, m.model]
+        if m.code is None:
+            total[0] += m.rank
+        else:
+            points.append((total[0] + m.rank, m.code))
+    count, out = 0, {}
+    for key, (points, (total,)) in arrays.items():
+        ranks, codes = (np.array([p[k] for p in points], np.int64) for k in (0, 1))
+        at, starts = 0, []
+        for k, rank in enumerate(ranks):
+            if rank - at >= size and total - rank >= size:
+                at = rank
+                starts.append(k)
+        before = np.searchsorted(ranks, ranks[starts] - reach, "right") - 1
+        behind = np.searchsorted(ranks, ranks[starts] + reach, "left")
+        low = [0] + [int(codes[k]) if k >= 0 else 0 for k in before]
+        high = [int(codes[k]) if k < len(codes) else 1 << BITS for k in behind] + [1 << BITS]
+        out[key] = (count, codes[starts], np.array(low, np.int64), np.array(high, np.int64))
+        count += len(low)
+    return count, out
+
+
+def _plant(trees: range, seed: int, stretches: dict):
+    """Rows for every tree: the vector with its stretch and place in that tree; ``own`` is false in stretches beside its own."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for batch in batches:
-            units, models = _scaled(batch), batch.column("model").to_pylist()
-            names = np.array([_copy(m, u) for m, u in zip(models, units)], np.int64)
-            _, first = np.unique(names, return_index=True)
-            first.sort()
-            some = pa.RecordBatch.from_arrays([pa.array([units[k] for k in first], pa.binary())], ["unit"])
-            rest = [pa.array([models[k] for k in first]), pa.array(names[first])]
-            for tree in range(trees):
-                code = np.zeros(len(first), np.int64)
-                for rows, x in _unit(some, "unit"):
-                    code[rows] = ((x @ planes(tree, x.shape[1], seed)) >= 0).astype(np.int64) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), tree, np.int32)), rest[0], pa.array(code), rest[1], some.column(0)], ["tree", "model", "code", "copy", "unit"])
+            units, models, names, places = _coded(trees, seed, batch)
+            for tree, code in places:
+                for model in dict.fromkeys(models):
+                    rows = np.flatnonzero(models == model)
+                    first, starts, low, high = stretches[tree, model]
+                    home = np.searchsorted(starts, code[rows], "right")
+                    for beside in (0, -1, 1):
+                        to = home + beside
+                        there = np.flatnonzero((to >= 0) & (to < len(low)))
+                        there = there[(code[rows[there]] >= low[to[there]]) & (code[rows[there]] < high[to[there]])]
+                        if len(there):
+                            some = rows[there]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array((first + to[there]).astype(np.int32)), pa.array(np.full(len(some), beside == 0)), pa.array(code[some]), pa.array(names[some]), units.take(pa.array(some))], ["stretch", "own", "code", "copy", "unit"]
+                            )
 
     return plant
 
@@ -136,38 +255,40 @@ def _best(ids: np.ndarray, x: np.ndarray, low: int, high: int, reach: int, k: in
 
 
 def _climb(reach: int, k: int, least: float):
-    """Stream a sorted partition; keep a stretch of the array in memory that reaches past the rows being scored on both sides."""
+    """Stream a sorted stretch of an array; keep in memory what reaches past the rows being scored on both sides."""
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held_x, done, key = np.zeros(0, np.int64), None, 0, None
+        held_ids, held_own, held_x, done, key = np.zeros(0, np.int64), np.zeros(0, bool), None, 0, None
 
         def score(final: bool):
-            nonlocal held_ids, held_x, done
+            nonlocal held_ids, held_own, held_x, done
             while done < len(held_ids) and (final or len(held_ids) - done >= BLOCK + reach):
                 high = min(done + BLOCK, len(held_ids))
-                a, b, s = _best(held_ids, held_x, done, high, reach, k, least)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["asks", "found", "similarity"])
+                asking = np.flatnonzero(held_own[done:high])
+                if len(asking):
+                    a, b, s = _best(held_ids, held_x, done + asking[0], done + asking[-1] + 1, reach, k, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["asks", "found", "similarity"])
                 done = high
             drop = max(0, done - reach)
-            held_ids, held_x, done = held_ids[drop:], held_x[drop:], done - drop
+            held_ids, held_own, held_x, done = held_ids[drop:], held_own[drop:], held_x[drop:], done - drop
 
         for batch in batches:
-            trees, models = batch.column("tree").to_numpy(), np.array(batch.column("model").to_pylist(), object)
+            stretches, own = batch.column("stretch").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
             ids = batch.column("copy").to_numpy()
             for rows, x in _unit(batch, "unit"):
                 # Copies of a vector have one code and stand side by side.
-                fresh = np.concatenate([[True], (ids[rows][1:] != ids[rows][:-1]) | (trees[rows][1:] != trees[rows][:-1])])
-                fresh[0] = held_x is None or not len(held_ids) or held_ids[-1] != ids[rows[0]] or key[0] != trees[rows[0]]
+                fresh = np.concatenate([[True], (ids[rows][1:] != ids[rows][:-1]) | (stretches[rows][1:] != stretches[rows][:-1])])
+                fresh[0] = held_x is None or not len(held_ids) or held_ids[-1] != ids[rows[0]] or key[0] != stretches[rows[0]]
                 rows, x = rows[fresh], x[fresh]
-                new = np.flatnonzero(np.concatenate([[True], (trees[rows][1:] != trees[rows][:-1]) | (models[rows][1:] != models[rows][:-1])]))
+                new = np.flatnonzero(np.concatenate([[True], stretches[rows][1:] != stretches[rows][:-1]])) if len(rows) else []
                 for a, b in zip(new, [*new[1:], len(rows)]):
-                    now = (trees[rows[a]], models[rows[a]], x.shape[1])
+                    now = (stretches[rows[a]], x.shape[1])
                     if now != key and held_x is not None:
                         yield from score(True)
                         held_x = None
                     if held_x is None:
-                        held_ids, held_x, done, key = np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32), 0, now
-                    held_ids = np.concatenate([held_ids, ids[rows[a:b]]])
+                        held_ids, held_own, held_x, done, key = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, x.shape[1]), np.float32), 0, now
+                    held_ids, held_own = np.concatenate([held_ids, ids[rows[a:b]]]), np.concatenate([held_own, own[rows[a:b]]])
                     held_x = np.concatenate([held_x, x[a:b]])
                     yield from score(False)
         if held_x is not None:
@@ -176,25 +297,37 @@ def _climb(reach: int, k: int, least: float):
     return climb
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = TREES, reach: int = REACH, seed: int = 17) -> DataFrame:
+def _offers(good: DataFrame, rows: int, trees: range, k: int, least: float, reach: int, seed: int) -> DataFrame:
+    """Rows ``(asks, found, similarity)``: the best ``k`` of what each of the trees offers every distinct vector."""
+    size = max(ROWS_PER_STRETCH, 8 * reach)
+    places = good.mapInArrow(_places(trees, seed), "tree int, model string, code long, copy long")
+    ranged = places.repartitionByRange(max(1, -(-rows * len(trees) // 1_000_000)), "tree", "model", "code", "copy").sortWithinPartitions("tree", "model", "code", "copy")
+    marks = ranged.mapInArrow(_marks(max(1, reach // 4)), "part int, tree int, model string, rank long, code long").collect()  # a few rows for every ``reach``
+    count, stretches = _cut(marks, reach, size)
+    forest = good.mapInArrow(_plant(trees, seed, stretches), "stretch int, own boolean, code long, copy long, unit binary")
+    held = forest.repartitionById(max(1, count), F.col("stretch")).sortWithinPartitions("stretch", "code", "copy")
+    return held.mapInArrow(_climb(reach, k, least), "asks long, found long, similarity double").where("asks <> found")
+
+
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int | None = None, reach: int = REACH, seed: int = 17) -> DataFrame:
     """Rows ``(vec_id, other, similarity, place)``: for every usable vector its ``k`` most similar ones of the same model.
 
     ``place`` counts from 1; equal similarity (to nine decimals) goes to the smaller ``vec_id``. ``least`` leaves out less similar
     ones. Unusable vectors (null, wrong length, NaN or infinite elements, all zero) neither ask nor answer; a repeated ``vec_id``
     counts once; a model with one vector gives nothing. Similarities are exact; which neighbours are found is subject to the
-    forest's recall (see the README), which rises with ``trees`` and ``reach``.
+    forest's recall (see the README), which rises with ``trees`` (from ``trees_for``, if not given) and ``reach``.
     """
     good = usable(vectors)
     # Ids without vectors: the first k + 1 of each group of copies, and all members.
     named = materialize(good.mapInArrow(_name, "vec_id long, copy long").distinct())
     heads = named.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    forest = good.mapInArrow(_plant(trees, seed), "tree int, model string, code long, copy long, unit binary")
-    split = max(1, -(-named.count() * trees // ROWS_PER_STRETCH))
-    # Range partitions are stretches of the sorted arrays; the salt lets a stretch of copies be cut, too.
-    held = forest.withColumn("salt", F.spark_partition_id()).repartitionByRange(split, "tree", "model", "code", "copy", "salt")
-    held = held.sortWithinPartitions("tree", "model", "code", "copy").drop("salt")
-    offered = held.mapInArrow(_climb(reach, k, least), "asks long, found long, similarity double")
-    merged = offered.where("asks <> found").groupBy("asks", "found").agg(F.max("similarity").alias("similarity"))
+    rows = named.count()
+    trees = trees or trees_for(rows, reach, least)
+    groups = [range(t, min(t + TREES, trees)) for t in range(0, trees, TREES)]
+    offers = (_offers(good, rows, group, k, least, reach, seed) for group in groups)
+    # Several groups are written one by one, so that each group's vectors are moved and done with before the next.
+    offered = next(offers) if len(groups) == 1 else reduce(DataFrame.union, map(materialize, offers))
+    merged = offered.groupBy("asks", "found").agg(F.max("similarity").alias("similarity"))
     near = merged.join(heads.where("n = 1").select(F.col("copy").alias("found"), F.col("vec_id").alias("first")), "found")
     listed = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("similarity"), "first"))
     near = materialize(near.withColumn("place", listed).where(F.col("place") <= k).select("asks", "found", "similarity"))

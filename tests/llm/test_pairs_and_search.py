@@ -117,6 +117,36 @@ def test_neighbours_recall_on_stated_queries(spark):
     assert exact and len(exact & found) >= 0.9 * len(exact)
 
 
+def _clustered(n, spread, seed=3, dimensions=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 4, dimensions))
+    x = centres[np.arange(n) % len(centres)] + spread * rng.standard_normal((n, dimensions))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_neighbours_see_past_the_end_of_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS_PER_STRETCH", 200)
+    x, reach = _clustered(2000, 0.4).astype(np.float32), 20
+    df = _vectors(spark, [(k, "m", 64, [float(a) for a in v], "x", 0) for k, v in enumerate(x)])
+    best = {r.vec_id: r.similarity for r in neighbours.neighbours(df, 1, trees=1, reach=reach).collect()}
+    order = sorted(range(len(x)), key=lambda k: tuple((x[k] @ neighbours.planes(0, 64)) >= 0))
+    y = x[order].astype(float)
+    for at, k in enumerate(order):
+        near = [j for j in range(max(0, at - reach), min(len(y), at + reach + 1)) if j != at]
+        assert best[k] >= (y[near] @ y[at]).max() - 1e-5
+
+
+def test_neighbours_keep_their_recall_when_the_collection_outgrows_the_reach(spark):
+    x = _clustered(12_000, 0.5).astype(np.float32)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    top = np.argsort(-s, axis=1)[:, :5]
+    exact = {(k, int(j)) for k in range(len(x)) for j in top[k] if s[k, j] >= 0.75}
+    df = _vectors(spark, [(k, "m", 64, [float(a) for a in v], "x", 0) for k, v in enumerate(x)])
+    found = {(r.vec_id, r.other) for r in neighbours.neighbours(df, 5, 0.75, reach=16).collect()}
+    assert len(exact) > 1000 and len(exact & found) >= 0.9 * len(exact)
+
+
 # Leakage
 
 
