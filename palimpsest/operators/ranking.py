@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import geo
+from palimpsest.operators.components import connected_components
 from palimpsest.operators.filters import entity_names
+from palimpsest.runtime import materialize
 
 
 def prefer_types(score: Column, preferred: list[str], penalty: float = 0.7) -> Column:
@@ -162,6 +166,65 @@ def persistence(vectors: np.ndarray) -> list[float]:
     return sorted(out)
 
 
+def forest(vectors: np.ndarray, ids: np.ndarray, split: int | None = None) -> pd.DataFrame:
+    """Least spanning tree ``(a, b, death)`` by 1 - cosine; with ``split`` only edges between the rows before it and the others count."""
+    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    n = len(x)
+    far, by, inside, at = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), 0
+    left = np.arange(n) < (n if split is None else split)
+    a, b, death = [], [], []
+    for _ in range(n - 1):
+        inside[at] = True
+        d = 1 - x @ x[at]
+        if split is not None:
+            d[left == left[at]] = np.inf
+        nearer = d < far
+        far[nearer], by[nearer] = d[nearer], at
+        open_ = np.where(inside, np.inf, far)
+        at = int(open_.argmin())
+        a.append(ids[by[at]])
+        b.append(ids[at])
+        death.append(float(far[at]))
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "death": np.array(death, float)})
+
+
+def deaths(vectors: DataFrame, block: int = 2_000) -> DataFrame:
+    """Death distances ``death`` of the components of all ``(id long, vector)``, as ``persistence`` gives them: n ids have n - 1. An id
+    counts once, a null vector not at all.
+
+    Every two blocks of about ``block`` rows meet in one group, which gives the least forest of the edges between them (every block
+    its own tree); an edge of the least tree of all is in the forest of its blocks. The forests are merged by Boruvka's rounds over
+    written tables: each component takes its least edge in the order (death, a, b), so at most log2(n) rounds.
+    """
+    spark = vectors.sparkSession
+    rows = materialize(vectors.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null").dropDuplicates(["id"]))
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    met = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.least("k", "j").alias("one"), F.greatest("k", "j").alias("two"), "k", "id", "vector")
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["k", "id"])
+        split = int((p["k"] == p["one"]).sum()) if p["one"].iloc[0] != p["two"].iloc[0] else None
+        if split in (0, len(p)):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "death": np.zeros(0)})
+        return forest(np.stack(p["vector"].to_numpy()).astype(float), p["id"].to_numpy(), split)
+
+    edges = met.groupBy("one", "two").applyInPandas(meet, "a long, b long, death double")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "death", F.col("a").alias("x"), F.col("b").alias("y")))
+    parts = []
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array("x", "y")).alias("c"), F.struct("death", "a", "b", "x", "y").alias("e"))
+        taken = materialize(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        parts.append(taken.select("death"))
+        label = materialize(connected_components(taken.select(F.col("x").alias("src"), F.col("y").alias("dst"))))
+        for end in ("x", "y"):
+            edges = edges.join(label.select(F.col("node").alias(end), F.col("component").alias(f"to_{end}")), end)
+        least = edges.where("to_x <> to_y").groupBy(F.least("to_x", "to_y").alias("x"), F.greatest("to_x", "to_y").alias("y")).agg(F.min(F.struct("death", "a", "b")).alias("e"))
+        edges = materialize(least.select("e.a", "e.b", "e.death", "x", "y"))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "death double")
+
+
 def mapper(lens: DataFrame, intervals: int = 8, overlap: float = 0.25, cut: float = 0.6) -> DataFrame:
     """Mapper graph over ``(id, value, vector)``: intervals of the value that overlap, single-linkage groups (1 - cosine <= ``cut``) inside,
     edges where groups share members: ``(a, b, shared)`` with group names ``interval/group``. An interval's rows go to one task, so choose

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from palimpsest.operators import filters as fl
@@ -125,10 +123,8 @@ def decay_scale_learning(spark, folder):
 
 @_reg.add()
 def shape_persistence(spark, folder):
-    """Components of the 500 first embeddings by id: a bounded top-k report, the complex is cubic in its size."""
-    e = table(spark, folder, "embeddings").orderBy("vec_id").limit(500).withColumn("g", F.lit(1)).select("g", "embedding")
-    run = lambda p: pd.DataFrame({"death": rk.persistence(np.stack(p["embedding"].to_numpy()).astype(float))})
-    return e.groupBy("g").applyInPandas(run, "death double").select(r("death").alias("death"))
+    """When the components of all embeddings merge."""
+    return rk.deaths(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))).select(r("death").alias("death"))
 
 
 @_reg.add()

@@ -222,3 +222,19 @@ def test_competition_and_persistence():
     x = np.random.default_rng(1).standard_normal((40, 5))
     turn = np.linalg.qr(np.random.default_rng(2).standard_normal((5, 5)))[0]
     assert np.allclose(rk.aligned(x, x @ turn), turn)
+
+
+def test_persistence_of_all_vectors(spark):
+    import numpy as np
+
+    from palimpsest.operators import ranking as rk
+    from palimpsest.plans.ranking import shape_persistence
+
+    x = np.random.default_rng(4).standard_normal((150, 6))
+    x[7] = x[3]
+    rows = [(k, [float(a) for a in v]) for k, v in enumerate(x)]
+    got = rk.deaths(spark.createDataFrame([*rows, rows[5], (999, None)], "id long, vector array<double>"), block=40).collect()
+    assert np.allclose(sorted(d for d, in got), rk.persistence(x))
+    assert rk.deaths(spark.createDataFrame(rows[:1], "id long, vector array<double>")).count() == 0
+    every = np.stack([r.embedding for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()])
+    assert np.allclose(sorted(d for d, in shape_persistence(spark, "/root/testdata/sf0.1").collect()), rk.persistence(every), atol=2e-6)
