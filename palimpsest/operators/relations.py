@@ -31,6 +31,17 @@ def sharing_entities(memories: DataFrame, anchors: DataFrame) -> DataFrame:
     return mine.join(rows, ["user_id", "entity"]).where("anchor <> id").groupBy("anchor", "id").agg(F.count("*").alias("shared"))
 
 
+def entity_links(memories: DataFrame) -> DataFrame:
+    """For every memory the entities it shares, summed over all other memories of its tenant: ``(id, links)``.
+
+    Each entity's memories are counted before the join, so no pair of memories is made; without entities or tenant there are 0.
+    """
+    rows = entity_rows(memories, "user_id")
+    sizes = rows.groupBy("user_id", "entity").agg((F.count("*") - 1).alias("n"))
+    links = rows.join(sizes, ["user_id", "entity"]).groupBy("id").agg(F.sum("n").alias("links"))
+    return memories.select("id").join(links, "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def matching_entities(memories: DataFrame, wanted: list[str]) -> DataFrame:
     """Memories that name any of a few wanted entities: ``(id, matched, score)``, the score being the matched share of the wanted."""
     names = sorted({w.lower() for w in wanted})

@@ -165,6 +165,14 @@ def lineage_trace(spark, folder):
     return gr.trace(cited, m.where(F.col("id").endswith("f")).select("id"), 3, backward=True)
 
 
+@_reg.add()
+def lineage_trace_all(spark, folder):
+    """``lineage_trace`` from every memory."""
+    m = memories(spark, folder)
+    cited = m.select(F.col("id").alias("effect"), F.explode("relations.related_memories").alias("cause")).where("cause is not null")
+    return gr.trace(cited, m.select("id"), 3, backward=True)
+
+
 @_reg.add(f"""WITH {MEMORIES}, {EDGES}, e AS (SELECT DISTINCT ON (uuid) uuid, user_id, lower(name) AS name FROM graph_entities), n AS (SELECT DISTINCT id, user_id, lower(x.text) AS name FROM (SELECT id, user_id, unnest(entities) AS x FROM m) WHERE x.text IS NOT NULL),
 k AS (SELECT DISTINCT id, e.uuid FROM n JOIN e USING (user_id, name)), p AS (SELECT DISTINCT k.id, g.uuid, g.strength::DOUBLE AS w FROM k JOIN g ON g.from_entity = k.uuid JOIN k b ON b.id = k.id AND b.uuid = g.to_entity WHERE g.invalidated_at IS NULL)
 SELECT m.id, round(coalesce(avg(w), 0.5), 6) AS hebbian FROM m LEFT JOIN p ON p.id = m.id GROUP BY 1""")

@@ -26,6 +26,12 @@ def join_shares_entity(spark, folder):
     return rel.sharing_entities(m, m.where(F.col("id").endswith("00")))
 
 
+@_reg.add()
+def join_entity_links(spark, folder):
+    """The links of all memories; ``join_shares_entity`` lists those of the anchors that its SQL names."""
+    return rel.entity_links(memories(spark, folder))
+
+
 @_reg.add(_M + f"SELECT id, len(list_intersect({_NAMES}, ['merkle tree', 'bloom filter', 'error budget'])) AS matched, round(matched / 3.0, 6) AS score FROM m WHERE matched > 0")
 def join_entity_overlap(spark, folder):
     return rel.matching_entities(memories(spark, folder), ["Merkle Tree", "bloom filter", "Error Budget"]).select("id", "matched", r("score").alias("score"))

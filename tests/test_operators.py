@@ -238,3 +238,22 @@ def test_persistence_of_all_vectors(spark):
     assert rk.deaths(spark.createDataFrame(rows[:1], "id long, vector array<double>")).count() == 0
     every = np.stack([r.embedding for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()])
     assert np.allclose(sorted(d for d, in shape_persistence(spark, "/root/testdata/sf0.1").collect()), rk.persistence(every), atol=2e-6)
+
+
+def _memories_in(spark, folder):
+    rows = [(f"m{k:02}", f"u{k % 2}", "e1" if k < 30 else None, ["A", "a", "B"][: k % 4], [f"m{k - 1:02}"] if k else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, user_id string, episode_id string, names array<string>, cited array<string>")
+    df = df.select("id", "user_id", "episode_id", F.transform("names", lambda x: F.struct(x.alias("text"))).alias("entities"), F.struct(F.col("cited").alias("related_memories")).alias("relations"))
+    df.union(df.limit(3)).write.parquet(f"{folder}/memories.parquet")
+    return rows
+
+
+def test_links_and_traces_of_all_memories(spark, tmp_path):
+    from palimpsest.plans import graphing, relating
+
+    rows = _memories_in(spark, tmp_path)
+    names = {i: (u, {n.lower() for n in ns}) for i, u, _, ns, _ in rows}
+    want = {i: sum(len(ns & ms) for j, (v, ms) in names.items() if j != i and v == u) for i, (u, ns) in names.items()}
+    assert {r.id: r.links for r in relating.join_entity_links(spark, tmp_path).collect()} == want and max(want.values()) > 0
+    got = {(r.start, r.node): r.depth for r in graphing.lineage_trace_all(spark, tmp_path).collect()}
+    assert got == {(f"m{k:02}", f"m{k - d:02}"): d for k in range(40) for d in range(4) if k >= d}
