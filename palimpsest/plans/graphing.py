@@ -202,4 +202,11 @@ def graph_coactivation(spark, folder):
     return y.join(z, "episode_id").where("k < kb").select(F.col("id").alias("a"), "b")
 
 
+@_reg.add()
+def graph_coactivation_all(spark, folder):
+    """The pairs of whole episodes; ``graph_coactivation`` keeps the first 20 memories of each, as its SQL does."""
+    x = memories(spark, folder).where("episode_id is not null").select("episode_id", F.col("id").alias("a"))
+    return x.join(x.select("episode_id", F.col("a").alias("b")), "episode_id").where("a < b").select("a", "b")
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

@@ -257,3 +257,11 @@ def test_links_and_traces_of_all_memories(spark, tmp_path):
     assert {r.id: r.links for r in relating.join_entity_links(spark, tmp_path).collect()} == want and max(want.values()) > 0
     got = {(r.start, r.node): r.depth for r in graphing.lineage_trace_all(spark, tmp_path).collect()}
     assert got == {(f"m{k:02}", f"m{k - d:02}"): d for k in range(40) for d in range(4) if k >= d}
+
+
+def test_coactivation_of_whole_episodes(spark, tmp_path):
+    from palimpsest.plans import graphing
+
+    ids = [i for i, _, episode, *_ in _memories_in(spark, tmp_path) if episode]
+    got = sorted((r.a, r.b) for r in graphing.graph_coactivation_all(spark, tmp_path).collect())
+    assert got == [(a, b) for a in ids for b in ids if a < b] and len(got) == 435
