@@ -147,7 +147,7 @@ def person_form(text: str) -> tuple[str, bool] | None:
         bare = re.sub(r"[.'’-]", "", t)
         tokens.append(bare + "." if len(bare) == 1 or t.endswith(".") else bare)
     words = [t for t in tokens if not t.endswith(".")]
-    if not words or len(tokens) < 2 or len(tokens) > 5:
+    if not words or len(tokens) < 2:
         return None
     return " ".join(sorted(tokens, key=lambda t: (t.endswith("."), t))), len(words) == 1
 
@@ -192,6 +192,8 @@ def person_keys(form: str) -> list[str]:
         if len(t) >= 4 and not t.endswith("."):
             others = {_class(g[0]) for j, o in enumerate(tokens) if j != k for g in _given(o.rstrip("."))}
             keys |= {f"{d}/{c}" for d in _neighbourhood(code(t)) for c in others}
+        elif not t.endswith("."):  # a short word is only like itself
+            keys |= {f"={t}/{_class(g[0])}" for j, o in enumerate(tokens) if j != k for g in _given(o.rstrip("."))}
     return sorted(keys)
 
 
@@ -222,6 +224,12 @@ def same_person(a: str, b: str) -> bool:
         for t in wy:
             if len(s) >= 4 and len(t) >= 4 and alike(s, t) and _givens([g for g in x if g != s] or [], [g for g in y if g != t] or [], s == t):
                 return True
+            # A short surname must be the same, and no other word may contradict: it may be a particle ('de').
+            if s == t and len(s) < 4:
+                rest_x, rest_y = [g for g in x if g != s], [g for g in y if g != t]
+                few, many = (rest_x, rest_y) if len(rest_x) <= len(rest_y) else (rest_y, rest_x)
+                if few and all(any(_fits(g, h) for h in many) for g in few):
+                    return True
     return False
 
 
@@ -283,6 +291,9 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if kind == "unknown":
                 form = organisation_form(text)
                 kind = "organisation" if form and not form[1] and len(form[0].split()) > 1 and text[:1].isupper() else "person"
+                person = person_form(text) if kind == "person" else None
+                if person and len(person[0].split()) > 5:
+                    continue  # a phrase; a long name has its type somewhere
             form = person_form(text) if kind == "person" else organisation_form(text)
             if form:
                 rows.append((user, kind, form[0], form[1], text, person_keys(form[0]) if kind == "person" else organisation_keys(form[0])))

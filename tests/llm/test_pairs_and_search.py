@@ -231,3 +231,14 @@ def test_clusters_respect_tenants_and_ambiguous_initials(spark):
     got = {(r.user_id, r.text_a, r.text_b) for r in name_variants.variant_pairs(df).collect()}
     assert ("u2", "D. Galrissen", "Daniel Galrissen") in got and not any("Diana" in a + b or ("D. " in a + b and u == "u1") for u, a, b in got)
     assert name_variants.clusters(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("a,b,same", [("Bob Lee", "Robert Lee", True), ("B. Kim", "Ben Kim", True), ("Sam Cox", "Samuel Cox", True), ("Bob Lee", "Bob Kim", False), ("Ana de Souza", "Ana de Silva", False)])
+def test_short_surnames(a, b, same):
+    x, y = name_variants.person_form(a)[0], name_variants.person_form(b)[0]
+    assert name_variants.same_person(x, y) is same
+    assert not same or set(name_variants.person_keys(x)) & set(name_variants.person_keys(y))
+
+
+def test_long_names_are_kept():
+    assert name_variants.person_form("Maria del Carmen Garcia Lopez Fernandez")
