@@ -188,9 +188,11 @@ def source_limits(histogram: pd.DataFrame) -> pd.DataFrame:
             mean, sd = fit_censored(lengths, counts, limits)
             expected = total * _density(lengths, mean, sd)
             # The fit alone may be off where a source mixes kinds of text: the neighbourhood is asked too.
-            near = np.array([counts[(abs(lengths - x) <= 40) & (lengths != x)].sum() / 80.0 for x in lengths]) if len(lengths) < 4000 else np.convolve(np.bincount(lengths, counts), np.ones(81) / 81, "same")[lengths]
+            near = (np.convolve(np.bincount(lengths, counts, 81), np.ones(81), "same")[lengths] - counts) / 80.0
             usual = np.maximum(expected, near)
-            piled = lengths[(counts >= 5) & (counts > 5 * usual + 3 * np.sqrt(usual + 1)) & (lengths >= 64)]
+            # Below nearly all of the fit, texts of one length are short answers rather than cuts.
+            least = min(64, math.exp(mean - 2 * sd))
+            piled = lengths[(counts >= 5) & (counts > 5 * usual + 3 * np.sqrt(usual + 1)) & (lengths >= least)]
             if set(piled) <= set(limits):
                 break
             limits = sorted({*limits, *piled.tolist()})
@@ -203,7 +205,7 @@ def source_limits(histogram: pd.DataFrame) -> pd.DataFrame:
         dense[[x for x in limits]] = 0
         window = np.convolve(dense, np.ones(BOUNDARY))[: len(dense)]
         around = (np.convolve(dense, np.ones(12 * BOUNDARY + 1), "same") - np.convolve(dense, np.ones(2 * BOUNDARY + 1), "same")) / (10.0)
-        for x in np.flatnonzero((window >= 8) & (window > 3 * around + 3 * np.sqrt(around + 1)) & (np.arange(len(dense)) >= 64)):
+        for x in np.flatnonzero((window >= 8) & (window > 3 * around + 3 * np.sqrt(around + 1)) & (np.arange(len(dense)) >= least)):
             p = float(np.clip(1 - around[x] / window[x], 0.02, 0.95))
             out += [(unit, int(y), p) for y in range(max(1, x - BOUNDARY + 1), x + 1) if dense[y]]
     frame = pd.DataFrame(out, columns=["unit", "length", "posterior"])

@@ -193,3 +193,18 @@ def test_cut_texts_are_told_from_whole_ones(spark):
     rates = {r.source: r for r in truncation.truncation_rates(df).collect()}
     assert rates["s"].documents == len(whole) and rates[""].cut == 0
     assert truncation.endings(df.limit(0)).count() == 0
+
+
+def test_limits_at_short_lengths_and_alike_at_all_sizes():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    lengths, n = np.unique(np.minimum(np.maximum(rng.lognormal(3.5, 0.5, 4000).astype(int), 1), 40), return_counts=True)
+    found = truncation.source_limits(pd.DataFrame({"source": "s", "unit": "chars", "length": lengths, "n": n}))
+    assert 40 in set(found["length"])
+    few = {}
+    for wide in (3000, 5000):  # lengths around the pile are the same, only more lengths exist far away
+        length = np.concatenate([np.arange(500, 700), np.arange(10_000, 10_000 + wide)])
+        frame = pd.DataFrame({"source": "s", "unit": "chars", "length": length, "n": np.where(length == 600, 16, 2)})
+        few[wide] = 600 in set(truncation.source_limits(frame)["length"])
+    assert few[3000] and few[5000]
