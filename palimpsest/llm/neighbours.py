@@ -1,22 +1,24 @@
 """Most similar vectors for every vector: a hash-prefix forest.
 
-Each tree cuts the sphere with random orthogonal hyperplanes: a vector's hash is a long string of signs, and the tree is the array of
-vectors sorted by that string. Descending to the longest matching prefix is finding a vector's place in the array; ascending for
-more candidates is walking outwards from it, over ever shorter common prefixes. All trees ascend in step: each offers ``reach``
-vectors on either side of the place, whatever prefix length that takes, so dense regions stop at long prefixes and sparse ones at
-short ones. The larger the collection, the longer the prefixes that ``reach`` vectors share and the rarer a pair meets in one tree:
-the number of trees grows with it (``trees_for``). The arrays are cut into stretches; a stretch also holds the ``reach`` vectors
-before and behind it, which answer there and ask in their own. Stretches are streamed in blocks and scored with one matrix product
-per block; nothing depends on how many vectors share a prefix, so a hot prefix costs what any other stretch of the array costs.
-
-Vectors are known by a hash of their content: copies in a batch are planted once, copies that meet in an array count once, and the
-answers are expanded to all copies at the end from a table of ids that holds no vectors. Only the trees move vectors.
+A tree is an array of vectors sorted by a long hash string, one sign per random hyperplane. A vector descends to the rows that share
+the longest prefix with it, a length that differs from vector to vector, and then ascends: at each prefix length, from long to short,
+all trees at once offer the rows that share so much with it, until ``candidates`` rows are met. At the last length only the rows
+nearest to the vector's place are taken, so that a prefix which many rows share costs no more than any other.
+
+Trees are planted in groves. The trees of a grove begin with the same string, the trunk; the array sorted by trunk is cut into stretches
+of equal size (cut points are quantiles of all codes), a stretch is one task, and its trees, descents and ascents live in that task's
+memory. A vector moves once per grove, whatever the number of trees, as 24-bit fractions of its largest element (similarities keep an
+error of about 1e-7). An eighth of either neighbour stretch stands at a stretch's ends, to answer there and ask in its own. Pairs that a
+trunk separates meet in another grove: ``groves_for`` says how many that takes as the collection grows. A trunk code that holds more rows
+than a stretch is dealt over the stretches it spans.
+
+Vectors are known by a hash of their content: copies count once in a stretch, and the answers are expanded to all copies at the end
+from a table of ids that holds no vectors.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,27 +30,24 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import materialize
 
-#: Fewest trees, and trees that are planted at a time.
-TREES = 4
-#: Chance that a pair of similarity ``NEAR`` (or ``least``, if that is more) meets in some tree; more similar pairs meet more often.
-MEET, NEAR = 0.86, 0.75
-REACH = 4096
-#: Signs in a hash; an array of n vectors needs about log2(n / REACH) of them to separate neighbourhoods, the rest break ties.
-BITS = 62
-BLOCK = 1024
-#: Rows in a stretch of a sorted array (eight times the reach at least): bounds what a task reads, besides the rows around it.
-ROWS_PER_STRETCH = 40_000
-
-
-def trees_for(rows: int, reach: int = REACH, least: float = -1.0) -> int:
-    """Trees with which a pair of similarity ``NEAR`` or ``least`` meets with chance ``MEET`` among so many rows.
-
-    A tree separates rows that are further apart than ``reach`` by about log2(rows / (2 reach)) signs, and each sign agrees with
-    chance 1 - angle / pi.
-    """
-    signs = max(0.0, math.log2(max(rows, 1) / (2 * reach)))
+#: Fewest groves, which are also planted at a time; trees of a grove; signs of a trunk and of a tree's hash.
+GROVES, TREES, BITS = 3, 16, 62
+#: Chance that a pair of similarity ``NEAR`` (or ``least``, if that is more) shares a stretch in some grove.
+MEET, NEAR = 0.86, 0.85
+#: Rows a vector is compared with in a grove (twice as many at most), over all its trees: for the ``k`` nearest whatever their
+#: similarity, and for pairs of at least ``NEAR``, which share longer prefixes.
+CANDIDATES, CLOSE_CANDIDATES = 10_000, 600
+#: Vectors of a stretch, and the parts in which it is cut, of which the outer ones also go to the neighbour.
+ROWS_PER_STRETCH, PARTS = 65_536, 8
+BLOCK = 128
+
+
+def groves_for(rows: int, least: float = -1.0) -> int:
+    """Groves with which a pair of similarity ``NEAR`` or ``least`` shares a stretch with chance ``MEET``: a trunk tells apart
+    log2(rows / stretch) signs, each of which agrees with chance 1 - angle / pi."""
+    signs = max(0.0, math.log2(max(rows, 1) / ROWS_PER_STRETCH))
     one = (1 - math.acos(min(1.0, max(NEAR, least))) / math.pi) ** signs
-    return TREES if one >= 1 else max(TREES, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
+    return GROVES if one >= 1 else max(GROVES, math.ceil(math.log(1 - MEET) / math.log(1 - one)))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,13 +61,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(good).select("vec_id", "model", "vector")
 
 
-def planes(tree: int, dimensions: int, seed: int = 17) -> np.ndarray:
-    """Orthogonal blocks of random directions, the same on every executor."""
-    rng = np.random.default_rng([seed, tree, dimensions])
+def planes(grove: int, tree: int, dimensions: int, seed: int = 17) -> np.ndarray:
+    """Orthogonal blocks of random directions, the same on every executor; tree -1 is the grove's trunk."""
+    rng = np.random.default_rng([seed, grove, tree + 1, dimensions])
     blocks = [np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0] for _ in range(-(-BITS // dimensions))]
     return np.concatenate(blocks, axis=1)[:, :BITS].astype(np.float32)
 
 
+def hashed(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The signs of a projection as one number, first sign highest."""
+    signs = np.zeros((len(x), 64), np.uint8)
+    signs[:, 64 - BITS :] = x @ directions >= 0
+    return np.packbits(signs, axis=1).view(">u8").ravel().astype(np.int64)
+
+
 def _unit(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and vectors of a batch of packed float32 vectors, by dimension."""
     packed = batch.column(column)
@@ -109,222 +115,221 @@ def _copy(model: str, unit: bytes) -> int:
     return xxhash.xxh64_intdigest(unit, seed=xxhash.xxh32_intdigest(model)) - (1 << 63)
 
 
-def _coded(trees: range, seed: int, batch: pa.RecordBatch):
-    """The distinct vectors of a batch: packed, models, content hashes; and an iterator of their places (the hash) in every tree."""
-    weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+def shortened(x: np.ndarray) -> list[bytes]:
+    """Vectors as 24-bit fractions of their largest element."""
+    whole = np.rint(x * (8_388_607 / np.abs(x).max(axis=1, keepdims=True).astype(np.float64))).astype("<i4")
+    return [v.tobytes() for v in whole.view(np.uint8).reshape(*x.shape, 4)[:, :, :3]]
+
+
+def lengthened(packed: list[bytes]) -> np.ndarray:
+    """Unit vectors of what ``shortened`` gave, all of one dimension."""
+    parts = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1, 3)
+    whole = np.zeros((*parts.shape[:2], 4), np.uint8)
+    whole[:, :, 1:] = parts  # the upper three bytes, so that the sign stands where it belongs
+    x = (whole.view("<i4")[:, :, 0] >> 8).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _coded(batch: pa.RecordBatch):
+    """The distinct vectors of a batch: content hashes, models, and (rows, vectors) by dimension."""
     units, models = _scaled(batch), batch.column("model").to_pylist()
     names = np.array([_copy(m, u) for m, u in zip(models, units)], np.int64)
     _, first = np.unique(names, return_index=True)
-    first.sort()
     some = pa.RecordBatch.from_arrays([pa.array([units[k] for k in first], pa.binary())], ["unit"])
+    return names[first], np.array([models[k] for k in first], object), list(_unit(some, "unit"))
 
-    def places():
-        for tree in trees:
-            code = np.zeros(len(first), np.int64)
-            for rows, x in _unit(some, "unit"):
-                code[rows] = ((x @ planes(tree, x.shape[1], seed)) >= 0).astype(np.int64) @ weights
-            yield tree, code
-
-    return some.column(0), np.array([models[k] for k in first], object), names[first], places()
 
-
-def _places(trees: range, seed: int):
-    """Rows for every tree without the vector."""
+def _trunks(groves: range, seed: int):
+    """Rows ``(grove, model, code)`` for every vector and grove."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, models, names, places = _coded(trees, seed, batch)
-            for tree, code in places:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), tree, np.int32)), pa.array(models, pa.string()), pa.array(code), pa.array(names)], ["tree", "model", "code", "copy"])
+            names, models, units = _coded(batch)
+            for grove in groves:
+                for rows, x in units:
+                    code = hashed(x, planes(grove, -1, x.shape[1], seed))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), grove, np.int32)), pa.array(models[rows], pa.string()), pa.array(code)], ["grove", "model", "code"])
 
     return place
 
 
-def _marks(every: int):
-    """Of a sorted partition: about every so many distinct rows the next new code with its rank, and the rows of each array."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, key, last, rank, due, out = TaskContext.get().partitionId(), None, None, 0, 0, []
+def _stretches(good: DataFrame, rows: int, groves: range, seed: int) -> tuple[int, dict]:
+    """The number of stretches; per grove and model the number of its first and the codes at which their parts begin.
 
-        def rows():
-            done = pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("tree", pa.int32()), ("model", pa.string()), ("rank", pa.int64()), ("code", pa.int64())]))
-            out.clear()
-            return done
-
-        for batch in batches:
-            trees, models = batch.column("tree").to_numpy(), np.array(batch.column("model").to_pylist(), object)
-            codes, ids = batch.column("code").to_numpy(), batch.column("copy").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (trees[1:] != trees[:-1]) | (models[1:] != models[:-1])])) if len(ids) else []
-            for a, b in zip(new, [*new[1:], len(ids)]):
-                if (trees[a], models[a]) != key:
-                    if key:
-                        out.append({"part": part, "tree": key[0], "model": key[1], "rank": rank, "code": None})
-                    key, last, rank, due = (int(trees[a]), models[a]), None, 0, 0
-                code, name = codes[a:b], ids[a:b]
-                fresh = np.concatenate([[last is None or last != (code[0], name[0])], (code[1:] != code[:-1]) | (name[1:] != name[:-1])])
-                turn = np.concatenate([[last is not None and last[0] != code[0]], code[1:] != code[:-1]])
-                ranks = rank + np.cumsum(fresh) - 1
-                for k in np.flatnonzero(turn):
-                    if ranks[k] >= due:
-                        out.append({"part": part, "tree": key[0], "model": key[1], "rank": int(ranks[k]), "code": int(code[k])})
-                        due = int(ranks[k]) + every
-                rank, last = int(ranks[-1]) + 1, (code[-1], name[-1])
-            yield rows()
-        if key:
-            out.append({"part": part, "tree": key[0], "model": key[1], "rank": rank, "code": None})
-            yield rows()
-
-    return mark
-
-
-def _cut(marks: list, reach: int, size: int) -> tuple[int, dict]:
-    """The number of stretches; per array the number of its first, the codes at which stretches begin, and for each stretch the codes
-    from which and below which rows belong to it or are within ``reach`` of it."""
-    arrays = defaultdict(lambda: ([], [0]))
-    for m in sorted(marks, key=lambda m: (m.part, m.code is None, m.rank)):
-        points, total = arrays[m.tree, m.model]
-        if m.code is None:
-            total[0] += m.rank
-        else:
-            points.append((total[0] + m.rank, m.code))
+    One number for every part of a stretch reaches the driver.
+    """
+    fine = PARTS * -(-rows // ROWS_PER_STRETCH)
+    spots = F.percentile_approx("code", [k / fine for k in range(1, fine)], max(10_000, 20 * fine))
     count, out = 0, {}
-    for key, (points, (total,)) in arrays.items():
-        ranks, codes = (np.array([p[k] for p in points], np.int64) for k in (0, 1))
-        at, starts = 0, []
-        for k, rank in enumerate(ranks):
-            if rank - at >= size and total - rank >= size:
-                at = rank
-                starts.append(k)
-        before = np.searchsorted(ranks, ranks[starts] - reach, "right") - 1
-        behind = np.searchsorted(ranks, ranks[starts] + reach, "left")
-        low = [0] + [int(codes[k]) if k >= 0 else 0 for k in before]
-        high = [int(codes[k]) if k < len(codes) else 1 << BITS for k in behind] + [1 << BITS]
-        out[key] = (count, codes[starts], np.array(low, np.int64), np.array(high, np.int64))
-        count += len(low)
+    for r in good.mapInArrow(_trunks(groves, seed), "grove int, model string, code long").groupBy("grove", "model").agg(F.count("*").alias("n"), spots.alias("spots")).collect():
+        own = PARTS * -(-r.n // ROWS_PER_STRETCH)
+        out[r.grove, r.model] = (count, own // PARTS, np.array([r.spots[round(k * fine / own) - 1] for k in range(1, own)], np.int64))
+        count += own // PARTS
     return count, out
 
 
-def _plant(trees: range, seed: int, stretches: dict):
-    """Rows for every tree: the vector with its stretch and place in that tree; ``own`` is false in stretches beside its own."""
+def _parts(code: np.ndarray, names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The part of each row; rows of a code that spans several parts are dealt over them."""
+    low, high = np.searchsorted(starts, code, "left"), np.searchsorted(starts, code, "right")
+    return np.where(high - low > 1, low + 1 + names.astype(np.uint64) % np.maximum(high - low, 1).astype(np.uint64), high).astype(np.int64)
+
+
+def _plant(groves: range, seed: int, stretches: dict):
+    """Rows for every grove: the vector in 24 bits an element with its stretch; ``own`` is false in stretches beside its own."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, models, names, places = _coded(trees, seed, batch)
-            for tree, code in places:
-                for model in dict.fromkeys(models):
-                    rows = np.flatnonzero(models == model)
-                    first, starts, low, high = stretches[tree, model]
-                    home = np.searchsorted(starts, code[rows], "right")
-                    for beside in (0, -1, 1):
-                        to = home + beside
-                        there = np.flatnonzero((to >= 0) & (to < len(low)))
-                        there = there[(code[rows[there]] >= low[to[there]]) & (code[rows[there]] < high[to[there]])]
-                        if len(there):
-                            some = rows[there]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array((first + to[there]).astype(np.int32)), pa.array(np.full(len(some), beside == 0)), pa.array(code[some]), pa.array(names[some]), units.take(pa.array(some))], ["stretch", "own", "code", "copy", "unit"]
-                            )
+            names, models, units = _coded(batch)
+            for rows, x in units:
+                packed = pa.array(shortened(x), pa.binary())
+                for grove in groves:
+                    code = hashed(x, planes(grove, -1, x.shape[1], seed))
+                    for model in dict.fromkeys(models[rows]):
+                        mine = np.flatnonzero(models[rows] == model)
+                        first, count, starts = stretches[grove, model]
+                        part = _parts(code[mine], names[rows[mine]], starts)
+                        home = part // PARTS
+                        for to, there in ((home, part >= 0), (home - 1, (part % PARTS == 0) & (home > 0)), (home + 1, (part % PARTS == PARTS - 1) & (home < count - 1))):
+                            some = np.flatnonzero(there)
+                            if len(some):
+                                yield pa.RecordBatch.from_arrays(
+                                    [pa.array(np.full(len(some), grove, np.int32)), pa.array((first + to[some]).astype(np.int32)), pa.array(to[some] == home[some]), pa.array(names[rows[mine[some]]]), packed.take(pa.array(mine[some]))],
+                                    ["grove", "stretch", "own", "copy", "unit"],
+                                )
 
     return plant
 
 
-def _best(ids: np.ndarray, x: np.ndarray, low: int, high: int, reach: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows ``low`` to ``high`` of a stretch of an array: the best ``k`` of the rows within ``reach`` of each."""
-    a, b = max(0, low - reach), min(len(ids), high + reach)
-    scores = x[low:high] @ x[a:b].T
-    rows = np.arange(high - low)
-    scores[rows, low - a + rows] = -2.0
-    if least > -1:
-        r, c = np.nonzero(scores >= least - 1e-5)
-    else:
-        top = np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, : k + 1] if scores.shape[1] > k + 1 else np.tile(np.arange(scores.shape[1]), (len(rows), 1))
-        r, c = np.repeat(rows, top.shape[1]), top.ravel()
-        kept = scores[r, c] > -1.5
-        r, c = r[kept], c[kept]
-    exact = np.einsum("ij,ij->i", x[low + r].astype(np.float64), x[a + c].astype(np.float64))
-    exact = np.round(np.clip(exact, -1, 1), 9)
-    order = np.lexsort((ids[a + c], -exact, r))
-    r, c, exact = r[order], c[order], exact[order]
-    first = np.searchsorted(r, rows)
-    keep = np.arange(len(r)) - first[r] < k
-    r, c, exact = r[keep], c[keep], exact[keep]
-    good = exact >= least
-    return ids[low + r[good]], ids[a + c[good]], exact[good]
-
-
-def _climb(reach: int, k: int, least: float):
-    """Stream a sorted stretch of an array; keep in memory what reaches past the rows being scored on both sides."""
+def _runs(shared: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array with the prefix lengths that neighbours share: first row and end of the run of each row at a prefix length."""
+    cuts = np.concatenate([[0], np.flatnonzero(shared < level) + 1, [len(shared) + 1]])
+    sizes = np.diff(cuts)
+    return np.repeat(cuts[:-1], sizes), np.repeat(cuts[1:], sizes)
 
-    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held_own, held_x, done, key = np.zeros(0, np.int64), np.zeros(0, bool), None, 0, None
-
-        def score(final: bool):
-            nonlocal held_ids, held_own, held_x, done
-            while done < len(held_ids) and (final or len(held_ids) - done >= BLOCK + reach):
-                high = min(done + BLOCK, len(held_ids))
-                asking = np.flatnonzero(held_own[done:high])
-                if len(asking):
-                    a, b, s = _best(held_ids, held_x, done + asking[0], done + asking[-1] + 1, reach, k, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["asks", "found", "similarity"])
-                done = high
-            drop = max(0, done - reach)
-            held_ids, held_own, held_x, done = held_ids[drop:], held_own[drop:], held_x[drop:], done - drop
 
-        for batch in batches:
-            stretches, own = batch.column("stretch").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
-            ids = batch.column("copy").to_numpy()
-            for rows, x in _unit(batch, "unit"):
-                # Copies of a vector have one code and stand side by side.
-                fresh = np.concatenate([[True], (ids[rows][1:] != ids[rows][:-1]) | (stretches[rows][1:] != stretches[rows][:-1])])
-                fresh[0] = held_x is None or not len(held_ids) or held_ids[-1] != ids[rows[0]] or key[0] != stretches[rows[0]]
-                rows, x = rows[fresh], x[fresh]
-                new = np.flatnonzero(np.concatenate([[True], stretches[rows][1:] != stretches[rows][:-1]])) if len(rows) else []
-                for a, b in zip(new, [*new[1:], len(rows)]):
-                    now = (stretches[rows[a]], x.shape[1])
-                    if now != key and held_x is not None:
-                        yield from score(True)
-                        held_x = None
-                    if held_x is None:
-                        held_ids, held_own, held_x, done, key = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, x.shape[1]), np.float32), 0, now
-                    held_ids, held_own = np.concatenate([held_ids, ids[rows[a:b]]]), np.concatenate([held_own, own[rows[a:b]]])
-                    held_x = np.concatenate([held_x, x[a:b]])
-                    yield from score(False)
-        if held_x is not None:
-            yield from score(True)
+def ascend(codes: list[np.ndarray], candidates: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For trees given as hashes of the same rows: each tree's order of rows, and per tree and row (by row number) the places from
+    which and up to which it is compared.
+
+    From the longest prefix to none, all trees together, until a row has met ``candidates`` others. The runs one length before the
+    last are taken whole; of the last, so many rows on either side as its share of what was missing.
+    """
+    n, trees = len(codes[0]), len(codes)
+    orders = [np.argsort(c, kind="stable") for c in codes]
+    places, shared = [], []
+    for c, order in zip(codes, orders):
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        places.append(place)
+        differ = (c[order][1:] ^ c[order][:-1]).astype(np.uint64)
+        # The highest differing sign; values stay exact below 2**53 after the shift.
+        length = np.where(differ == 0, BITS, BITS - 1 - np.where(differ >> np.uint64(32) > 0, 32 + np.log2(np.maximum(differ >> np.uint64(32), 1).astype(float)).astype(np.int64), np.log2(np.maximum(differ & np.uint64(0xFFFFFFFF), 1).astype(float)).astype(np.int64)))
+        shared.append(length)
+    low, high = np.tile(np.stack(places), 1), np.stack(places) + 1  # before the ascent a row is alone
+    met, open_rows = np.zeros(n, np.int64), np.ones(n, bool)
+    for level in range(max((int(s.max()) for s in shared if len(s)), default=0), -1, -1):
+        now_low, now_high = np.empty_like(low), np.empty_like(high)
+        for t in range(trees):
+            a, b = _runs(shared[t], level)
+            now_low[t], now_high[t] = a[places[t]], b[places[t]]
+        total = (now_high - now_low - 1).sum(axis=0)
+        ready = open_rows & ((total >= candidates) | (level == 0))
+        if ready.any():
+            more = -(-(candidates - met[ready]) // trees)
+            low[:, ready] = np.maximum(now_low[:, ready], low[:, ready] - more)
+            high[:, ready] = np.minimum(now_high[:, ready], high[:, ready] + more)
+            open_rows &= ~ready
+        low[:, open_rows], high[:, open_rows], met[open_rows] = now_low[:, open_rows], now_high[:, open_rows], total[open_rows]
+        if not open_rows.any():
+            break
+    return orders, low, high
+
+
+def _compared(x: np.ndarray, asking: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers: of the rows a tree offers to each asking row, those that can be among its best ``k`` and reach ``least``."""
+    turned, asks, found = x[order], [], []
+    low, high, asking = low[order], high[order], asking[order]
+    for a in range(0, len(order), BLOCK):
+        rows = a + np.flatnonzero(asking[a : a + BLOCK])
+        if not len(rows):
+            continue
+        first, end = low[rows].min(), high[rows].max()
+        scores = turned[rows] @ turned[first:end].T
+        if least > -1:
+            r, c = np.nonzero(scores >= least - 1e-4)
+        else:
+            column = np.arange(first, end)
+            scores[(column < low[rows, None]) | (column >= high[rows, None]) | (column == rows[:, None])] = -2.0
+            c = np.argpartition(-scores, k, axis=1)[:, :k].ravel() if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), len(rows))
+            r = np.repeat(np.arange(len(rows)), min(k, scores.shape[1]))
+        at = first + c
+        good = (at >= low[rows[r]]) & (at < high[rows[r]]) & (at != rows[r])
+        asks.append(order[rows[r[good]]])
+        found.append(order[at[good]])
+    return np.concatenate(asks or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.int64)])
+
+
+def search(x: np.ndarray, names: np.ndarray, asking: np.ndarray, grove: int, k: int, least: float, candidates: int, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` others of each asking row that the trees of a grove offer: names asking, names found, similarities."""
+    orders, low, high = ascend([hashed(x, planes(grove, t, x.shape[1], seed)) for t in range(trees)], candidates)
+    pairs = [_compared(x, asking, orders[t], low[t], high[t], k, least) for t in range(trees)]
+    r, c = np.divmod(np.unique(np.concatenate([a * len(x) + b for a, b in pairs])), len(x))
+    scores = np.empty(len(r))
+    for a in range(0, len(r), 1 << 16):
+        b = a + (1 << 16)
+        scores[a:b] = np.einsum("ij,ij->i", x[r[a:b]].astype(np.float64), x[c[a:b]].astype(np.float64))
+    scores = np.round(np.clip(scores, -1, 1), 9)
+    good = scores >= least
+    r, c, scores = r[good], c[good], scores[good]
+    order = np.lexsort((names[c], -scores, r))
+    r, c, scores = r[order], c[order], scores[order]
+    best = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return names[r[best]], names[c[best]], scores[best]
+
+
+def _climb(k: int, least: float, candidates: int, trees: int, seed: int):
+    """Search each stretch of a partition."""
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # a stretch and what stands at its ends
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        stretch, copies, own = rows["stretch"].to_numpy(), rows["copy"].to_numpy(), rows["own"].to_numpy()
+        for s in np.unique(stretch):
+            here = np.flatnonzero(stretch == s)
+            order = here[np.lexsort((~own[here], copies[here]))]
+            order = order[np.concatenate([[True], np.diff(copies[order]) != 0])]
+            x = lengthened(rows["unit"].take(pa.array(order)).to_pylist())
+            a, b, score = search(x, copies[order], own[order], int(rows["grove"][int(order[0])].as_py()), k, least, candidates, trees, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], ["asks", "found", "similarity"])
 
     return climb
 
 
-def _offers(good: DataFrame, rows: int, trees: range, k: int, least: float, reach: int, seed: int) -> DataFrame:
-    """Rows ``(asks, found, similarity)``: the best ``k`` of what each of the trees offers every distinct vector."""
-    size = max(ROWS_PER_STRETCH, 8 * reach)
-    places = good.mapInArrow(_places(trees, seed), "tree int, model string, code long, copy long")
-    ranged = places.repartitionByRange(max(1, -(-rows * len(trees) // 1_000_000)), "tree", "model", "code", "copy").sortWithinPartitions("tree", "model", "code", "copy")
-    marks = ranged.mapInArrow(_marks(max(1, reach // 4)), "part int, tree int, model string, rank long, code long").collect()  # a few rows for every ``reach``
-    count, stretches = _cut(marks, reach, size)
-    forest = good.mapInArrow(_plant(trees, seed, stretches), "stretch int, own boolean, code long, copy long, unit binary")
-    held = forest.repartitionById(max(1, count), F.col("stretch")).sortWithinPartitions("stretch", "code", "copy")
-    return held.mapInArrow(_climb(reach, k, least), "asks long, found long, similarity double").where("asks <> found")
+def _offers(good: DataFrame, rows: int, groves: range, k: int, least: float, candidates: int, trees: int, seed: int) -> DataFrame:
+    """Rows ``(asks, found, similarity)``: the best ``k`` of what each of the groves offers every distinct vector."""
+    count, stretches = _stretches(good, rows, groves, seed)
+    forest = good.mapInArrow(_plant(groves, seed, stretches), "grove int, stretch int, own boolean, copy long, unit binary")
+    return forest.repartitionById(max(1, count), F.col("stretch")).mapInArrow(_climb(k, least, candidates, trees, seed), "asks long, found long, similarity double")
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int | None = None, reach: int = REACH, seed: int = 17) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, groves: int | None = None, candidates: int = CANDIDATES, trees: int = TREES, seed: int = 17) -> DataFrame:
     """Rows ``(vec_id, other, similarity, place)``: for every usable vector its ``k`` most similar ones of the same model.
 
-    ``place`` counts from 1; equal similarity (to nine decimals) goes to the smaller ``vec_id``. ``least`` leaves out less similar
-    ones. Unusable vectors (null, wrong length, NaN or infinite elements, all zero) neither ask nor answer; a repeated ``vec_id``
-    counts once; a model with one vector gives nothing. Similarities are exact; which neighbours are found is subject to the
-    forest's recall (see the README), which rises with ``trees`` (from ``trees_for``, if not given) and ``reach``.
+    ``place`` counts from 1; equal similarity goes to the smaller ``vec_id``. ``least`` leaves out less similar ones. Unusable vectors
+    (null, wrong length, NaN or infinite elements, all zero) neither ask nor answer; a repeated ``vec_id`` counts once; a model with one
+    vector gives nothing. Which neighbours are found is subject to the forest's recall (see the README), which rises with ``groves``
+    (from ``groves_for``, if not given), ``trees`` and ``candidates``.
     """
     good = usable(vectors)
     # Ids without vectors: the first k + 1 of each group of copies, and all members.
     named = materialize(good.mapInArrow(_name, "vec_id long, copy long").distinct())
     heads = named.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     rows = named.count()
-    trees = trees or trees_for(rows, reach, least)
-    groups = [range(t, min(t + TREES, trees)) for t in range(0, trees, TREES)]
-    offers = (_offers(good, rows, group, k, least, reach, seed) for group in groups)
+    groves = groves or groves_for(rows, least)
+    groups = [range(g, min(g + GROVES, groves)) for g in range(0, groves, GROVES)]
+    offers = (_offers(good, rows, group, k, least, candidates, trees, seed) for group in groups)
     # Several groups are written one by one, so that each group's vectors are moved and done with before the next.
     offered = next(offers) if len(groups) == 1 else reduce(DataFrame.union, map(materialize, offers))
     merged = offered.groupBy("asks", "found").agg(F.max("similarity").alias("similarity"))
@@ -340,9 +345,9 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int |
     return answers.withColumn("place", F.row_number().over(mine)).where(F.col("place") <= k)
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.75, **forest) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.75, candidates: int = CLOSE_CANDIDATES, **forest) -> DataFrame:
     """Unordered pairs ``(vec_a, vec_b, similarity)``, at least one among the other's ``k`` most similar, similarity >= ``least``."""
-    found = neighbours(vectors, k, least, **forest)
+    found = neighbours(vectors, k, least, candidates=candidates, **forest)
     return found.groupBy(F.least("vec_id", "other").alias("vec_a"), F.greatest("vec_id", "other").alias("vec_b")).agg(F.max("similarity").alias("similarity"))
 
 

@@ -124,27 +124,36 @@ def _clustered(n, spread, seed=3, dimensions=64):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_neighbours_see_past_the_end_of_a_stretch(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROWS_PER_STRETCH", 200)
-    x, reach = _clustered(2000, 0.4).astype(np.float32), 20
-    df = _vectors(spark, [(k, "m", 64, [float(a) for a in v], "x", 0) for k, v in enumerate(x)])
-    best = {r.vec_id: r.similarity for r in neighbours.neighbours(df, 1, trees=1, reach=reach).collect()}
-    order = sorted(range(len(x)), key=lambda k: tuple((x[k] @ neighbours.planes(0, 64)) >= 0))
-    y = x[order].astype(float)
-    for at, k in enumerate(order):
-        near = [j for j in range(max(0, at - reach), min(len(y), at + reach + 1)) if j != at]
-        assert best[k] >= (y[near] @ y[at]).max() - 1e-5
-
-
-def test_neighbours_keep_their_recall_when_the_collection_outgrows_the_reach(spark):
+def test_ascent_takes_longest_prefixes_first_in_all_trees():
+    x = _clustered(900, 0.5).astype(np.float32)
+    codes = [neighbours.hashed(x, neighbours.planes(0, t, 64)) for t in range(4)]
+    orders, low, high = neighbours.ascend(codes, 40)
+    shared = lambda t, i, j: neighbours.BITS - int(codes[t][i] ^ codes[t][j]).bit_length()
+    for i in range(0, 900, 37):
+        met = [(t, int(j)) for t in range(4) for j in orders[t][low[t, i] : high[t, i]] if j != i]
+        assert 40 <= len(met) <= 80 or len(met) >= 36  # all the trees' shares, trimmed at the last length
+        shortest = min(shared(t, i, j) for t, j in met)
+        # Whoever shares more than the last length with the row, in any tree, was met there.
+        assert {(t, j) for t in range(4) for j in range(900) if j != i and shared(t, i, j) > shortest} <= set(met)
+
+
+def test_ascent_is_bounded_where_all_rows_share_a_prefix():
+    same = np.zeros((5000, 8), np.float32) + np.float32(1)
+    _, low, high = neighbours.ascend([neighbours.hashed(same, neighbours.planes(0, t, 8)) for t in range(4)], 40)
+    assert ((high - low - 1).sum(axis=0) <= 80).all() and ((high - low - 1).sum(axis=0) >= 40).all()
+
+
+def test_neighbours_keep_their_recall_when_the_collection_outgrows_stretches_and_candidates(spark, monkeypatch):
     x = _clustered(12_000, 0.5).astype(np.float32)
     s = x @ x.T
     np.fill_diagonal(s, -1)
     top = np.argsort(-s, axis=1)[:, :5]
     exact = {(k, int(j)) for k in range(len(x)) for j in top[k] if s[k, j] >= 0.75}
     df = _vectors(spark, [(k, "m", 64, [float(a) for a in v], "x", 0) for k, v in enumerate(x)])
-    found = {(r.vec_id, r.other) for r in neighbours.neighbours(df, 5, 0.75, reach=16).collect()}
-    assert len(exact) > 1000 and len(exact & found) >= 0.9 * len(exact)
+    monkeypatch.setattr(neighbours, "ROWS_PER_STRETCH", 3000)
+    for candidates in (60, 20):  # with four groves under 2 % and 0.7 % of the collection
+        found = {(r.vec_id, r.other) for r in neighbours.neighbours(df, 5, 0.75, candidates=candidates).collect()}
+        assert len(exact) > 1000 and len(exact & found) >= 0.9 * len(exact), candidates
 
 
 # Leakage
