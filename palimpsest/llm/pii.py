@@ -1,11 +1,11 @@
 """Personal information inside free text: a character BiLSTM with CRF transitions, in numpy.
 
 Texts are cut into overlapping windows. A bidirectional LSTM over characters gives emission scores for the tags O, B-k, I-k of the
-kinds e-mail, phone, identity number, address and name; a linear-chain CRF decodes them. Windows whose scores prove that no tag but O
-can win (a bound over all runs of positions) are not decoded further. The spans of all windows of a text are reconciled globally: of
-conflicting spans the set of greatest total score is kept (weighted interval scheduling), where spans cut by a window's edge count
-for less than whole ones. An exact check follows: the ends of a span are moved to the form of its kind that it touches, and spans that
-touch none are dropped.
+kinds e-mail, phone, identity number, address and name; a linear-chain CRF decodes them. Positions that no winning path can mark (a
+bound over all runs of positions) are known to be O; only the stretches between them are decoded. The spans of all windows of a text are
+reconciled globally: of conflicting spans the set of greatest total score is kept (weighted interval scheduling), where spans cut by a
+window's edge count for less than whole ones. An exact check follows: the ends of a span are moved to the form of its kind that it
+touches; a span that touches none keeps the network's ends, without labels and punctuation.
 
 Weights are read from ``pii_model.npz``, made by ``python -m palimpsest.llm.pii_train`` from labelled spans.
 """
@@ -43,60 +43,67 @@ def encode(text: str) -> np.ndarray:
     return np.where(points < 0x250, _TABLE[np.minimum(points, 0x24F)], np.uint8(_OTHER))
 
 
-def lstm(symbols: np.ndarray, table: np.ndarray, recurrent: np.ndarray) -> np.ndarray:
-    """Hidden states (time, H, lanes) of one direction. ``table``: input part of the gates per symbol; gates i, f, o are piecewise
-    linear, their slope and offset folded into the weights."""
+def lstm(symbols: np.ndarray, embed: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Hidden states (time, H, lanes) of one direction. ``embed``: a vector per symbol, the last element 1 for the bias; ``weights``:
+    of the hidden state and that vector. Gates i, f, o are piecewise linear, their slope and offset folded into the weights."""
     steps, lanes = symbols.shape
-    size = recurrent.shape[1]
-    slope = np.repeat(np.array([0.25, 1.0], np.float32), [3 * size, size])
-    inputs = np.ascontiguousarray((table * slope + np.repeat(np.array([0.5, 0.0], np.float32), [3 * size, size])).T)
-    recurrent = recurrent * slope[:, None]
-    places = symbols.astype(np.intp)
-    out = np.empty((steps, size, lanes), np.float32)
-    h, c = np.zeros((size, lanes), np.float32), np.zeros((size, lanes), np.float32)
-    z = np.empty((4 * size, lanes), np.float32)
+    size = len(weights) // 4
+    weights = weights * np.repeat(np.array([0.25, 1.0], np.float32), [3 * size, size])[:, None]
+    weights[: 3 * size, -1] += 0.5
+    state = np.empty((steps + 1, weights.shape[1], lanes), np.float32)
+    state[0, :size] = 0
+    state[:-1, size:] = embed.T[:, symbols].transpose(1, 0, 2)
+    c, z = np.zeros((size, lanes), np.float32), np.empty((4 * size, lanes), np.float32)
     s, g = z[: 3 * size], z[3 * size :]
     i, f, o = s[:size], s[size : 2 * size], s[2 * size :]
     for t in range(steps):
-        np.matmul(recurrent, h, out=z)
-        z += inputs[:, places[t]]
+        np.matmul(weights, state[t], out=z)
         np.clip(s, 0, 1, out=s)
         np.tanh(g, out=g)
         c *= f
         g *= i
         c += g
-        h = np.tanh(c, out=out[t])
+        h = np.tanh(c, out=state[t + 1, :size])
         h *= o
-    return out
+    return state[1:, :size]
 
 
 def emissions(model: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
     """Scores (time, tags, lanes) of windows given as columns of ``symbols``."""
-    ahead = lstm(symbols, model["table_f"], model["rec_f"])
-    back = lstm(symbols[::-1], model["table_b"], model["rec_b"])[::-1]
+    ahead = lstm(symbols, model["embed"], model["rec_f"])
+    back = lstm(symbols[::-1], model["embed"], model["rec_b"])[::-1]
     size = ahead.shape[1]
     return np.matmul(model["out"][:, :size], ahead) + np.matmul(model["out"][:, size:], back) + model["bias"][None, :, None]
 
 
-def may_hold(model: dict[str, np.ndarray], scores: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Lanes in which a path other than all-O can have the greatest score: an upper bound over every run of positions."""
-    step = model["trans"]
-    base = step[0, 0]
-    enter, leave, stay = (step[0, 1:] - base).max(), (step[1:, 0] - base).max(), (step[1:, 1:] - base).max()
-    best = np.full(scores.shape[2], -np.inf, np.float32)
-    run = np.zeros(scores.shape[2], np.float32)
-    gain = scores[:, 1:].max(axis=1) - scores[:, 0] + stay
-    for t in range(len(scores)):
-        run = np.maximum(run, 0) + gain[t]
-        np.maximum(best, run, out=best)
-    return best + max(enter, 0) + max(leave, 0) - stay > 0
-
-
-def viterbi(model: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
-    """Best tags (time, lanes). Only the best totals are kept on the way; the way back picks the one predecessor that it needs."""
+def possible(model: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
+    """Positions (time, lanes) that a path of greatest score may mark.
+
+    Set against O in its place, a run of one kind gains what its positions gain, its first as a beginning, and the ways in and out
+    (``load`` forbids other beginnings). A position all of whose runs lose, for every kind, is O.
+    """
+    step, start = model["trans"], model["start"]
+    first, inner = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    enter = np.maximum((step[:, first] - step[:, :1]).max(axis=0), start[first] - start[0])
+    stay = step[[first, inner], inner].max(axis=0) - step[0, 0]
+    onto = np.concatenate([[0], first])
+    leave = np.maximum((np.maximum(step[first], step[inner])[:, onto] - step[0, onto]).max(axis=1), 0)
+    begun = scores[:, first] - scores[:, :1] + enter[:, None]
+    gone_on = scores[:, inner] - scores[:, :1] + stay[:, None]
+    upto, onward = begun, np.empty_like(begun)
+    onward[-1] = 0
+    for t in range(1, len(scores)):
+        np.maximum(upto[t], upto[t - 1] + gone_on[t], out=upto[t])
+        np.maximum(onward[-t] + gone_on[-t], 0, out=onward[-t - 1])
+    return (upto + onward + leave[:, None] > 0).any(axis=1)
+
+
+def viterbi(model: dict[str, np.ndarray], scores: np.ndarray, fresh: np.ndarray | bool = True) -> np.ndarray:
+    """Best tags (time, lanes) of scores (time, tags, lanes). Only the best totals are kept on the way; the way back picks the one
+    predecessor that it needs. Lanes not ``fresh`` go on from O."""
     step = model["trans"]
     totals = np.empty_like(scores)
-    totals[0] = scores[0] + model["start"][:, None]
+    totals[0] = scores[0] + np.where(fresh, model["start"][:, None], step[0][:, None])
     way = np.empty((TAGS, scores.shape[2]), np.float32)
     for t in range(1, len(scores)):
         before, best = totals[t - 1], totals[t]
@@ -113,10 +120,39 @@ def viterbi(model: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
     return tags
 
 
+def decoded(model: dict[str, np.ndarray], scores: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Tags of the stretches ``(lane, first position, tags)`` that hold spans, of windows that end at ``ends``; all else is O.
+
+    A stretch is decoded with one O behind it, also at its window's end, so that the way out of a span is paid for.
+    """
+    maybe = possible(model, scores) & (np.arange(len(scores))[:, None] < ends)
+    turns = np.diff(np.pad(maybe, ((1, 1), (0, 0))).astype(np.int8), axis=0)
+    lane, first = np.nonzero(turns.T == 1)
+    end = np.nonzero(turns.T == -1)[1]
+    order = np.argsort(end - first, kind="stable")
+    only_o = np.where(np.arange(TAGS) == 0, np.float32(0), np.float32(-1e4))
+    for low in range(0, len(order), LANES):
+        some = order[low : low + LANES]
+        at = first[some] + np.arange(int((end - first)[some].max()) + 1)[:, None]
+        taken = scores[np.minimum(at, len(scores) - 1), :, lane[some]]
+        taken[at >= end[some]] = only_o
+        tags = viterbi(model, np.ascontiguousarray(taken.transpose(0, 2, 1)), first[some] == 0)
+        for j in np.flatnonzero(tags.any(axis=0)):
+            yield int(lane[some[j]]), int(first[some[j]]), tags[: end[some[j]] - first[some[j]], j]
+
+
 @functools.lru_cache(1)
 def load(path: str = str(MODEL)) -> dict[str, np.ndarray]:
     with np.load(path) as f:
-        return {k: np.ascontiguousarray(f[k].astype(np.float32)) for k in f.files}
+        return strict({k: np.ascontiguousarray(f[k].astype(np.float32)) for k in f.files})
+
+
+def strict(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The model with spans that begin with their beginning: I-k follows only B-k and I-k."""
+    trans, start = model["trans"].copy(), model["start"].copy()
+    for k in range(2, TAGS, 2):
+        trans[[t for t in range(TAGS) if t not in (k - 1, k)], k] = start[k] = -1e4
+    return model | {"trans": trans, "start": start}
 
 
 def windows(length: int) -> list[tuple[int, int]]:
@@ -139,26 +175,20 @@ def raw_spans(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple
         symbols = np.full((steps, len(batch)), _PAD, np.uint8)
         for lane, (k, a, b) in enumerate(batch):
             symbols[: b - a, lane] = codes[k][a:b]
+        ends = np.array([b - a for _, a, b in batch])
         scores = emissions(model, symbols)
-        hopeful = np.flatnonzero(may_hold(model, scores, symbols))
-        if not len(hopeful):
-            continue
-        some = np.ascontiguousarray(scores[:, :, hopeful])
-        tags = viterbi(model, some)
-        marked = tags > 0
-        edges = np.diff(np.concatenate([np.zeros((1, len(hopeful)), np.int8), np.where(marked, (tags + 1) // 2, 0), np.zeros((1, len(hopeful)), np.int8)]), axis=0) != 0
-        begins = np.concatenate([(tags % 2 == 1) & marked, np.zeros((1, len(hopeful)), bool)])
-        for j, lane in enumerate(hopeful):
+        for lane, first, tags in decoded(model, scores, ends):
             k, a, b = batch[lane]
-            cuts = np.flatnonzero(edges[:, j] | begins[:, j])
+            marked = tags > 0
+            cuts = np.flatnonzero(np.diff(np.concatenate([[0], np.where(marked, (tags + 1) // 2, 0), [0]])) | np.concatenate([(tags % 2 == 1) & marked, [False]]))
             for x, y in zip(cuts[:-1], cuts[1:]):
-                tag = tags[x, j]
-                if tag and x < b - a:
-                    y = min(int(y), b - a)
-                    kind = (int(tag) - 1) // 2
-                    gain = float((some[x:y, 2 * kind + 1 : 2 * kind + 3, j].max(axis=1) - some[x:y, 0, j]).sum())
+                if tags[x]:
+                    kind = (int(tags[x]) - 1) // 2
+                    own = scores[first + x : first + y, :, lane]
+                    gain = float((own[:, 2 * kind + 1 : 2 * kind + 3].max(axis=1) - own[:, 0]).sum())
+                    x, y = int(first + x), int(first + y)
                     whole = (x > 0 or a == 0) and (y < b - a or b == len(codes[k]))
-                    spans[k].append((a + int(x), a + y, kind, max(gain, 0.1) * (1.0 if whole else 0.3)))
+                    spans[k].append((a + x, a + y, kind, max(gain, 0.1) * (1.0 if whole else 0.3)))
     return [reconcile(s) for s in spans]
 
 
@@ -194,12 +224,12 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 _LETTER = r"[^\W\d_]"
 FORMS = {
     "EMAIL": re.compile(r"[\w.+%-]+(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?|\s+at\s+)[a-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)[a-z0-9-]+)*(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)[a-z]{2,}(?![\w@])", re.I),
-    "PHONE": re.compile(r"(?<![\w.+-])\d{10}(?![\w-])|(?<![\w.+])(?!\d{4}-\d\d-\d\d(?!\d))(?:\+|00(?=[ .-]))?(?:\(\d{1,5}\)|\d{1,5})(?:[ .\-/]{1,2}(?:\(\d{1,5}\)|\d{2,8}|\d(?=[ .-]\d)))+(?:,?\s*(?:ext|extension|x|durchwahl)\.?\s*\d{1,6})?(?!\w)", re.I),
+    "PHONE": re.compile(r"(?<![\w.+-])(?:\+\d{7,15}|\d{10})(?![\w-])|(?<![\w.+])(?!\d{4}-\d\d-\d\d(?!\d))(?:\+|00(?=[ .-]))?(?:\(\d{1,5}\)|\d{1,5})(?:[ .\-/]{1,2}(?:\(\d{1,5}\)|\d{2,8}|\d(?=[ .-]\d)))+(?:,?\s*(?:ext|extension|x|durchwahl)\.?\s*\d{1,6})?(?!\w)", re.I),
     "ID_NUMBER": re.compile(r"(?<![\w-])(?:[A-Z]{1,2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Z]|[A-Z]\d{7}[A-Z]|\d{8}[A-Z]|\d{3}[- ]?\d{2}[- ]?\d{4}|[A-Z]{0,2}\d{6,9}[A-Z]?)(?![\w-])", re.I),
     "ADDRESS": re.compile(
         rf"(?<!\w)(?:(?:flat|unit|apt\.?|suite)\s+\w+,\s+)?(?:\d{{1,5}}[a-z]?\s+(?:{_LETTER}+\s+){{1,3}}?(?:street|st|road|rd|avenue|ave|lane|ln|close|drive|dr|way|court|ct|place|square|boulevard|blvd)\b\.?"
         rf"|(?:calle|avenida|rue|plaza|via)\s+(?:{_LETTER}+\s+){{1,3}}\d{{1,4}}[a-z]?|{_LETTER}+(?:straße|strasse|str\.|weg|platz|gasse|allee)\s+\d{{1,4}}[a-z]?)"
-        rf"(?:,\s+(?:apt|unit|flat|suite)\.?\s+\w+|,\s+\d+º\s*[a-z])?(?:,\s+(?:\d{{5}}\s+)?(?-i:[A-Z]{_LETTER}+(?: [A-Z]{_LETTER}+)?|[a-z]+(?= \d{{5}})|[a-z]+ [a-z]+(?= \d{{5}})|[a-z]+(?: (?:tarrow|ellery))?)(?:,?\s+(?:[A-Z]{{2}}\s+)?\d{{5}})?)?",
+        rf"(?:,\s+(?:apt|unit|flat|suite)\.?\s+\w+|,\s+\d+º\s*[a-z])?(?:,\s+(?:\d{{5}}\s+)?(?-i:[A-Z]{_LETTER}+(?: [A-Z]{_LETTER}+)?|[a-z]+(?= \d{{5}})|[a-z]+ [a-z]+(?= \d{{5}})|[a-z]+)(?:,?\s+(?:[A-Z]{{2}}\s+)?\d{{5}})?)?",
         re.I,
     ),
 }
@@ -236,13 +266,31 @@ def _name(text: str, a: int, b: int) -> tuple[int, int] | None:
     elif text[b : b + 1] == "." and re.search(rf"(?:^|[\s,.]){_LETTER}$", piece):
         b += 1
     words = _TOKENISH.findall(text[a:b])
-    if len(words) < 2 or len(words) > 5 or not any(len(w.rstrip(".")) > 2 for w in words):
+    if len(words) < 2 or not any(len(w.rstrip(".")) > 2 for w in words):
         return None
     return a, b
 
 
+#: What a span without a form needs, at least, to be one of its kind; labels that are no part of it.
+_LEAST = {"EMAIL": r"\w.*(?:@|\bat\b).*\w(?:\.|.*\bdot\b).*\w", "PHONE": r"(?:\D*\d){7}", "ID_NUMBER": r"(?:\D*\d){5}", "ADDRESS": r"(?=.*\d)[^\W_]+\W+(?:\w+\W+)*?[^\W\d_]{2,}"}
+_LABEL = re.compile(r"^(?:(?:e-?mail|mail|tel(?:ephone)?|phone|mobile|cell|fax|id|ssn|no|number|address|at)\b[\s.:#]*)+", re.I)
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span's whole words without labels, blanks and punctuation around it."""
+    while a > 0 and a < len(text) and text[a - 1].isalnum() and text[a].isalnum():
+        a -= 1
+    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    a += len(text[a:b]) - len(text[a:b].lstrip(" \t\n,;:.-–'\"*_"))
+    label = _LABEL.match(text[a:b])
+    a += label.end() if label and label.end() < b - a else 0
+    return a, a + len(text[a:b].rstrip(" \t\n,;:.-–'\"(*_"))
+
+
 def settle(text: str, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, str]]:
-    """The exact check: each span takes the ends of the form of its kind that it overlaps most; without such a form it is dropped."""
+    """The exact check: each span takes the ends of the form of its kind that it overlaps most; an address may end behind its form,
+    where the network ends it. A span without such a form keeps its own whole words, if they can be of its kind at all."""
     out: list[tuple[int, int, str]] = []
     for a, b, kind, _ in spans:
         name = KINDS[kind]
@@ -251,8 +299,15 @@ def settle(text: str, spans: list[tuple[int, int, int, float]]) -> list[tuple[in
         else:
             near = [(max(0, min(m.end(), b) - max(m.start(), a)), m.start(), m.end()) for m in FORMS[name].finditer(text, _line_start(text, a), min(len(text), b + 80))]
             touching = [x for x in near if x[0] > 0]
-            ends = max(touching)[1:] if touching else None
-            if name == "PHONE" and ends and sum(c.isdigit() for c in text[ends[0] : ends[1]]) < 7:
+            if touching:
+                ends = max(touching)[1:]
+                if name == "ADDRESS" and b > ends[1] and not re.search(r"[.,;:!?\n]", text[ends[1] : b]):
+                    ends = (ends[0], max(ends[1], _bare(text, ends[0], b)[1]))
+            else:
+                ends = _bare(text, a, b)
+                if re.search(r"[^\W_][-_/]?$", text[max(0, ends[0] - 2) : ends[0]]) or re.match(r"[-_/]?[^\W_]", text[ends[1] : ends[1] + 2]):
+                    continue  # part of a longer token
+            if not re.search(_LEAST[name], text[ends[0] : ends[1]], re.I | re.S):
                 ends = None
         if ends and not any(ends[0] < y and x < ends[1] for x, y, _ in out):
             out.append((*ends, name))
@@ -268,11 +323,9 @@ def _line_start(text: str, a: int) -> int:
 def find(texts: list[str | None], model: dict[str, np.ndarray] | None = None) -> list[list[tuple[int, int, str]]]:
     """Spans ``(start, end, kind)`` of each text; nulls and empty texts have none."""
     model = model or load()
-    some = [k for k, t in enumerate(texts) if t]
-    out: list[list] = [[] for _ in texts]
-    for k, spans in zip(some, raw_spans(model, [texts[k] for k in some])):
-        out[k] = settle(texts[k], spans)
-    return out
+    some = list(dict.fromkeys(t for t in texts if t))  # a text that repeats is read once
+    settled = {t: settle(t, spans) for t, spans in zip(some, raw_spans(model, some))}
+    return [settled.get(t, []) for t in texts]
 
 
 def placeholders(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -1,16 +1,19 @@
 """Train the personal-information tagger: ``python -m palimpsest.llm.pii_train FOLDER [TEACHER]``.
 
 Labelled spans come from a bounded sample of contents: names from the persons annotated in ``entities`` (and the given names and
-surnames that these annotations show), the other kinds from strict label patterns. Training is maximum likelihood of the CRF by
-back-propagation through the BiLSTM, in numpy, with Adam. A held-out tenth reports span precision and recall. Annotations leave some
-names out, so the shipped weights come from two rounds: the second run takes the first run's weights as TEACHER.
+surnames that these annotations show), the other kinds from the formats of numbers and addresses and the class of the nearest word that
+announces them. Training is maximum likelihood of the CRF by back-propagation through the BiLSTM, in numpy, with Adam. A tenth of all
+contents is held out and reports span precision and recall. Annotations leave some names out, so the shipped weights come from two
+rounds: the second run takes earlier weights as TEACHER of names.
 """
 
 from __future__ import annotations
 
+import multiprocessing
 import re
 import sys
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -19,15 +22,82 @@ from palimpsest.llm import pii
 
 #: Contents in the labelled sample, characters of a training window, hidden size, passes.
 SAMPLE, CUT, HIDDEN, PASSES = 9_000, 160, 24, 13
-EMBED = 16
+EMBED = 11
+
+_L = r"[^\W\d_]"
+#: Words that announce a number as a telephone's or a person's, and words that announce another number. Any of them may stand up to
+#: ``NEAR`` characters before it in the same line; the nearest counts.
+CONTEXT = {
+    "PHONE": "tel telephone phone mobile cell fax call calls called callback ring rang dial text texted texting sms whatsapp line hotline reach reached voicemail left back".split(),
+    "ID_NUMBER": "id ssn social security tax tin identity identification national nino insurance passport nif nie dni licence license".split(),
+    "OTHER": "lot reference ref serial ticket version order invoice batch counter port build commit from to ran between of".split(),
+}
+NEAR = 40
+_ANNOUNCED = {w: kind for kind, words in CONTEXT.items() for w in words}
+_NUMBER = re.compile(r"(?<![\w.+/-])(?:\+|00(?=[ .-]))?\(?\d{1,5}\)?(?:[ .\-/]{1,2}\(?\d{1,8}\)?)*\d*(?:,?\s*(?:ext|extension|x)\.?\s*\d{1,6})?(?!\w)", re.I)
+#: Shapes of identity numbers that no other number has, and shapes that need an announcing word.
+_ID_ALONE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D]|[XYZ]\d{7}[A-Z])(?![\w-])")
+_ID_ANNOUNCED = re.compile(r"(?<![\w-])(?:\d{3} \d{2} \d{4}|\d{9}|[A-Z]{0,2}\d{6,9}[A-Z]?|[A-Z]{1,2}(?:[ -]?\d{2}){3}[ -]?[A-Z])(?![\w-])", re.I)
+_EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b|[\w.+-]+ ?[(\[{]at[)\]}] ?[\w-]+(?: ?[(\[{]?dot[)\]}]? ?[\w-]+|\.[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
+# Kinds of streets, before or behind their name.
+_STREET = r"(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|close|drive|dr\.?|way|court|ct\.?|place|square|boulevard|blvd\.?)"
+_FRONT = r"(?:calle|avenida|plaza|rue|via)"
+_GERMAN = r"(?:straße|strasse|str\.|weg|platz|gasse|allee)"
+_UNIT = r"(?:(?:flat|unit|apt\.?|suite) \w+)"
+_PLACE = re.compile(
+    rf"(?<!\w)(?:(?:{_UNIT}, )?\d{{1,5}}[a-z]? (?:{_L}+ ){{1,3}}?{_STREET}(?!\w)(?:, {_UNIT})?|{_FRONT} (?:{_L}+ ){{1,3}}\d{{1,4}}[a-z]?(?:, \d+º {_L})?|{_L}+{_GERMAN} \d{{1,4}}[a-z]?)"
+    rf",(?P<code> \d{{5}})? (?P<town>{_L}+(?: {_L}+)?)(?P<tail>,?(?: [A-Z]{{2}})? \d{{5}})?",
+    re.I,
+)
+
+
+def announced(text: str, at: int) -> str | None:
+    """The kind that the nearest announcing word before a place in a line names."""
+    words = re.findall(rf"{_L}+", text[max(0, at - NEAR, text.rfind("\n", 0, at) + 1) : at].lower())
+    return next((_ANNOUNCED[w] for w in reversed(words) if w in _ANNOUNCED), None)
+
+
+def towns(texts: list[str]) -> set[str]:
+    """Towns of the addresses whose end a postcode or the case of letters shows, in lower case."""
+    found: Counter = Counter()
+    for m in (m for t in texts for m in _PLACE.finditer(t)):
+        words = m["town"].split()
+        if m["tail"] or len(words) == 1 or not words[1][0].isupper() or not words[0][0].isupper():
+            found[(m["town"] if m["tail"] else words[0]).lower() if m["tail"] or words[0][0].isupper() else ""] += 1
+        else:
+            found[m["town"].lower()] += 1
+    return {t for t, n in found.items() if t and n > 2}
+
+
+def formats(text: str, known_towns: set[str]) -> list[tuple[int, int, str]]:
+    """Spans that their format and the words around them show: addresses, e-mail addresses, identity and telephone numbers."""
+    out: list[tuple[int, int, str]] = []
 
-_TOWN = r"[A-Z][a-z]+(?: [A-Z][a-z]+)?"
-STRICT = [
-    ("EMAIL", re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b|[\w.+-]+ ?[(\[]at[)\]] ?[\w-]+(?:(?: dot |\.)[\w-]+)+", re.I)),
-    ("ADDRESS", re.compile(rf"(?:Flat \d+, )?\d+ (?:[A-Z]\w+ ){{1,2}}(?:Street|Road|Avenue|Ave\.?|Lane|Close|Blvd\.?|St\.?|Rd\.?)(?:, Apt \w+)?, {_TOWN}(?:,? (?:[A-Z]{{2}} )?\d{{5}})?|\d+ (?:[a-z]+ ){{1,2}}(?:street|road|lane|ave\.?|st\.?|rd\.?), (?:[a-z]+ ){{1,2}}\d{{5}}|Calle (?:[A-Z]\w+ ){{1,2}}\d+, \d+º [A-Z], \d{{5}} {_TOWN}|\w+(?:weg|straße) \d+[a-z]?, \d{{5}} {_TOWN}")),
-    ("ID_NUMBER", re.compile(r"(?<=ID: )[\w -]{9,13}(?=,)|(?<=tax id is )[\w -]{9,13}(?= on)|(?<=identity number )[\w -]{9,13}(?= in)|(?<=SSN )[\w -]{9,13}(?= was)|(?<=ational no\. )[\w -]{9,13}(?= must)|(?<=insurance no\. )[\w -]{9,13}(?= must)", re.I)),
-    ("PHONE", re.compile(r"(?<=Tel: )[+(\d][\d ().\-/]{7,}\d(?: ext\. \d+)?|(?<=left )[+(\d][\d ().\-/]{7,}\d(?: ext\. \d+)?(?= as)|(?<=Texted )[+(\d][\d ().\-/]{7,}\d(?: ext\. \d+)?(?= and)|(?<=back on )[+(\d][\d ().\-/]{7,}\d(?: ext\. \d+)?(?= before)|(?<=line is )[+(\d][\d ().\-/]{7,}\d(?: ext\. \d+)?(?= during)", re.I)),
-]
+    def add(a: int, b: int, kind: str) -> None:
+        if not any(a < y and x < b for x, y, _ in out):
+            out.append((a, b, kind))
+
+    for m in _PLACE.finditer(text):
+        end, words = m.end(), m["town"].split()
+        if not m["tail"] and len(words) == 2 and not (words[0].istitle() and words[1].istitle() or m["town"].lower() in known_towns):
+            end = m.start("town") + len(words[0])
+        add(m.start(), end, "ADDRESS")
+    for m in _EMAIL.finditer(text):
+        add(m.start(), m.end(), "EMAIL")
+    for m in _ID_ALONE.finditer(text):
+        if announced(text, m.start()) != "OTHER":
+            add(m.start(), m.end(), "ID_NUMBER")
+    for m in _ID_ANNOUNCED.finditer(text):
+        if announced(text, m.start()) == "ID_NUMBER":
+            add(m.start(), m.end(), "ID_NUMBER")
+    for m in _NUMBER.finditer(text):
+        digits = sum(c.isdigit() for c in m.group())
+        plain_date = re.fullmatch(r"\d{4}-\d\d-\d\d", m.group())
+        marked = m.group()[0] in "+(" or m.group().startswith("00 ") or re.search("[xX]", m.group())
+        kind = announced(text, m.start())
+        if 9 <= digits <= 20 and not plain_date and (kind == "PHONE" or (marked and kind is None)):
+            add(m.start(), m.end(), "PHONE")
+    return out
 
 
 def name_lists(people: list[str]) -> tuple[set[str], set[str]]:
@@ -41,16 +111,15 @@ def name_lists(people: list[str]) -> tuple[set[str], set[str]]:
     return given, {w for w in beside if w not in given and len(w) > 4}
 
 
-def label(text: str, people: list[str], given: set[str], surnames: set[str]) -> list[tuple[int, int, int]]:
+def label(text: str, people: list[str], given: set[str], surnames: set[str], known_towns: set[str] = frozenset()) -> list[tuple[int, int, int]]:
     spans: list[tuple[int, int, int]] = []
 
     def add(a: int, b: int, kind: str) -> None:
         if a < b and not any(a < y and x < b for x, y, _ in spans):
             spans.append((a, b, pii.KINDS.index(kind)))
 
-    for kind, pattern in STRICT:
-        for m in pattern.finditer(text):
-            add(m.start(), m.end(), kind)
+    for a, b, kind in formats(text, known_towns):
+        add(a, b, kind)
     for p in sorted(set(people), key=len, reverse=True):
         for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", text):
             add(m.start(), m.end(), "NAME")
@@ -86,10 +155,10 @@ class Net:
         self.steps = 0
 
     def frozen(self) -> dict[str, np.ndarray]:
-        """The form that decoding uses: embedding and input weights folded into one table."""
+        """The form that decoding uses: the bias as a last element of every symbol's vector, hidden and input weights side by side."""
         p = self.p
-        tables = {f"table_{d}": p["embed"] @ p[f"in_{d}"] + p[f"b_{d}"] for d in "fb"}
-        return tables | {k: p[k] for k in ("rec_f", "rec_b", "out", "bias", "trans", "start")}
+        weights = {f"rec_{d}": np.concatenate([p[f"rec_{d}"], p[f"in_{d}"].T, p[f"b_{d}"][:, None]], axis=1) for d in "fb"}
+        return pii.strict(weights | {"embed": np.concatenate([p["embed"], np.ones((pii.SYMBOLS, 1), np.float32)], axis=1)} | {k: p[k] for k in ("out", "bias", "trans", "start")})
 
     def _run(self, symbols, d):
         p, size = self.p, self.hidden
@@ -209,25 +278,41 @@ def cut(texts: list[str], spans: list[list], rng) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def train(texts: list[str], spans: list[list], passes: int = PASSES, lanes: int = 96, hidden: int = HIDDEN, seconds: float = 420, said=print) -> Net:
+def _padded(batch: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(c) for c, _ in batch])
+    symbols, tags = np.full((lengths.max(), len(batch)), pii._PAD, np.uint8), np.zeros((lengths.max(), len(batch)), np.int64)
+    for k, (c, g) in enumerate(batch):
+        symbols[: len(c), k], tags[: len(c), k] = c, g
+    return symbols, tags, lengths
+
+
+def _gradient(job: tuple[int, dict, list]) -> tuple[float, dict[str, np.ndarray]]:
+    hidden, parameters, batch = job
+    net = Net(hidden)
+    net.p = parameters
+    return net.loss(*_padded(batch))
+
+
+def train(texts: list[str], spans: list[list], passes: int = PASSES, lanes: int = 96, hidden: int = HIDDEN, seconds: float = 420, said=print, workers: int = 1) -> Net:
+    """A step takes the mean gradient of ``workers`` batches, computed in as many processes."""
     net, rng, began = Net(hidden), np.random.default_rng(7), time.time()
+    pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
     for n in range(passes):
         pieces = cut(texts, spans, rng)
         pieces.sort(key=lambda x: len(x[0]) + rng.random() * 20)
         starts = rng.permutation(range(0, len(pieces), lanes))
         total, rate = 0.0, 0.012 * 0.5 ** (6.0 * max(n / passes, (time.time() - began) / seconds))
-        for s in starts:
-            batch = pieces[s : s + lanes]
-            lengths = np.array([len(c) for c, _ in batch])
-            symbols, tags = np.full((lengths.max(), len(batch)), pii._PAD, np.uint8), np.zeros((lengths.max(), len(batch)), np.int64)
-            for k, (c, g) in enumerate(batch):
-                symbols[: len(c), k], tags[: len(c), k] = c, g
-            value, grad = net.loss(symbols, tags, lengths)
-            net.step(grad, rate)
-            total += value
+        for k in range(0, len(starts), workers):
+            jobs = [(hidden, net.p, pieces[s : s + lanes]) for s in starts[k : k + workers]]
+            results = pool.map(_gradient, jobs) if pool else map(_gradient, jobs)
+            values, grads = zip(*results)
+            net.step({key: sum(g[key] for g in grads) / len(grads) for key in grads[0]}, rate)
+            total += sum(values)
         said(f"pass {n}: loss {total / len(starts):.3f}, {time.time() - began:.0f} s", flush=True) if said is print else said(total / len(starts))
         if time.time() - began > seconds:
             break
+    if pool:
+        pool.close()
     return net
 
 
@@ -242,8 +327,14 @@ def measure(model: dict[str, np.ndarray], texts: list[str], spans: list[list]) -
     return out
 
 
-def labelled_sample(folder: str, most: int = SAMPLE, teacher: dict[str, np.ndarray] | None = None) -> tuple[list[str], list[list]]:
-    """A bounded sample of contents with labelled spans: all kinds but names first, then names, and a fifth without any.
+def held_out(content: str) -> bool:
+    """A tenth of all contents, all records that share a content alike, is never trained on."""
+    return zlib.crc32(content.encode()) % 10 == 0
+
+
+def labelled_sample(folder: str, most: int = SAMPLE, teacher: dict[str, np.ndarray] | None = None, held: bool = False) -> tuple[list[str], list[list]]:
+    """A bounded sample of contents with labelled spans: all kinds but names first, then names, and a fifth without any; of the contents
+    that are trained on, or of those held out.
 
     Annotations leave names out; with a ``teacher`` (a tagger trained on the annotations alone) its names are added.
     """
@@ -254,8 +345,9 @@ def labelled_sample(folder: str, most: int = SAMPLE, teacher: dict[str, np.ndarr
     rows = [r for r in [*{r["id"]: r for r in table}.values(), *judged] if r["content"]]
     person = lambda e: e["text"] and (e["type"] or "").lower() in ("person", "per")
     given, surnames = name_lists([e["text"] for r in rows for e in r.get("entities") or [] if person(e)])
-    rows = [rows[k] for k in np.random.default_rng(11).permutation(len(rows))]
-    labelled = [(r["content"], label(r["content"], [e["text"] for e in r.get("entities") or [] if person(e)], given, surnames)) for r in rows]
+    known_towns = towns([r["content"] for r in rows])
+    rows = [rows[k] for k in np.random.default_rng(11).permutation(len(rows)) if held_out(rows[k]["content"]) == held]
+    labelled = [(r["content"], label(r["content"], [e["text"] for e in r.get("entities") or [] if person(e)], given, surnames, known_towns)) for r in rows]
     rank = [0 if any(pii.KINDS[k] != "NAME" for _, _, k in s) else 1 if s else 2 for _, s in labelled]
     rare, named, none = ([x for x, r in zip(labelled, rank) if r == k] for k in range(3))
     chosen = rare[: most // 2]
@@ -271,12 +363,11 @@ def labelled_sample(folder: str, most: int = SAMPLE, teacher: dict[str, np.ndarr
 
 
 def main(folder: str, teacher: str | None = None) -> None:
-    texts, spans = labelled_sample(folder, teacher=pii.load(teacher) if teacher else None)
-    held = len(texts) // 10
+    names_of = pii.load(teacher) if teacher else None
+    texts, spans = labelled_sample(folder, teacher=names_of)
     print(len(texts), "texts", Counter(pii.KINDS[k] for s in spans for _, _, k in s))
-    net = train(texts[held:], spans[held:])
-    model = net.frozen()
-    print(measure(model, texts[:held], spans[:held]))
+    model = train(texts, spans, workers=4).frozen()
+    print("held out", measure(model, *labelled_sample(folder, SAMPLE // 4, names_of, held=True)))
     np.savez_compressed(pii.MODEL, **{k: v.astype(np.float16 if k not in ("trans", "start", "bias") else np.float32) for k, v in model.items()})
 
 
