@@ -116,11 +116,15 @@ def pair_counts(baskets: DataFrame, least: int = 1) -> DataFrame:
     clean = materialize(clean.withColumn("basket", F.monotonically_increasing_id()))
     held = clean.select("kind", "basket", F.explode("items").alias("item"))
     items = materialize(number_items(held.groupBy("kind", "item").agg(F.count("*").alias("n")).where(F.col("n") >= least)))
+    if (items.agg(F.max("code")).first()[0] or 0) >= 1 << 32:
+        raise OverflowError("over 2**32 items of the asked frequency: two codes do not fit in 64 bits; raise `least`")
+    # Items are as many as the data names: joined by shuffle, never broadcast by an estimate.
+    items = items.hint("merge")
     coded = held.join(items, ["kind", "item"]).groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     runs = coded.where(F.size("codes") > 1).select("codes").mapInArrow(_sorted_runs, "pair long, n long")
     merged = runs.repartition(partitions(baskets.sparkSession), "pair").sortWithinPartitions("pair").mapInArrow(_run_lengths, "pair long, n long")
     pairs = merged.where(F.col("n") >= least).select(
-        F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), F.col("n").alias("together")
+        F.shiftrightunsigned("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), F.col("n").alias("together")
     )
     left = items.select(F.col("code").alias("a"), F.col("kind").alias("item_kind"), F.col("item").alias("item_a"), F.col("n").alias("count_a"))
     right = items.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("n").alias("count_b"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from palimpsest.runtime import materialize
 #: Zero-width spaces, joiners, byte order mark and soft hyphen: removed before words are read.
 INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
 WORD = re.compile("[a-z0-9]+")
-#: Most bytes of item words and shingles that are shipped to every task; beyond it, the scan is refused with a clear error.
+#: Most bytes of item words and shingles that are shipped to every task; more items are taken in blocks, one scan each.
 ITEM_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,12 +115,20 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run_words: int = 10,
 
     ``documents``: ``doc_id, text``; ``items``: ``item_id, text``. One row per pair with its longest run and the word at which it
     starts. Null and empty texts hold no words and give nothing; an item under ``run_words`` words cannot leak. Repeated ids count
-    once. The item side must be small (its size is checked against ``ITEM_BYTES``); documents are unbounded.
+    once. Documents are unbounded. Items are held by every task, so they are dealt into blocks of ``ITEM_BYTES`` by their id, and the
+    documents are scanned once per block; an item's rows do not depend on its block.
     """
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-24 * chars // ITEM_BYTES)
+    if blocks < 2:
+        return _leaked(documents, items, run_words, q)
+    # Twice as many blocks as would do, since they are dealt by hash; written one by one, so that no plan grows with their number.
+    block = F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks))
+    return reduce(DataFrame.union, (materialize(_leaked(documents, items.where(block == k), run_words, q)) for k in range(2 * blocks)))
+
+
+def _leaked(documents: DataFrame, items: DataFrame, run_words: int, q: int) -> DataFrame:
     spark = documents.sparkSession
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if 24 * size > ITEM_BYTES:
-        raise ValueError(f"the items hold {size} characters; their shingles would not fit in {ITEM_BYTES} bytes: pass them in parts")
     vocabulary: dict[str, int] = {}
     listed: dict = {}
     for row in items.select("item_id", "text").toLocalIterator():
@@ -155,7 +164,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run_words: int = 10,
     lengths = sized.select("item_id", F.size("item_words").alias("item_length"))
     shapes = held.select("doc_id", F.size("words").alias("length"))
     candidates = (
-        found.join(prefix, "shingle")
+        # At most one prefix for each window of a block of items, which ITEM_BYTES bounds: a shingle that half of the documents hold stays where it is.
+        found.join(F.broadcast(prefix), "shingle")
         .select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"))
         .distinct()
         .join(lengths, "item_id")

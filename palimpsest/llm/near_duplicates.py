@@ -409,8 +409,9 @@ def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     signatures, _ = _index_entries(plan, codes, offsets)
     np.add.at(cells, (signatures & np.uint64(COST_CELLS - 1)).astype(np.int64), np.float32(1))
     costs = Costs(cells, number / max(1, len(sample)))
-    # About three signatures per shingle and set.
-    entries = number * 3 * max(1, len(codes) // max(1, len(sample)))
+    # Signatures a set of the sample sends, to the index and as probes, times the sets: the number that the reducers share.
+    sent = len(signatures) + len(_probe_entries(plan, codes, offsets, costs)[0])
+    entries = int(number * (sent / max(1, len(sample)))) + 1
     reducers = max(min(partitions(spark), 6), -(-entries // ENTRIES_PER_REDUCER))
     blocks = texts.select("gid", "words").mapInArrow(_sender(plan, shingle, costs, reducers), "reducer int, block binary")
     near = blocks.repartitionById(reducers, F.col("reducer")).mapInArrow(_matcher(plan), "a long, b long").distinct()

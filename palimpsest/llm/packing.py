@@ -4,9 +4,10 @@ Documents are measured once in tokens of a public tokenizer. A document larger t
 container each and one rest; nothing else is split. The rest is spread evenly over partitions of bounded size. In a partition the
 sources are queues; each window is filled by deficit round-robin: every source earns tokens in proportion to its target share and
 sends items while its deficit lasts. Deficits are carried from window to window, and each partition starts with the deficits that
-the partitions before it leave behind (a running sum over per-partition token counts, known before any packing starts). Inside a
-window items go to the fullest container that still takes them, largest first; a container that no item of later windows could
-fill further is closed, the others stay open for the next window.
+the partitions before it leave behind (running sums over per-partition token counts, computed on the cluster before any packing
+starts). A window holds what fills ``WINDOW_BOXES`` containers. Inside it items go, largest first, to one of the ``LOOK`` fullest
+containers that still take them, to the one that holds least of the item's source against its target; containers with room left stay
+open for the next window.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import materialize
 
 #: Items in one partition of the packing: bounds a task's memory (ids and sizes only, no text).
-ITEMS_PER_PARTITION = 200_000
-#: Items that deficit round-robin draws into one window.
-WINDOW_ITEMS = 4_000
+ITEMS_PER_PARTITION = 20_000
+#: Containers that deficit round-robin fills with one window, and containers among which an item's source decides.
+WINDOW_BOXES, LOOK = 64, 4
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
@@ -69,23 +70,28 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class _Shelf:
-    """Open containers of one partition, sorted by free room, for best fit."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.free, self.next = capacity, [], 0
-
-    def put(self, size: int) -> int:
-        k = bisect_left(self.free, (size, -1))
-        if k < len(self.free):
-            room, box = self.free.pop(k)
+    """Open containers of one partition, sorted by free room, with the tokens of each source in them."""
+
+    def __init__(self, capacity: int, targets: dict[str, float]):
+        self.capacity, self.targets, self.free, self.held = capacity, targets, [], []
+
+    def put(self, size: int, source: str) -> int:
+        free, held = self.free, self.held
+        k = bisect_left(free, (size, -1))
+        if k < len(free):
+            if len(free) > k + 1:
+                k = min(range(k, min(len(free), k + LOOK)), key=lambda i: (held[free[i][1]].get(source, 0) / (self.capacity - free[i][0]), i))
+            room, box = free.pop(k)
         else:
-            room, box, self.next = self.capacity, self.next, self.next + 1
+            room, box = self.capacity, len(held)
+            held.append({})
+        held[box][source] = held[box].get(source, 0) + size
         if room > size:
-            insort(self.free, (room - size, box))
+            insort(free, (room - size, box))
         return box
 
 
-def draw_windows(sources: list[str], sizes: list[int], targets: dict[str, float], deficits: dict[str, float], window: int = WINDOW_ITEMS) -> Iterator[list[int]]:
+def draw_windows(sources: list[str], sizes: list[int], targets: dict[str, float], deficits: dict[str, float], window: int = 4_000) -> Iterator[list[int]]:
     """Deficit round-robin over one queue per source: yields windows of item positions; ``deficits`` is carried and updated."""
     queues: dict[str, deque] = {}
     for k, s in enumerate(sources):
@@ -114,15 +120,16 @@ def draw_windows(sources: list[str], sizes: list[int], targets: dict[str, float]
         yield taken
 
 
-def _packer(capacity: int, targets: dict[str, float]):
+def _packer(capacity: int):
     def pack(group: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        deficits = dict(zip(owed["source"].tolist(), owed["deficit"].tolist()))
+        deficits, targets = (dict(zip(owed["source"].tolist(), owed[c].tolist())) for c in ("deficit", "target"))
         sizes, sources = group["tokens"].tolist(), group["source"].tolist()
-        shelf, box, window_of = _Shelf(capacity), [0] * len(group), [0] * len(group)
-        for number, window in enumerate(draw_windows(sources, sizes, targets, deficits)):
+        width = max(LOOK, round(WINDOW_BOXES * capacity / max(1.0, float(group["tokens"].mean()))))
+        shelf, box, window_of = _Shelf(capacity, targets), [0] * len(group), [0] * len(group)
+        for number, window in enumerate(draw_windows(sources, sizes, targets, deficits, width)):
             for k in sorted(window, key=lambda i: (-sizes[i], i)):
-                box[k], window_of[k] = shelf.put(sizes[k]), number
+                box[k], window_of[k] = shelf.put(sizes[k], sources[k]), number
         group["container"] = box
         group["window"] = window_of
         return group[["part", "window", "container", "doc_id", "piece", "start", "tokens", "source"]]
@@ -130,6 +137,21 @@ def _packer(capacity: int, targets: dict[str, float]):
     return pack
 
 
+def owed_at_start(placed: DataFrame, targets: dict[str, float] | None, total: int) -> DataFrame:
+    """Rows ``(part, source, target, deficit)``: what each source present in a partition is owed when it starts, its target share of
+    all tokens before less its own tokens before; shares that no target names are those of the input, or 0 beside given targets."""
+    own = placed.groupBy("part", "source").agg(F.sum("tokens").alias("own"))
+    if targets is None:
+        share = own.groupBy("source").agg((F.sum("own") / F.lit(max(1, total))).alias("target"))
+    else:
+        share = own.sparkSession.createDataFrame(sorted(targets.items()), "source string, target double")
+    # A row per partition of ITEMS_PER_PARTITION items: running sums over them are short; those by source run side by side.
+    parts = own.groupBy("part").agg(F.sum("own").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("part")) - F.col("all"))
+    own = own.withColumn("own_before", F.sum("own").over(Window.partitionBy("source").orderBy("part")) - F.col("own"))
+    known = own.join(parts, "part").join(share, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    return known.select("part", "source", "target", (F.col("target") * F.col("before") - F.col("own_before")).alias("deficit"))
+
+
 def packed(counted: DataFrame, capacity: int, targets: dict[str, float] | None = None, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
     """Put counted documents into containers of ``capacity`` tokens.
 
@@ -153,26 +175,12 @@ def packed(counted: DataFrame, capacity: int, targets: dict[str, float] | None =
     rests = some.where(F.col("tokens") % capacity > 0).select(
         "doc_id", "source", (F.col("tokens") / capacity).cast("int").alias("piece"), (F.floor(F.col("tokens") / capacity) * capacity).alias("start"), (F.col("tokens") % capacity).alias("tokens")
     )
-    sums = rests.groupBy("source").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens")).collect()  # one row per source
-    items = sum(r["items"] for r in sums)
-    total = sum(r["tokens"] for r in sums) or 1
-    targets = targets or {r["source"]: r["tokens"] / total for r in sums}
+    items, total = rests.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     parts = max(1, -(-items // items_per_partition))
     placed = rests.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    # What a source is owed when a partition starts: its target share of all tokens before, less its own tokens before.
-    # One number per partition and source: a partition stands for ITEMS_PER_PARTITION items, so the driver can sum them up.
-    supply: dict[int, dict[str, int]] = {}
-    for row in placed.groupBy("part", "source").agg(F.sum("tokens").alias("own")).toLocalIterator():
-        supply.setdefault(row["part"], {})[row["source"]] = row["own"]
-    debts, so_far, own = [], 0, dict.fromkeys(targets, 0)
-    for part in sorted(supply):
-        debts += [(part, s, t * so_far - own[s]) for s, t in targets.items()]
-        so_far += sum(supply[part].values())
-        for s, tokens in supply[part].items():
-            own[s] = own.get(s, 0) + tokens
-    owed = counted.sparkSession.createDataFrame(debts, "part int, source string, deficit double")
+    owed = materialize(owed_at_start(placed, targets, total))
     schema = f"part int, window int, container int, doc_id {kind}, piece int, start long, tokens long, source string"
-    out = placed.groupBy("part").cogroup(owed.groupBy("part")).applyInPandas(_packer(capacity, targets), schema)
+    out = placed.groupBy("part").cogroup(owed.groupBy("part")).applyInPandas(_packer(capacity), schema)
     name = F.concat(F.col("part").cast("string"), F.lit("-"), F.col("container").cast("string"))
     return out.select(name.alias("container"), "window", "doc_id", "piece", "start", "tokens", "source").union(full)
 
@@ -188,3 +196,18 @@ def packed_for_budgets(documents: DataFrame, budgets: DataFrame, path: str | Non
     if out is None:
         raise ValueError("no budget given")
     return out
+
+
+def mixture(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Rows ``(*by, source, target, share, off)`` of packed rows in containers (whole-container pieces left out): the source's share of
+    all tokens, the token-weighted mean share of its windows that it fills there, and the mean distance of windows from the target."""
+    mixed = placed.where("window is not null").withColumn("part", F.split_part("container", F.lit("-"), F.lit(1)))
+    own = mixed.groupBy(*by, "part", "window", "source").agg(F.sum("tokens").alias("own"))
+    windows = own.groupBy(*by, "part", "window").agg(F.sum("own").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "own"))).alias("held"))  # one entry per source
+    sources = own.groupBy(*by, "source").agg(F.sum("own").alias("tokens"))
+    totals = sources.groupBy(*by).agg(F.sum("tokens").alias("total"))
+    targets = sources.join(totals, by).select(*by, "source", (F.col("tokens") / F.col("total")).alias("target"))
+    each = windows.join(targets, by).withColumn("share", F.coalesce(F.element_at("held", F.col("source")), F.lit(0)) / F.col("all"))
+    return each.groupBy(*by, "source", "target").agg(
+        (F.sum(F.col("share") * F.col("all")) / F.sum("all")).alias("share"), (F.sum(F.abs(F.col("share") - F.col("target")) * F.col("all")) / F.sum("all")).alias("off")
+    )

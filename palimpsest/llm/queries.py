@@ -69,6 +69,10 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.mixture(p6_packed(spark, folder), ["model", "capacity"])
+
+
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").select("item_id", F.col("query_text").alias("text"))
 
@@ -93,7 +97,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_lift, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_neighbours, p6_packed, p6_fill, p7_found, p7_documents, p8_found, p8_rates,
+        p1_found, p1_clusters, p2_found, p2_lift, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_neighbours, p6_packed, p6_fill, p6_mixture, p7_found, p7_documents, p8_found, p8_rates,
     )
 }
 

@@ -26,6 +26,8 @@ from palimpsest.runtime import materialize
 TOKEN = re.compile(r"[^\W_]+|%")
 #: What may follow a complete utterance: stops with closing quotes and brackets, then white space; or a line break.
 CLOSE = re.compile(r"[\"'”’»)\]*_`]*(?:[.!?…。]+[\"'”’»)\]*_`]*(?=\s)|[ \t,;:]*\n)")
+#: A word, and whether an end follows it.
+WORD_AND_END = re.compile(rf"(?:{TOKEN.pattern})(?=({CLOSE.pattern})?)")
 FINAL_STOP = re.compile(r"[.!?。][\"'”’»)\]*_`]*\s*$")
 #: Marks left by a system that cut; also authors trail off this way, so the words before decide.
 MARK = re.compile(r"\s*(?:…|\.\.\.|\[(?:\.\.\.|…|truncated|cut|clipped|more)\]|\(truncated\))\s*$", re.I)
@@ -35,6 +37,8 @@ LISTING = re.compile(r"(?m)^[^\W\d_][\w ]{1,20}: ?(?:[\w./-]+, )*[\w./-]*$")
 ANCHORED = 6
 #: Within how many characters below a limit a cut at a word boundary may end.
 BOUNDARY = 14
+#: Values at one length, and in the BOUNDARY characters below one, on which a limit is believed.
+LEAST_AT, LEAST_NEAR = 5, 8
 #: Share of documents cut away from limits that is assumed when random cuts are discounted; only its order of magnitude matters.
 CUT_SHARE = 0.04
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,10 +82,8 @@ _COLUMNS = ["doc_id", "source", "chars", "bytes", "stop", "mark", "open", *(f"g_
 
 def _tokens(body: str, known: dict[str, int]) -> tuple[list[int], list[bool], list[int]]:
     """Word codes of a text, whether an end follows each word, and which words start a line."""
-    found = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(body)]
-    closed = [e for _, e, _ in found]
-    names = [t for _, _, t in found]
-    gaps = [CLOSE.match(body, e) is not None for e in closed]
+    found = [(m.end(), m[0], m[1] is not None) for m in WORD_AND_END.finditer(body)]
+    closed, names, gaps = (list(x) for x in zip(*found)) if found else ([], [], [])
     if ": " in body:
         for line in LISTING.finditer(body):
             for k in range(bisect_left(closed, line.start() + 1), bisect_left(closed, line.end() + 1)):
@@ -177,22 +179,30 @@ def _density(lengths: np.ndarray, mean: float, sd: float) -> np.ndarray:
 
 
 def source_limits(histogram: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's histogram ``(source, unit, length, n)``: rows ``(source, unit, length, posterior)`` at and just below limits."""
+    """Of one source's histogram ``(source, unit, length, n)``: rows ``(source, unit, length, posterior)`` at and just below limits.
+
+    Counts around a length come from running sums over the lengths that occur, so the work grows with their number, not with the
+    longest text. ``LEAST_AT`` and ``LEAST_NEAR`` values are the least evidence on which a limit, or a crowd below one, is believed.
+    """
     out = []
     for unit, part in histogram.groupby("unit"):
         part = part.sort_values("length")
         lengths, counts = part["length"].to_numpy(), part["n"].to_numpy()
         total = counts.sum()
+
+        def within(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(values)])
+            return sums[np.searchsorted(lengths, high, "right")] - sums[np.searchsorted(lengths, low, "left")]
+
+        # The fit alone may be off where a source mixes kinds of text: the neighbourhood is asked too.
+        near = (within(counts, lengths - 40, lengths + 40) - counts) / 80.0
         limits: list[int] = []
-        for _ in range(4):
+        while True:  # limits are only added, so this ends
             mean, sd = fit_censored(lengths, counts, limits)
-            expected = total * _density(lengths, mean, sd)
-            # The fit alone may be off where a source mixes kinds of text: the neighbourhood is asked too.
-            near = (np.convolve(np.bincount(lengths, counts, 81), np.ones(81), "same")[lengths] - counts) / 80.0
-            usual = np.maximum(expected, near)
+            usual = np.maximum(total * _density(lengths, mean, sd), near)
             # Below nearly all of the fit, texts of one length are short answers rather than cuts.
             least = min(64, math.exp(mean - 2 * sd))
-            piled = lengths[(counts >= 5) & (counts > 5 * usual + 3 * np.sqrt(usual + 1)) & (lengths >= least)]
+            piled = lengths[(counts >= LEAST_AT) & (counts > 5 * usual + 3 * np.sqrt(usual + 1)) & (lengths >= least)]
             if set(piled) <= set(limits):
                 break
             limits = sorted({*limits, *piled.tolist()})
@@ -200,14 +210,13 @@ def source_limits(histogram: pd.DataFrame) -> pd.DataFrame:
             k = int(np.searchsorted(lengths, x))
             out.append((unit, x, float(np.clip(1 - usual[k] / counts[k], 0.02, 0.98))))
         # Cuts at a word boundary end anywhere in the last BOUNDARY characters below a limit: look for crowded windows.
-        dense = np.zeros(max(int(lengths.max()), 12 * BOUNDARY) + 2)  # never shorter than a kernel
-        dense[lengths] = counts
-        dense[[x for x in limits]] = 0
-        window = np.convolve(dense, np.ones(BOUNDARY))[: len(dense)]
-        around = (np.convolve(dense, np.ones(12 * BOUNDARY + 1), "same") - np.convolve(dense, np.ones(2 * BOUNDARY + 1), "same")) / (10.0)
-        for x in np.flatnonzero((window >= 8) & (window > 3 * around + 3 * np.sqrt(around + 1)) & (np.arange(len(dense)) >= least)):
-            p = float(np.clip(1 - around[x] / window[x], 0.02, 0.95))
-            out += [(unit, int(y), p) for y in range(max(1, x - BOUNDARY + 1), x + 1) if dense[y]]
+        loose = np.where(np.isin(lengths, limits), 0, counts)
+        window = within(loose, lengths - BOUNDARY + 1, lengths)
+        around = (within(loose, lengths - 6 * BOUNDARY, lengths + 6 * BOUNDARY) - within(loose, lengths - BOUNDARY, lengths + BOUNDARY)) / 10.0
+        for k in np.flatnonzero((window >= LEAST_NEAR) & (window > 3 * around + 3 * np.sqrt(around + 1)) & (lengths >= least)):
+            p = float(np.clip(1 - around[k] / window[k], 0.02, 0.95))
+            low = np.searchsorted(lengths, lengths[k] - BOUNDARY + 1)
+            out += [(unit, int(y), p) for y in lengths[low : k + 1][loose[low : k + 1] > 0]]
     frame = pd.DataFrame(out, columns=["unit", "length", "posterior"])
     frame = frame.groupby(["unit", "length"], as_index=False)["posterior"].max()
     frame.insert(0, "source", histogram["source"].iloc[0])

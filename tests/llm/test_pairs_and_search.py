@@ -186,6 +186,25 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_items_in_blocks_leak_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(pool) for _ in range(30))) for k in range(20)]
+    docs = [(k, " ".join([*rng.choices(pool, k=20), *items[k % 20][1].split()[: rng.choice([5, 12, 30])], *rng.choices(pool, k=20)])) for k in range(50)]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, leakage.leaked_passages(ddf, idf).collect()))
+    monkeypatch.setattr(leakage, "ITEM_BYTES", 24 * 800)
+    assert sorted(map(tuple, leakage.leaked_passages(ddf, idf).collect())) == want and len(want) > 20
+
+
+def test_pair_codes_of_high_numbers_come_apart_again(spark):
+    pair = ((1 << 31) + 5 << 32) | 7
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(pair - (1 << 64),)], "pair long").select(F.shiftrightunsigned("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")).first()
+    assert tuple(row) == ((1 << 31) + 5, 7)
+
+
 def test_leaks_of_nothing(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert leakage.leaked_passages(d, spark.createDataFrame([], "item_id long, text string")).count() == 0

@@ -158,6 +158,35 @@ def test_windows_keep_the_mixture_and_carry_deficits():
             assert abs(sum(sizes[k] for k in w if sources[k] == s) / own - targets[s]) < 0.03
 
 
+def test_partitions_start_with_what_sources_are_owed(spark):
+    rng = random.Random(5)
+    rows = [(p, rng.choice("aaab" if p % 2 else "abbc"), rng.randint(1, 50)) for p in range(12) for _ in range(20)]
+    df = spark.createDataFrame(rows, "part int, source string, tokens long")
+    targets = {"a": 0.5, "b": 0.5}
+    for r in packing.owed_at_start(df, targets, 0).collect():
+        before = [t for p, _, t in rows if p < r.part]
+        own = sum(t for p, s, t in rows if p < r.part and s == r.source)
+        assert abs(r.deficit - (targets.get(r.source, 0.0) * sum(before) - own)) < 1e-6
+
+
+def test_given_targets_are_met_while_queues_last(spark):
+    rng = random.Random(6)
+    rows = [(k, "a" if k % 4 else "b", rng.randint(5, 60)) for k in range(6000)]
+    out = [r for r in _packed(spark, rows, 200, targets={"a": 0.5, "b": 0.5}, items_per_partition=2000)]
+    windows: dict = {}
+    for r in out:
+        windows.setdefault((r.container.split("-")[0], r.window), []).append(r)
+    early = [w for (p, k), w in windows.items() if p == "0" and k < 2]  # nothing is owed there yet, and b, a fourth of the items, still lasts
+    for w in early:
+        assert abs(sum(r.tokens for r in w if r.source == "b") / sum(r.tokens for r in w) - 0.5) < 0.1
+    boxes: dict = {}
+    for w in early:
+        for r in w:
+            boxes.setdefault(r.container, []).append(r)
+    both = sum(1 for b in boxes.values() if {r.source for r in b} == {"a", "b"})
+    assert both > 0.8 * len(boxes)
+
+
 def test_packing_edges(spark):
     assert _packed(spark, [], 10) == [] and _packed(spark, [(1, "a", 0)], 10) == []
     assert [(r.piece, r.start, r.tokens) for r in sorted(_packed(spark, [(1, "a", 25)], 10), key=lambda r: r.piece)] == [(0, 0, 10), (1, 10, 10), (2, 20, 5)]
