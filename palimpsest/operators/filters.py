@@ -31,7 +31,12 @@ def forgotten() -> Column:
 
 def expired(as_of: Column) -> Column:
     """``valid_until`` is before ``as_of``; an open end never expires."""
-    return F.coalesce(F.col("valid_until") < as_of, F.lit(False))
+    return F.col("valid_until").isNotNull() & (F.col("valid_until") < as_of)
+
+
+def unexpired(as_of: Column) -> Column:
+    """The opposite of ``expired`` in a form that reaches the scan."""
+    return F.col("valid_until").isNull() | (F.col("valid_until") >= as_of)
 
 
 def lowered(column: str) -> Column:
@@ -115,9 +120,14 @@ def matching(c: Criteria) -> Column:
             parts.append(within(column, bounds))
     if c.importance_buckets is not None:
         low, high = (importance_bucket(F.lit(x)) for x in c.importance_buckets)
+        # The range of raw values that the buckets span, for the scan; the bucket decides.
+        parts.append(within("importance", (c.importance_buckets[0] - 0.11, c.importance_buckets[1] + 0.11)))
         parts.append(importance_bucket(F.col("importance")).between(low, high))
     if c.reward_buckets is not None:
         low, high = (reward_bucket(F.lit(x)) for x in c.reward_buckets)
+        # Rewards beyond [-1, 1] fall into the outer buckets, so the raw range is open there.
+        raw = [x if abs(x) < 1 else None for x in (c.reward_buckets[0] - 0.11, c.reward_buckets[1] + 0.11)]
+        parts.append(within("reward", tuple(raw)))
         parts.append(reward_bucket(F.col("reward")).between(low, high))
     if c.days is not None:
         parts.append(F.to_date("created_at").between(F.lit(c.days[0]).cast("date"), F.lit(c.days[1]).cast("date")))

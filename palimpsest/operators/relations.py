@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.filters import entity_names
+from palimpsest.operators.filters import entity_names, once
 
 # Words that turn a statement round, and the relation that two memory types suggest.
 NEGATIONS = "not no never none neither nobody nothing nowhere nor cannot can't won't don't doesn't didn't isn't aren't wasn't weren't shouldn't wouldn't couldn't without lacks fails failed".split()
@@ -51,10 +51,10 @@ def matching_entities(memories: DataFrame, wanted: list[str]) -> DataFrame:
 
 def facts_as_of(facts: DataFrame, at: Column, limit: int | None = None) -> DataFrame:
     """Facts valid at ``at``: ``valid_from <= at < valid_until`` (open ends hold, a missing start is the creation), purged ones never.
-    Sorted by confidence before any limit."""
-    start = F.coalesce("valid_from", "created_at")
-    valid = F.coalesce(start <= at, F.lit(True)) & F.coalesce(F.col("valid_until") > at, F.lit(True)) & F.col("purged_at").isNull()
-    out = facts.where(valid)
+    Sorted by confidence before any limit; a repeated id counts once. The tests are comparisons of single columns, which reach the scan."""
+    begun = (F.col("valid_from") <= at) | (F.col("valid_from").isNull() & ((F.col("created_at") <= at) | F.col("created_at").isNull()))
+    going_on = F.col("valid_until").isNull() | (F.col("valid_until") > at)
+    out = once(facts.where(F.col("purged_at").isNull() & begun & going_on))
     return out.orderBy(F.desc_nulls_last("confidence"), "id").limit(limit) if limit is not None else out
 
 
@@ -160,3 +160,18 @@ def narratives(facts: DataFrame, least: int = 5, share: float = 0.2) -> DataFram
     usable = df.join(total, "user_id").where(F.col("df") < F.greatest(F.lit(float(least)), F.col("total") * share)).select("user_id", "entity", "df")
     topic = rows.join(usable, ["user_id", "entity"]).groupBy("user_id", "id", "support_count", "confidence").agg(F.min_by("entity", F.struct("df", "entity")).alias("topic"))
     return topic.groupBy("user_id", "topic").agg(F.count("*").alias("facts"), F.sum("support_count").alias("support"), F.avg("confidence").alias("confidence"))
+
+
+def graph_stats(entities: DataFrame, edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """Per tenant that has any: distinct entities, edges with their mean strength (null without edges), and episodes.
+
+    The three counts are aggregated side by side and united, so a tenant that lacks one of them is not lost.
+    """
+    none = F.lit(None)
+    parts = [
+        entities.groupBy("user_id").agg(F.countDistinct("uuid").alias("entities")).select("user_id", "entities", F.lit(0).alias("edges"), F.lit(0).alias("episodes"), none.cast("double").alias("strength")),
+        edges.groupBy("user_id").agg(F.count("*").alias("edges"), F.avg(F.col("strength").cast("double")).alias("strength")).select("user_id", F.lit(0).alias("entities"), "edges", F.lit(0).alias("episodes"), "strength"),
+        memories.groupBy("user_id").agg(F.countDistinct("episode_id").alias("episodes")).select("user_id", F.lit(0).alias("entities"), F.lit(0).alias("edges"), "episodes", none.cast("double").alias("strength")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("user_id").agg(*(F.sum(c).alias(c) for c in ("entities", "edges", "episodes")), F.max("strength").alias("strength"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import materialize
+
 # Frequent English words that carry no content.
 STOP_WORDS = """
 a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her
@@ -15,6 +17,8 @@ here hers herself him himself his how i if in into is it its itself just me more
 their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves
 """.split()
 K1, B = 1.2, 0.75
+#: Distinct query terms that are compared as a list; parts in which a ranked group is cut first.
+TERMS, SALTS = 500, 32
 
 
 def words(text: Column, least: int = 2, stop: bool = True) -> Column:
@@ -32,23 +36,48 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k: int | None = None) -> DataFrame:
     """``(query, key, score)``: BM25 of every document that holds a query term; ``queries`` is ``(query, text)``.
 
-    Corpus statistics cover all documents. Only postings of query terms are built: the term set prunes at the explode.
+    Corpus statistics cover all documents. The texts are read once: each gives its length and, of the query terms (few, checked by
+    ``TERMS``), those it holds with their counts; beyond that bound all terms are exploded and joined. Null texts count as documents
+    but not in the mean length.
     """
     asked = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
+    terms = [r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect()]
     shown = documents.select(key, words(F.col(text)).alias("w"))
-    corpus = shown.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    if len(terms) <= TERMS:
+        wanted = F.filter("w", lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+        held = materialize(shown.select(key, F.size("w").alias("length"), wanted.alias("w")))
+        corpus = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        rows = held.select(key, "length", F.explode("w").alias("term"))
+    else:
+        corpus = shown.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+        rows = shown.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     n, mean = corpus["n"] or 0, corpus["mean"] or 1.0
-    rows = shown.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
     tf = rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
     scored = tf.join(df, "term").withColumn("part", part).join(asked, "term").groupBy("query", key).agg(F.sum("part").alias("score"))
-    if k is None:
-        return scored
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored if k is None else first_ranks(scored, key, "score", k, ["query"])
+
+
+def first_ranks(scored: DataFrame, key: str, score: str, k: int, by: list[str]) -> DataFrame:
+    """The best ``k`` rows of each group with their ``rank`` from 1, ties by key. A group of any size is cut to ``k`` in every one of
+    its ``SALTS`` parts before the parts meet, so no task sorts a whole group."""
+    cut = scored.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), key))
+    some = cut.withColumn("rank", best(*by, "_salt")).where(F.col("rank") <= k).drop("_salt", "rank")
+    return some.withColumn("rank", best(*(by or [F.lit(0)]))).where(F.col("rank") <= k)
+
+
+def all_ranks(scored: DataFrame, key: str, score: str, by: list[str]) -> DataFrame:
+    """Every row with its ``rank`` in its group, by score from high to low, ties by key. Rows are cut into ranges of the whole order;
+    a row's rank is its place in its range and the sizes of the group's ranges before, so a group of any size spans many tasks."""
+    groups = [F.col(c) for c in by]
+    placed = materialize(scored.repartitionByRange(*groups, F.desc(score), F.asc(key)).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # a row for each group and range
+    starts = sizes.select(*by, "_part", (F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(F.desc(score), key))
+    return placed.withColumn("_place", place).join(starts, [*by, "_part"]).withColumn("rank", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str, score: str = "score", k: float = 60.0, by: list[str] | None = None) -> DataFrame:
@@ -57,8 +86,8 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, score: str = "score", k
     total = sum(w for _, w in lists) or 1.0
     out = None
     for df, weight in lists:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key)) if by else F.row_number().over(Window.orderBy(F.desc(score), key))
-        part = df.select(*by, key, score).withColumn("part", F.lit(weight / total) / (F.lit(k) + rank)).drop(score)
+        ranked = all_ranks(df.select(*by, key, score), key, score, by)
+        part = ranked.select(*by, key, (F.lit(weight / total) / (F.lit(k) + F.col("rank"))).alias("part"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(*by, key).agg(F.sum("part").alias("fused"))
 

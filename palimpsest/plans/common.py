@@ -19,20 +19,29 @@ FACTS = "f AS (SELECT DISTINCT ON (id) * FROM facts)"
 MESSAGES = "s AS (SELECT DISTINCT ON (msg_id) * FROM stream_messages)"
 
 
-def memories(spark: SparkSession, folder: str) -> DataFrame:
-    return once(table(spark, folder, "memories"))
+def _once(spark: SparkSession, folder: str, name: str, key: str, conditions: tuple) -> DataFrame:
+    """Rows of a table that meet the conditions, each key once. Redelivered rows repeat their content, so filters go first and reach
+    the scan; behind an aggregation they would not."""
+    rows = table(spark, folder, name)
+    for c in conditions:
+        rows = rows.where(c)
+    return once(rows, key)
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
-    return once(table(spark, folder, "graph_edges"), "uuid")
+def memories(spark: SparkSession, folder: str, *conditions: Column | str) -> DataFrame:
+    return _once(spark, folder, "memories", "id", conditions)
 
 
-def facts(spark: SparkSession, folder: str) -> DataFrame:
-    return once(table(spark, folder, "facts"))
+def edges(spark: SparkSession, folder: str, *conditions: Column | str) -> DataFrame:
+    return _once(spark, folder, "graph_edges", "uuid", conditions)
 
 
-def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return once(table(spark, folder, "stream_messages"), "msg_id")
+def facts(spark: SparkSession, folder: str, *conditions: Column | str) -> DataFrame:
+    return _once(spark, folder, "facts", "id", conditions)
+
+
+def messages(spark: SparkSession, folder: str, *conditions: Column | str) -> DataFrame:
+    return _once(spark, folder, "stream_messages", "msg_id", conditions)
 
 
 def as_of() -> Column:

@@ -114,7 +114,7 @@ def _hours():
 
 @_reg.add(_G + f"SELECT uuid, round(greatest(strength::DOUBLE * {_DEC}, 0.01), 6) AS effective FROM g WHERE last_activated IS NOT NULL AND strength IS NOT NULL")
 def graph_effective_strength(spark, folder):
-    g = edges(spark, folder).where("last_activated is not null and strength is not null")
+    g = edges(spark, folder, "last_activated is not null and strength is not null")
     return g.select("uuid", r(sc.effective_strength(F.col("strength"), _hours(), F.col("tier"), F.col("ltp_status"))).alias("effective"))
 
 
@@ -135,7 +135,7 @@ def graph_ltp_readiness(spark, folder):
 @_reg.add(_G + ", c AS (SELECT DISTINCT ON (uuid) uuid, pii_classification AS p FROM graph_entities) SELECT g.uuid FROM g JOIN c a ON a.uuid = from_entity JOIN c b ON b.uuid = to_entity WHERE tier = 'L3' AND a.p IS NULL AND b.p IS NULL")
 def graph_collective_export(spark, folder):
     c = fl.once(table(spark, folder, "graph_entities"), "uuid").where("pii_classification is null").select("uuid")
-    g = edges(spark, folder).where("tier = 'L3'")
+    g = edges(spark, folder, "tier = 'L3'")
     return g.join(c.select(F.col("uuid").alias("from_entity")), "from_entity", "left_semi").join(c.select(F.col("uuid").alias("to_entity")), "to_entity", "left_semi").select("uuid")
 
 
@@ -180,7 +180,7 @@ def graph_hebbian_strength(spark, folder):
     m = memories(spark, folder)
     e = fl.once(table(spark, folder, "graph_entities"), "uuid").select("user_id", F.lower("name").alias("entity"), "uuid")
     k = rel.entity_rows(m, "user_id").join(e, ["user_id", "entity"]).select("id", "uuid").distinct()
-    g = edges(spark, folder).where("invalidated_at is null").select("from_entity", "to_entity", F.col("uuid").alias("edge"), F.col("strength").cast("double").alias("w"))
+    g = edges(spark, folder, "invalidated_at is null").select("from_entity", "to_entity", F.col("uuid").alias("edge"), F.col("strength").cast("double").alias("w"))
     one = k.join(g, k.uuid == g.from_entity).select("id", "to_entity", "edge", "w")
     p = one.join(k.select("id", F.col("uuid").alias("to_entity")), ["id", "to_entity"]).groupBy("id").agg(F.avg("w").alias("w"))
     return m.select("id").join(p, "id", "left").select("id", r(F.coalesce("w", F.lit(0.5))).alias("hebbian"))
@@ -196,7 +196,7 @@ def graph_dot_nodes(spark, folder):
 @_reg.add(f"""WITH {MEMORIES}, x AS (SELECT DISTINCT id, episode_id FROM m WHERE episode_id IS NOT NULL), y AS (SELECT id, episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY id) AS k FROM x)
 SELECT a.id AS a, b.id AS b FROM y a JOIN y b ON a.episode_id = b.episode_id AND a.k < b.k AND a.k <= 20 AND b.k <= 20""")
 def graph_coactivation(spark, folder):
-    x = memories(spark, folder).where("episode_id is not null").select("id", "episode_id")
+    x = memories(spark, folder, "episode_id is not null").select("id", "episode_id")
     y = x.withColumn("k", F.row_number().over(Window.partitionBy("episode_id").orderBy("id"))).where("k <= 20")
     z = y.select("episode_id", F.col("id").alias("b"), F.col("k").alias("kb"))
     return y.join(z, "episode_id").where("k < kb").select(F.col("id").alias("a"), "b")
@@ -205,7 +205,7 @@ def graph_coactivation(spark, folder):
 @_reg.add()
 def graph_coactivation_all(spark, folder):
     """The pairs of whole episodes; ``graph_coactivation`` keeps the first 20 memories of each, as its SQL does."""
-    x = memories(spark, folder).where("episode_id is not null").select("episode_id", F.col("id").alias("a"))
+    x = memories(spark, folder, "episode_id is not null").select("episode_id", F.col("id").alias("a"))
     return x.join(x.select("episode_id", F.col("a").alias("b")), "episode_id").where("a < b").select("a", "b")
 
 

@@ -37,7 +37,7 @@ def session_adaptive(spark, folder):
 @_reg.add(f"""WITH {MESSAGES}, c AS (SELECT *, source_app AS k FROM s WHERE msg_type = 'content'), x AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR k IS DISTINCT FROM lag(k) OVER w THEN 1 ELSE 0 END AS ch FROM c WINDOW w AS (PARTITION BY session_id ORDER BY ts, msg_id)),
 y AS (SELECT *, sum(ch) OVER (PARTITION BY session_id ORDER BY ts, msg_id) AS run FROM x) SELECT session_id, run, k AS source_app, string_agg(coalesce(content, ''), ' ' ORDER BY ts, msg_id) AS text, count(*) AS rows FROM y GROUP BY ALL""")
 def runs_same_source(spark, folder):
-    c = messages(spark, folder).where("msg_type = 'content'").select("session_id", "ts", "msg_id", "source_app", "content")
+    c = messages(spark, folder, "msg_type = 'content'").select("session_id", "ts", "msg_id", "source_app", "content")
     return od.runs(c, "session_id", "ts", "msg_id", "source_app", "content").select("session_id", "run", "source_app", "text", "rows")
 
 
@@ -47,7 +47,7 @@ _ASKS = "coalesce(ends_with(rtrim(content), '?'), false)"
 @_reg.add(f"""WITH {MESSAGES}, x AS (SELECT session_id, msg_id, {_ASKS} AS q, lag({_ASKS}) OVER w AS pq, lag(msg_id) OVER w AS pm FROM s WHERE msg_type = 'content' WINDOW w AS (PARTITION BY session_id ORDER BY ts, msg_id))
 SELECT session_id, pm AS question, msg_id AS answer FROM x WHERE pq AND NOT q""")
 def question_links(spark, folder):
-    c = messages(spark, folder).where("msg_type = 'content'").select("session_id", "ts", "msg_id", "content")
+    c = messages(spark, folder, "msg_type = 'content'").select("session_id", "ts", "msg_id", "content")
     return od.question_links(c, "session_id", "ts", "msg_id", "content")
 
 
@@ -57,7 +57,7 @@ _W = "list_distinct([w for w in string_split_regex(lower(coalesce(content, '')),
 @_reg.add(f"""WITH {MESSAGES}, x AS (SELECT session_id, msg_id, {_W} AS w, lag({_W}) OVER (PARTITION BY session_id ORDER BY ts, msg_id) AS p FROM s WHERE msg_type = 'content')
 SELECT session_id, msg_id, round(len(list_intersect(w, p)) / (len(w) + len(p) - len(list_intersect(w, p)))::DOUBLE, 6) AS overlap FROM x WHERE len(w) + len(p) > 0 AND len(list_intersect(w, p)) / (len(w) + len(p) - len(list_intersect(w, p)))::DOUBLE >= 0.1""")
 def topic_threads(spark, folder):
-    c = messages(spark, folder).where("msg_type = 'content'").select("session_id", "ts", "msg_id", rel.tokens(F.coalesce("content", F.lit("")), 4).alias("w"))
+    c = messages(spark, folder, "msg_type = 'content'").select("session_id", "ts", "msg_id", rel.tokens(F.coalesce("content", F.lit("")), 4).alias("w"))
     x = c.withColumn("p", F.lag("w").over(Window.partitionBy("session_id").orderBy("ts", "msg_id"))).where("p is not null and size(w) + size(p) > 0")
     return x.withColumn("overlap", rel.jaccard(F.col("w"), F.col("p"))).where("overlap >= 0.1").select("session_id", "msg_id", r("overlap").alias("overlap"))
 
@@ -65,7 +65,7 @@ def topic_threads(spark, folder):
 @_reg.add(f"""WITH {EDGES}, x AS (SELECT uuid, activation_timestamps AS a, last_activated AS n FROM g WHERE last_activated IS NOT NULL AND activation_timestamps IS NOT NULL)
 SELECT uuid, len([t for t in a if t > n - INTERVAL 24 HOUR and t <= n]) >= 5 AS burst, len([t for t in a if t > n - INTERVAL 7 DAY and t <= n]) >= 3 AND len([t for t in a if t > n - INTERVAL 14 DAY and t <= n - INTERVAL 7 DAY]) >= 3 AS weekly FROM x""")
 def ltp_patterns(spark, folder):
-    g = edges(spark, folder).where("last_activated is not null and activation_timestamps is not null")
+    g = edges(spark, folder, "last_activated is not null and activation_timestamps is not null")
     now = F.col("last_activated")
     return g.select("uuid", od.bursts(F.col("activation_timestamps"), now).alias("burst"), od.weekly(F.col("activation_timestamps"), now).alias("weekly"))
 
@@ -87,7 +87,7 @@ def time_clusters(spark, folder):
 @_reg.add(f"""WITH {MEMORIES}, e AS (SELECT user_id, epoch_us(created_at) AS t, unnest(list_distinct([lower(e.text) for e in entities if e.text is not null])) AS entity FROM m WHERE created_at IS NOT NULL), l AS (SELECT user_id, max(epoch_us(created_at)) AS now FROM m GROUP BY 1),
 x AS (SELECT user_id, entity, count(*) AS memories, round(0.6 * exp(-(any_value(now) - max(t)) / 86400000000.0::DOUBLE) + 0.4 * least(count(*) / 10.0::DOUBLE, 1), 6) AS confidence FROM e JOIN l USING (user_id) GROUP BY ALL) SELECT * FROM x WHERE memories >= 3 AND confidence >= 0.3""")
 def entity_patterns(spark, folder):
-    m = memories(spark, folder).where("created_at is not null")
+    m = memories(spark, folder, "created_at is not null")
     rows = rel.entity_rows(m, "user_id", "created_at")
     now = m.groupBy("user_id").agg(F.max("created_at").alias("now"))
     x = rows.groupBy("user_id", "entity").agg(F.count("*").alias("memories"), F.max("created_at").alias("last")).where("memories >= 3").join(now, "user_id")
@@ -106,7 +106,7 @@ def behaviour_changes(spark, folder):
 @_reg.add(f"""WITH {MEMORIES}, x AS (SELECT user_id, id, importance::DOUBLE AS v, row_number() OVER w AS n, first_value(importance::DOUBLE) OVER w AS top, lag(importance::DOUBLE) OVER w AS b FROM m WHERE importance IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY importance DESC, id)),
 y AS (SELECT *, max(CASE WHEN coalesce(v / top < 0.25 OR (n >= 3 AND v / b < 0.40), false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY v DESC, id) AS gone FROM x) SELECT user_id, count(*) AS kept FROM y WHERE gone = 0 GROUP BY 1""")
 def prune_by_score_gap(spark, folder):
-    m = memories(spark, folder).where("importance is not null").select("user_id", "id", F.col("importance").cast("double").alias("importance"))
+    m = memories(spark, folder, "importance is not null").select("user_id", "id", F.col("importance").cast("double").alias("importance"))
     return od.cut_by_gap(m, "user_id", "importance", "id").groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
@@ -124,7 +124,7 @@ def running_totals(spark, folder):
 SELECT id, round(v, 6) AS importance, round(a, 6) AS usual FROM x WHERE abs(v - a) > 0.3 OR v > 0.7""")
 def salience_spikes(spark, folder):
     w = Window.partitionBy("user_id").orderBy("created_at", "id").rowsBetween(-20, -1)
-    x = memories(spark, folder).where("created_at is not null").select("id", F.col("importance").cast("double").alias("v"), F.avg(F.col("importance").cast("double")).over(w).alias("a"))
+    x = memories(spark, folder, "created_at is not null").select("id", F.col("importance").cast("double").alias("v"), F.avg(F.col("importance").cast("double")).over(w).alias("a"))
     return x.where((F.abs(F.col("v") - F.col("a")) > 0.3) | (F.col("v") > 0.7)).select("id", r("v").alias("importance"), r("a").alias("usual"))
 
 

@@ -17,25 +17,25 @@ _M = f"WITH {MEMORIES} "
 
 @_reg.add(_M + "SELECT id, round(CASE WHEN experience_type IN ('Decision', 'Learning') THEN importance::DOUBLE ELSE importance::DOUBLE * 0.7 END, 6) AS score FROM m WHERE importance IS NOT NULL AND experience_type IS NOT NULL")
 def rank_prefer_types(spark, folder):
-    m = memories(spark, folder).where("importance is not null and experience_type is not null")
+    m = memories(spark, folder, "importance is not null and experience_type is not null")
     return m.select("id", r(rk.prefer_types(F.col("importance").cast("double"), ["Decision", "Learning"])).alias("score"))
 
 
 @_reg.add(_M + ", x AS (SELECT id, importance::DOUBLE AS v, length(content) / avg(length(content)) OVER (PARTITION BY user_id) AS q, count(*) OVER (PARTITION BY user_id) AS n FROM m WHERE importance IS NOT NULL) SELECT id, round(v * coalesce(CASE WHEN n < 5 THEN 1.0 WHEN q > 1.5 THEN 0.9 WHEN q < 0.8 THEN 1.05 ELSE 1.0 END, 1.0), 6) AS score FROM x")
 def rank_length_specificity(spark, folder):
-    m = memories(spark, folder).where("importance is not null").select("id", "user_id", "content", F.col("importance").cast("double").alias("score"))
+    m = memories(spark, folder, "importance is not null").select("id", "user_id", "content", F.col("importance").cast("double").alias("score"))
     return rk.length_specificity(m, "user_id", "score", "content").select("id", r("score").alias("score"))
 
 
 @_reg.add(_M + ", x AS (SELECT id, importance::DOUBLE AS v, list_distinct([lower(e.text) for e in entities if e.text is not null]) AS n FROM m WHERE importance IS NOT NULL) SELECT id, round(CASE WHEN coalesce(len(n), 0) = 0 THEN v WHEN len(list_intersect(n, ['merkle tree', 'bloom filter'])) / len(n) < 0.20 THEN v * 0.85 WHEN len(list_intersect(n, ['merkle tree', 'bloom filter'])) / len(n) > 0.50 THEN v * 1.10 ELSE v END, 6) AS score FROM x")
 def rank_entity_concentration(spark, folder):
-    m = memories(spark, folder).where("importance is not null")
+    m = memories(spark, folder, "importance is not null")
     return m.select("id", r(rk.entity_concentration(F.col("importance").cast("double"), F.array(F.lit("merkle tree"), F.lit("bloom filter")))).alias("score"))
 
 
 @_reg.add(_M + ", x AS (SELECT id, user_id, importance::DOUBLE AS v, coalesce(created_at BETWEEN TIMESTAMPTZ '2024-03-01 00:00:00+00' AND TIMESTAMPTZ '2024-04-01 00:00:00+00', false) AS i FROM m WHERE importance IS NOT NULL), y AS (SELECT *, count(*) FILTER (i) OVER (PARTITION BY user_id) AS n FROM x) SELECT id, round(CASE WHEN n >= 2 AND NOT i THEN v * 0.5 ELSE v END, 6) AS score FROM y")
 def rank_time_demotion(spark, folder):
-    m = memories(spark, folder).where("importance is not null").select("id", "user_id", "created_at", F.col("importance").cast("double").alias("score"))
+    m = memories(spark, folder, "importance is not null").select("id", "user_id", "created_at", F.col("importance").cast("double").alias("score"))
     low, high = (F.lit(f"2024-0{k}-01 00:00:00+00:00").cast("timestamp") for k in (3, 4))
     return rk.demote_outside(m, "user_id", "score", "created_at", low, high).select("id", r("score").alias("score"))
 
@@ -68,7 +68,7 @@ def expand_hierarchy(spark, folder):
 
 @_reg.add(_M + "SELECT id, round(reward::DOUBLE, 6) AS reward FROM m WHERE reward BETWEEN 0 AND 1 ORDER BY m.reward DESC, created_at DESC, id LIMIT 30")
 def mode_action_outcome(spark, folder):
-    return rk.by_outcome(memories(spark, folder)).limit(30).select("id", r("reward").alias("reward"))
+    return rk.by_outcome(memories(spark, folder, "reward >= 0.0 and reward <= 1.0")).limit(30).select("id", r("reward").alias("reward"))
 
 
 @_reg.add()
@@ -80,7 +80,7 @@ def mode_spatial(spark, folder):
 
 @_reg.add(_M + "SELECT mission_id, id FROM m WHERE mission_id IS NOT NULL")
 def mode_mission(spark, folder):
-    return memories(spark, folder).where("mission_id is not null").orderBy("mission_id", "created_at", "id").select("mission_id", "id")
+    return memories(spark, folder, "mission_id is not null").orderBy("mission_id", "created_at", "id").select("mission_id", "id")
 
 
 @_reg.add(_M + ", x AS (SELECT user_id, experience_type, id, row_number() OVER (PARTITION BY user_id, experience_type ORDER BY importance DESC NULLS LAST, id) AS place FROM m WHERE experience_type IN ('Decision', 'Learning', 'Context', 'Pattern', 'Error')) SELECT user_id, experience_type, id, place FROM x WHERE place <= 3")
@@ -117,7 +117,7 @@ def retrieval_competition(spark, folder):
 
 @_reg.add()
 def decay_scale_learning(spark, folder):
-    m = memories(spark, folder).where("accessed_at is not null").select("user_id", F.unix_micros("accessed_at").alias("us"))
+    m = memories(spark, folder, "accessed_at is not null").select("user_id", F.unix_micros("accessed_at").alias("us"))
     return m.groupBy("user_id").applyInPandas(rk.decay_scales, "user_id string, scale double")
 
 

@@ -42,19 +42,19 @@ _VALID = "coalesce(coalesce(valid_from, created_at) <= {t}, true) AND coalesce(v
 
 @_reg.add(_F + f"SELECT id, round(confidence::DOUBLE, 6) AS confidence FROM f WHERE {_VALID.format(t=AS_OF_SQL)}")
 def as_of_facts(spark, folder):
-    return rel.facts_as_of(facts(spark, folder), as_of()).select("id", r("confidence").alias("confidence"))
+    return rel.facts_as_of(table(spark, folder, "facts"), as_of()).select("id", r("confidence").alias("confidence"))
 
 
 @_reg.add(_F + f"SELECT id FROM f WHERE {_VALID.format(t=AS_OF_SQL)} ORDER BY confidence DESC NULLS LAST, id LIMIT 25")
 def as_of_facts_top(spark, folder):
-    return rel.facts_as_of(facts(spark, folder), as_of(), 25).select("id")
+    return rel.facts_as_of(table(spark, folder, "facts"), as_of(), 25).select("id")
 
 
 @_reg.add(f"""WITH {FACTS}, t AS (SELECT k AS key, TIMESTAMPTZ '2024-01-01 00:00:00+00' + to_days(CAST(30 * k AS INTEGER)) AS moment FROM range(0, 24) x(k))
 SELECT key, count(*) AS facts FROM t, f WHERE {_VALID.format(t='moment')} GROUP BY 1""")
 def as_of_facts_many(spark, folder):
     t = spark.range(24).select(F.col("id").alias("key"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * (30 * 86_400_000_000)).alias("at"))
-    return rel.facts_as_of_many(facts(spark, folder), t).groupBy("key").agg(F.count("*").alias("facts"))
+    return rel.facts_as_of_many(facts(spark, folder, "purged_at is null"), t).groupBy("key").agg(F.count("*").alias("facts"))
 
 
 @_reg.add(f"WITH {FACTS}, x AS (SELECT DISTINCT id, confidence, unnest(source_memories) AS memory_id FROM f) SELECT memory_id, count(*) AS facts, round(max(confidence)::DOUBLE, 6) AS confidence FROM x WHERE memory_id IS NOT NULL GROUP BY 1")
@@ -92,11 +92,11 @@ def stats_memories(spark, folder):
     )
 
 
-@_reg.add(f"WITH {EDGES}, a AS (SELECT user_id, count(*) AS edges, round(avg(strength::DOUBLE), 6) AS strength FROM g GROUP BY 1), b AS (SELECT user_id, count(DISTINCT uuid) AS entities FROM graph_entities GROUP BY 1) SELECT user_id, entities, edges, strength FROM b JOIN a USING (user_id)")
+@_reg.add(f"""WITH {EDGES}, {MEMORIES}, a AS (SELECT user_id, count(*) AS edges, round(avg(strength::DOUBLE), 6) AS strength FROM g GROUP BY 1), b AS (SELECT user_id, count(DISTINCT uuid) AS entities FROM graph_entities GROUP BY 1),
+c AS (SELECT user_id, count(DISTINCT episode_id) AS episodes FROM m WHERE episode_id IS NOT NULL GROUP BY 1), u AS (SELECT user_id FROM a UNION SELECT user_id FROM b UNION SELECT user_id FROM c)
+SELECT user_id, coalesce(entities, 0) AS entities, coalesce(edges, 0) AS edges, coalesce(episodes, 0) AS episodes, strength FROM u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
 def stats_graph(spark, folder):
-    a = edges(spark, folder).groupBy("user_id").agg(F.count("*").alias("edges"), r(F.avg(F.col("strength").cast("double"))).alias("strength"))
-    b = table(spark, folder, "graph_entities").groupBy("user_id").agg(F.countDistinct("uuid").alias("entities"))
-    return b.join(a, "user_id").select("user_id", "entities", "edges", "strength")
+    return rel.graph_stats(table(spark, folder, "graph_entities"), edges(spark, folder), memories(spark, folder, "episode_id is not null")).withColumn("strength", r("strength"))
 
 
 @_reg.add(f"WITH {EDGES}, x AS (SELECT from_entity AS entity, tier, uuid FROM g UNION SELECT to_entity, tier, uuid FROM g) SELECT entity, count(*) AS edges, count(*) FILTER (tier = 'L1') AS l1, count(*) FILTER (tier = 'L2') AS l2, count(*) FILTER (tier = 'L3') AS l3, round(count(*) FILTER (tier <> 'L1') / count(*)::DOUBLE, 6) AS consolidated FROM x GROUP BY 1")
@@ -127,7 +127,7 @@ def agg_npmi(spark, folder):
 
 @_reg.add(f"WITH {FACTS} SELECT fact_type, count(*) AS facts, round(avg(confidence::DOUBLE), 6) AS confidence, sum(support_count) AS support FROM f WHERE purged_at IS NULL GROUP BY 1")
 def stats_facts(spark, folder):
-    return facts(spark, folder).where("purged_at is null").groupBy("fact_type").agg(F.count("*").alias("facts"), r(F.avg(F.col("confidence").cast("double"))).alias("confidence"), F.sum("support_count").alias("support"))
+    return facts(spark, folder, "purged_at is null").groupBy("fact_type").agg(F.count("*").alias("facts"), r(F.avg(F.col("confidence").cast("double"))).alias("confidence"), F.sum("support_count").alias("support"))
 
 
 @_reg.add(f"""WITH {FACTS}, x AS (SELECT DISTINCT user_id, id, support_count, confidence, unnest(related_entities) AS entity FROM f), d AS (SELECT user_id, entity, count(*) AS df FROM x WHERE entity IS NOT NULL GROUP BY ALL), t AS (SELECT user_id, count(*) AS n FROM f GROUP BY 1),
@@ -143,7 +143,7 @@ def agg_narratives(spark, folder):
 def agg_heat(spark, folder):
     rich = sum(((F.coalesce(F.size(c), F.lit(0)) > 0).cast("int") for c in ("tags", "entities")), F.lit(0)) + sum((F.col(c).isNotNull().cast("int") for c in ("episode_id", "robot_id", "parent_id")), F.lit(0))
     days = F.floor(sc.days_between(as_of(), F.col("created_at")))
-    return memories(spark, folder).where("access_count > 0").select("id", r(sc.heat(F.col("access_count"), rich, days)).alias("heat"))
+    return memories(spark, folder, "access_count > 0").select("id", r(sc.heat(F.col("access_count"), rich, days)).alias("heat"))
 
 
 @_reg.add(f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, count(DISTINCT msg_type) AS kinds, (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000000 AS seconds FROM s GROUP BY 1")
@@ -164,13 +164,13 @@ def stats_events(spark, folder):
 
 @_reg.add(_M + "SELECT coalesce(user_id, 'all') AS user_id, coalesce(tier, 'all') AS tier, count(*) AS n FROM m WHERE tier IS NOT NULL GROUP BY ROLLUP (user_id, tier)")
 def agg_rollup(spark, folder):
-    return memories(spark, folder).where("tier is not null").rollup("user_id", "tier").agg(F.count("*").alias("n")).select(F.coalesce("user_id", F.lit("all")).alias("user_id"), F.coalesce("tier", F.lit("all")).alias("tier"), "n")
+    return memories(spark, folder, "tier is not null").rollup("user_id", "tier").agg(F.count("*").alias("n")).select(F.coalesce("user_id", F.lit("all")).alias("user_id"), F.coalesce("tier", F.lit("all")).alias("tier"), "n")
 
 
 @_reg.add(f"""WITH {FACTS}, x AS (SELECT user_id, related_entities, epoch_us(created_at) AS t, id, confidence::DOUBLE AS v FROM f), y AS (SELECT unnest(list_distinct(related_entities)) AS entity, t, id, v FROM x WHERE v IS NOT NULL),
 z AS (SELECT entity, list(v ORDER BY t, id) AS l FROM y WHERE entity IS NOT NULL GROUP BY 1) SELECT entity, len(l) AS signals, round(list_reduce(l, lambda a, b: a * 0.8 + b * 0.2), 6) AS ema FROM z""")
 def agg_feedback_ema(spark, folder):
-    rows = facts(spark, folder).where("confidence is not null").select(F.explode(F.array_distinct("related_entities")).alias("entity"), F.struct(F.col("created_at"), F.col("id"), F.col("confidence").cast("double").alias("v")).alias("s")).where("entity is not null")
+    rows = facts(spark, folder, "confidence is not null").select(F.explode(F.array_distinct("related_entities")).alias("entity"), F.struct(F.col("created_at"), F.col("id"), F.col("confidence").cast("double").alias("v")).alias("s")).where("entity is not null")
     lists = rows.groupBy("entity").agg(F.sort_array(F.collect_list("s")).alias("l"))
     return lists.select("entity", F.size("l").alias("signals"), r(rel.ema(F.transform("l", lambda s: s["v"]), 0.2)).alias("ema"))
 
@@ -179,20 +179,20 @@ def agg_feedback_ema(spark, folder):
 def agg_feedback_trend(spark, folder):
     from pyspark.sql import Window
 
-    x = messages(spark, folder).where("importance is not null").select("session_id", F.col("importance").cast("double").alias("v"), (F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "msg_id")) - 1).alias("k"))
+    x = messages(spark, folder, "importance is not null").select("session_id", F.col("importance").cast("double").alias("v"), (F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "msg_id")) - 1).alias("k"))
     return x.groupBy("session_id").agg(F.count("*").alias("signals"), r(F.regr_slope("v", "k")).alias("slope")).where("signals >= 3")
 
 
 @_reg.add(f"""WITH {MEMORIES}, x AS (SELECT experience_type, date_trunc('month', created_at AT TIME ZONE 'UTC') AS mo, importance FROM m WHERE created_at IS NOT NULL)
 SELECT strftime(mo, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (experience_type = 'Error') AS errors, count(*) FILTER (importance > 0.5) AS important FROM x GROUP BY 1""")
 def agg_consolidation_report(spark, folder):
-    m = memories(spark, folder).where("created_at is not null")
+    m = memories(spark, folder, "created_at is not null")
     return m.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_if(F.col("experience_type") == "Error").alias("errors"), F.count_if(F.col("importance") > 0.5).alias("important"))
 
 
 @_reg.add(_M + "SELECT outcome_type, count(*) AS n, round(avg(reward::DOUBLE), 6) AS reward, count(DISTINCT user_id) AS users FROM m WHERE reward IS NOT NULL GROUP BY 1")
 def stats_outcomes(spark, folder):
-    return memories(spark, folder).where("reward is not null").groupBy("outcome_type").agg(F.count("*").alias("n"), r(F.avg(F.col("reward").cast("double"))).alias("reward"), F.countDistinct("user_id").alias("users"))
+    return memories(spark, folder, "reward is not null").groupBy("outcome_type").agg(F.count("*").alias("n"), r(F.avg(F.col("reward").cast("double"))).alias("reward"), F.countDistinct("user_id").alias("users"))
 
 
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

@@ -127,7 +127,7 @@ SELECT query, id, round(sum(p), 9) AS fused FROM (SELECT query, id, 0.6::DOUBLE
 def text_rank_fusion(spark, folder):
     s = _bm25(spark, folder).select("query", "id", F.round("score", 9).alias("score"))
     q = spark.createDataFrame([(a,) for a, _ in _ASK], "query string")
-    m = memories(spark, folder).where("importance is not null").select("id", F.col("importance").alias("score"))
+    m = memories(spark, folder, "importance is not null").select("id", F.col("importance").alias("score"))
     ranked = m.withColumn("query", F.explode(F.array(*(F.lit(a) for a, _ in _ASK)))).select("query", "id", "score")
     return tx.fuse([(s, 0.6), (ranked, 0.4)], "id", by=["query"]).select("query", "id", r("fused", 9).alias("fused"))
 
@@ -168,7 +168,7 @@ _LADDER = "CASE WHEN {d} <= 7 THEN 1.0::DOUBLE WHEN {d} <= 30 THEN 0.7 WHEN {d}
 
 
 def _aged(spark, folder):
-    return memories(spark, folder).where("created_at is not null").withColumn("days", sc.days_between(as_of(), F.col("created_at")))
+    return memories(spark, folder, "created_at is not null").withColumn("days", sc.days_between(as_of(), F.col("created_at")))
 
 
 @_reg.add(_M + f"SELECT id, {_LADDER.format(d=_DAYS, o='0.2')} AS relevance, round(exp(-0.01::DOUBLE * greatest({_DAYS} * 24, 0)) * 0.1::DOUBLE, 9) AS recency FROM m WHERE created_at IS NOT NULL")
@@ -199,7 +199,7 @@ _MOM = "(coalesce(reward::DOUBLE, 0) + 1) / 2"
 @_reg.add(_M + f"""SELECT id, round(0.18 * {_CAL.format(x='importance')} + 0.17 * {_CAL.format(x='least(coalesce(len(entities), 0) / 5.0::DOUBLE, 1)')} + 0.05 * {_CAL.format(x='least(coalesce(len(tags), 0) / 4.0::DOUBLE, 1)')} + 0.05 * {_CAL.format(x='importance')}
 + 0.28 * {_CAL.format(x=f'CASE WHEN {_MOM} > 0.65 THEN least({_MOM} * 1.5, 1) WHEN {_MOM} < 0.40 THEN greatest({_MOM} * 0.3, 0) ELSE {_MOM} END')} + 0.14 * {_CAL.format(x='CASE WHEN access_count = 0 THEN 0 ELSE least(log2(access_count + 1) / 4, 1) END')} + 0.13 * {_CAL.format(x='0.5')}, 6) AS fused FROM m WHERE importance IS NOT NULL AND access_count IS NOT NULL""")
 def score_fused(spark, folder):
-    m = memories(spark, folder).where("importance is not null and access_count is not null")
+    m = memories(spark, folder, "importance is not null and access_count is not null")
     share = lambda c, n: F.least(F.coalesce(F.size(c), F.lit(0)) / n, F.lit(1.0))
     return m.select("id", r(sc.fused(F.col("importance"), share("entities", 5.0), share("tags", 4.0), F.col("importance"), F.coalesce(F.col("reward").cast("double"), F.lit(0.0)), F.col("access_count"), F.lit(0.5))).alias("fused"))
 
@@ -208,7 +208,7 @@ def score_fused(spark, folder):
 def score_fact_decay(spark, folder):
     from palimpsest.plans.common import facts
 
-    f = facts(spark, folder).where("last_reinforced is not null and support_count is not null")
+    f = facts(spark, folder, "last_reinforced is not null and support_count is not null")
     return f.select("id", r(sc.fact_decay(sc.days_between(as_of(), F.col("last_reinforced")), F.col("support_count"))).alias("factor"))
 
 

@@ -26,7 +26,7 @@ def _searched(spark: SparkSession, folder: str, criteria: Criteria, *columns) ->
 
 @_reg.add(_M + f"SELECT id, user_id, experience_type, length(content) AS n_chars FROM m WHERE NOT {_FORGOT}")
 def scan_full(spark, folder):
-    return memories(spark, folder).where(~fl.forgotten()).select("id", "user_id", "experience_type", F.length("content").alias("n_chars"))
+    return memories(spark, folder, ~fl.forgotten()).select("id", "user_id", "experience_type", F.length("content").alias("n_chars"))
 
 
 @_reg.add("""WITH t AS (SELECT DISTINCT ON (id) id, tier FROM memories), u AS (
@@ -45,7 +45,7 @@ def scan_keys(spark, folder):
 @_reg.add(_M + "SELECT id, user_id, content FROM m WHERE id = (SELECT min(id) FROM memories)")
 def lookup_id(spark, folder):
     first = table(spark, folder, "memories").agg(F.min("id")).first()[0]
-    return memories(spark, folder).where(F.col("id") == first).select("id", "user_id", "content")
+    return memories(spark, folder, F.col("id") == first).select("id", "user_id", "content")
 
 
 @_reg.add(_M + "SELECT id, user_id FROM m WHERE starts_with(id, (SELECT substr(min(id), 1, 16) FROM memories))")
@@ -62,13 +62,13 @@ def lookup_external(spark, folder):
 
 @_reg.add(_M + "SELECT sha256(content) AS content_hash, count(*) AS copies, min(id) AS kept FROM m WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def lookup_content_hash(spark, folder):
-    m = memories(spark, folder).where("content is not null").select("id", fl.content_hash().alias("content_hash"))
+    m = memories(spark, folder, "content is not null").select("id", fl.content_hash().alias("content_hash"))
     return m.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("id").alias("kept")).where("copies > 1")
 
 
 @_reg.add(_M + f"SELECT id, epoch_us(updated_at) AS updated_us FROM m WHERE user_id = '{TENANT}' AND experience_type = 'Discovery'")
 def relational_scan(spark, folder):
-    m = memories(spark, folder).where((F.col("user_id") == TENANT) & fl.equals("experience_type", "Discovery"))
+    m = memories(spark, folder, (F.col("user_id") == TENANT) & fl.equals("experience_type", "Discovery"))
     return m.orderBy(F.desc("updated_at"), "id").select("id", F.unix_micros("updated_at").alias("updated_us"))
 
 
@@ -86,7 +86,7 @@ def filter_soft_delete(spark, folder):
 
 @_reg.add(_M + f"SELECT id FROM m WHERE NOT coalesce(valid_until < {AS_OF_SQL}, false)")
 def filter_expiry(spark, folder):
-    return memories(spark, folder).where(~fl.expired(as_of())).select("id")
+    return memories(spark, folder, fl.unexpired(as_of())).select("id")
 
 
 @_reg.add(_M + f"SELECT experience_type, count(*) AS n FROM m WHERE {_LIVE} GROUP BY 1")
@@ -96,22 +96,22 @@ def filter_default_types(spark, folder):
 
 @_reg.add(_M + "SELECT id FROM m WHERE tier = 'LongTerm'")
 def predicate_equals(spark, folder):
-    return memories(spark, folder).where(fl.equals("tier", "LongTerm")).select("id")
+    return memories(spark, folder, fl.equals("tier", "LongTerm")).select("id")
 
 
 @_reg.add(_M + "SELECT id FROM m WHERE severity IN ('high', 'critical')")
 def predicate_in(spark, folder):
-    return memories(spark, folder).where(fl.one_of("severity", ["high", "critical"])).select("id")
+    return memories(spark, folder, fl.one_of("severity", ["high", "critical"])).select("id")
 
 
 @_reg.add(_M + "SELECT id FROM m WHERE reward >= 0.0 AND reward <= 0.5")
 def predicate_range(spark, folder):
-    return memories(spark, folder).where(fl.between("reward", 0.0, 0.5)).select("id")
+    return memories(spark, folder, fl.between("reward", 0.0, 0.5)).select("id")
 
 
 @_reg.add(_M + f"SELECT count(*) AS n FROM m WHERE user_id = '{TENANT}'")
 def predicate_tenant(spark, folder):
-    return memories(spark, folder).where(fl.equals("user_id", TENANT)).agg(F.count("*").alias("n"))
+    return memories(spark, folder, fl.equals("user_id", TENANT)).agg(F.count("*").alias("n"))
 
 
 @_reg.add(_M + f"SELECT id FROM m WHERE {_LIVE} AND CAST(created_at AT TIME ZONE 'UTC' AS DATE) BETWEEN DATE '2024-02-01' AND DATE '2024-02-20'")
@@ -201,7 +201,7 @@ def acl_readable(spark, folder):
 @_reg.add(_M + f"SELECT id, (SELECT count(*) > 30 FROM m WHERE user_id = '{HOT_TENANT}') AS has_more FROM (SELECT id FROM m WHERE user_id = '{HOT_TENANT}' ORDER BY importance DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 10 OFFSET 20)")
 def page_offset(spark, folder):
     order = [F.desc_nulls_last("importance"), F.desc_nulls_last("created_at"), F.asc("id")]
-    return fl.page(memories(spark, folder).where(F.col("user_id") == HOT_TENANT).select("id", "importance", "created_at"), order, 20, 10).select("id", "has_more")
+    return fl.page(memories(spark, folder, F.col("user_id") == HOT_TENANT).select("id", "importance", "created_at"), order, 20, 10).select("id", "has_more")
 
 
 @_reg.add(_M + "SELECT user_id, id, rank FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC NULLS LAST, created_at DESC NULLS LAST, id) AS rank FROM m) WHERE rank <= 3")

@@ -22,13 +22,13 @@ _M = f"WITH {MEMORIES} "
 @_reg.add(_M + "SELECT id, contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'rollback') AS folded, regexp_matches(content, '(^|[^A-Za-z0-9_])(?i:robot)([^A-Za-z0-9_]|$)') AS word FROM m WHERE content IS NOT NULL")
 def scalar_contains(spark, folder):
     c = F.col("content")
-    return memories(spark, folder).where("content is not null").select("id", st.contains_folded(c, "Rollback").alias("folded"), st.contains_word(c, "robot").alias("word"))
+    return memories(spark, folder, "content is not null").select("id", st.contains_folded(c, "Rollback").alias("folded"), st.contains_word(c, "robot").alias("word"))
 
 
 @_reg.add()
 def scalar_type_detection(spark, folder):
     kind, confidence = st.detected_type(F.col("content"))
-    return memories(spark, folder).where("content is not null").groupBy(kind.alias("detected"), confidence.alias("confidence")).agg(F.count("*").alias("n"))
+    return memories(spark, folder, "content is not null").groupBy(kind.alias("detected"), confidence.alias("confidence")).agg(F.count("*").alias("n"))
 
 
 _PART = "CASE WHEN h < 5 THEN 'Night' WHEN h < 8 THEN 'EarlyMorning' WHEN h < 12 THEN 'Morning' WHEN h < 17 THEN 'Afternoon' WHEN h < 21 THEN 'Evening' ELSE 'Night' END"
@@ -36,7 +36,7 @@ _PART = "CASE WHEN h < 5 THEN 'Night' WHEN h < 8 THEN 'EarlyMorning' WHEN h < 12
 
 @_reg.add(_M + f", x AS (SELECT hour(created_at AT TIME ZONE 'UTC') AS h FROM m WHERE created_at IS NOT NULL) SELECT {_PART} AS part, count(*) AS n FROM x GROUP BY 1")
 def scalar_day_part(spark, folder):
-    return memories(spark, folder).where("created_at is not null").groupBy(st.day_part(F.col("created_at")).alias("part")).agg(F.count("*").alias("n"))
+    return memories(spark, folder, "created_at is not null").groupBy(st.day_part(F.col("created_at")).alias("part")).agg(F.count("*").alias("n"))
 
 
 @_reg.add("SELECT p_partkey, substr(regexp_replace(lower(p_name), '[^a-z0-9_]', '_', 'g'), 1, 63) AS name FROM part")
@@ -46,7 +46,7 @@ def scalar_identifier(spark, folder):
 
 @_reg.add()
 def scalar_checksum(spark, folder):
-    return memories(spark, folder).where("content is not null").select("id", st.checksum(F.col("content")).alias("crc"))
+    return memories(spark, folder, "content is not null").select("id", st.checksum(F.col("content")).alias("crc"))
 
 
 @_reg.add(_M + r", x AS (SELECT id, regexp_extract_all(content, '(?:^|[^0-9-])(\d{4}-\d{2}-\d{2})', 1) AS d FROM m), y AS (SELECT id, len(list_filter(d, lambda z: try_cast(z AS DATE) IS NOT NULL)) AS dates FROM x) SELECT id, dates FROM y WHERE dates > 0")
@@ -70,13 +70,13 @@ def scalar_temporal_intent(spark, folder):
 
 @_reg.add()
 def scalar_geohash(spark, folder):
-    m = memories(spark, folder).where(F.size("geo_location") >= 2)
+    m = memories(spark, folder, F.size("geo_location") >= 2)
     return m.select("id", geo.geohash(F.get("geo_location", 0), F.get("geo_location", 1), 6).alias("cell"))
 
 
 @_reg.add(_M + f"SELECT CASE WHEN importance > 0.8 THEN 'lz4' WHEN access_count > 10 THEN 'none' WHEN (epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / 86400000000 > 30 AND importance < 0.5 THEN 'summarize' ELSE 'hybrid' END AS strategy, count(*) AS n FROM m WHERE importance IS NOT NULL AND access_count IS NOT NULL AND created_at IS NOT NULL GROUP BY 1")
 def scalar_compression_strategy(spark, folder):
-    m = memories(spark, folder).where("importance is not null and access_count is not null and created_at is not null")
+    m = memories(spark, folder, "importance is not null and access_count is not null and created_at is not null")
     return m.groupBy(st.compression_strategy(F.col("importance"), F.col("access_count"), sc.days_between(as_of(), F.col("created_at"))).alias("strategy")).agg(F.count("*").alias("n"))
 
 
@@ -144,7 +144,7 @@ def stream_extraction(spark, folder):
 
 @_reg.add(f"WITH {MESSAGES}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id, lower(trim(content)) ORDER BY ts, msg_id) AS k FROM s WHERE msg_type = 'content' AND length(trim(content)) > 0) SELECT session_id, count(*) AS memories FROM x WHERE k = 1 GROUP BY 1")
 def stream_batch_extraction(spark, folder):
-    return ms.extracted(messages(spark, folder).where("msg_type = 'content'")).groupBy("session_id").agg(F.count("*").alias("memories"))
+    return ms.extracted(messages(spark, folder, "msg_type = 'content'")).groupBy("session_id").agg(F.count("*").alias("memories"))
 
 
 _WORDS = "len([w for w in string_split_regex(content, '\\s+') if w <> ''])"
@@ -153,14 +153,14 @@ _IMP = f"least(greatest(0.5::DOUBLE + CASE WHEN {_WORDS} > 50 THEN 0.1 WHEN {_WO
 
 @_reg.add(f"WITH {MESSAGES} SELECT msg_id, round({_IMP}, 6) AS importance FROM s WHERE msg_type = 'content' AND content IS NOT NULL")
 def stream_importance(spark, folder):
-    m = messages(spark, folder).where("msg_type = 'content' and content is not null")
+    m = messages(spark, folder, "msg_type = 'content' and content is not null")
     return m.select("msg_id", r(ms.importance(F.col("content"), F.lit("conversation"))).alias("importance"))
 
 
 @_reg.add(f"""WITH {MESSAGES} SELECT msg_id, coalesce([CASE WHEN contains(lower(t), 'error') THEN 'Error' WHEN contains(lower(t), 'decision') THEN 'Decision' WHEN contains(lower(t), 'learning') THEN 'Learning' WHEN contains(lower(t), 'discovery') THEN 'Discovery' END
 for t in tags if contains(lower(t), 'error') OR contains(lower(t), 'decision') OR contains(lower(t), 'learning') OR contains(lower(t), 'discovery')][1], CASE WHEN msg_type = 'content' THEN 'Conversation' ELSE 'Observation' END) AS memory_type FROM s WHERE msg_type IN ('content', 'sensor', 'event')""")
 def stream_memory_type(spark, folder):
-    m = messages(spark, folder).where("msg_type in ('content', 'sensor', 'event')")
+    m = messages(spark, folder, "msg_type in ('content', 'sensor', 'event')")
     return m.select("msg_id", ms.memory_type(F.col("tags"), ms.mode(F.col("msg_type"))).alias("memory_type"))
 
 
