@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "relating", "ordering", "graphing", "strengthening", "retrieving", "ranking", "storing"]
+MODULES = ["scans", "relating", "ordering", "graphing", "strengthening", "retrieving", "recalling", "ranking", "storing"]
 
 
 def queries() -> dict:

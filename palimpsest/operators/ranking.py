@@ -263,3 +263,8 @@ def aligned(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The rotation that maps paired rows of one embedding space onto another (orthogonal Procrustes)."""
     u, _, vt = np.linalg.svd(source.T @ target)
     return u @ vt
+
+
+def demote_fragments(score: Column, fragment: Column, temporal: bool, factor: float = 0.7) -> Column:
+    """Scores of fragments shrink, unless the question is about time."""
+    return score if temporal else F.when(F.coalesce(fragment, F.lit(False)), score * factor).otherwise(score)
