@@ -217,3 +217,14 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     rows = df.orderBy(*order).offset(offset).limit(limit + 1)
     numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # at most limit + 1 rows
     return numbered.withColumn("has_more", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def writable(memories: DataFrame, grants: DataFrame, viewer: str) -> DataFrame:
+    """Memories that a viewer may change: their own, and those of an owner (or the one memory) that grants them the right to write."""
+    may = grants.where((F.col("viewer") == viewer) & (F.col("right") == "write"))
+    whole = may.where("memory_id is null").select(F.col("owner").alias("user_id")).distinct()
+    single = may.where("memory_id is not null").select(F.col("owner").alias("user_id"), F.col("memory_id").alias("id")).distinct()
+    others = memories.where(F.col("user_id") != viewer)
+    by_owner = others.join(whole, "user_id", "left_semi")
+    by_row = others.join(whole, "user_id", "left_anti").join(single, ["user_id", "id"], "left_semi")
+    return memories.where(F.col("user_id") == viewer).unionByName(by_owner).unionByName(by_row)

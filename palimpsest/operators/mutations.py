@@ -11,9 +11,10 @@ from palimpsest.operators.filters import forgotten
 
 def remember(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     """The incoming rows that are new: their content (by SHA-256) is not yet there, each content once (the smallest id)."""
-    fresh = incoming.withColumn("content_hash", F.sha2("content", 256))
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("id"))
-    fresh = fresh.withColumn("_n", first).where("_n = 1 and content_hash is not null").drop("_n")
+    fresh = incoming.where("content is not null").withColumn("content_hash", F.sha2("content", 256))
+    # Combined before the shuffle: a content that many rows share is no group of rows anywhere.
+    first = fresh.groupBy("content_hash").agg(F.min("id").alias("id"))
+    fresh = fresh.join(first, ["content_hash", "id"], "left_semi").dropDuplicates(["id"])
     return fresh.join(memories.select(F.sha2("content", 256).alias("content_hash")).distinct(), "content_hash", "left_anti")
 
 
@@ -73,3 +74,26 @@ def reinforce_facts(facts: DataFrame, support: DataFrame) -> DataFrame:
     out = facts.join(fresh, "id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
     grown = 1 - (1 - F.col("confidence").cast("double")) * F.pow(F.lit(0.9), F.col("more"))
     return out.withColumn("support_count", F.col("support_count") + F.col("more")).withColumn("confidence", grown).drop("more")
+
+
+def purge_facts(facts: DataFrame, at: Column, least: float, reason: str = "decayed") -> DataFrame:
+    """Facts whose confidence has faded under ``least`` get ``purged_at`` and a reason; facts purged before keep theirs."""
+    days = sc.days_between(at, F.col("last_reinforced"))
+    faded = F.coalesce(F.col("confidence").cast("double") * sc.fact_decay(days, F.col("support_count")) < least, F.lit(False)) & F.col("purged_at").isNull()
+    return facts.withColumn("purge_reason", F.when(faded, reason).otherwise(F.col("purge_reason"))).withColumn("purged_at", F.when(faded, at).otherwise(F.col("purged_at")))
+
+
+def assigned(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """Rows with the non-null values of ``changes`` in the named columns; of several changes of a key the greatest value counts."""
+    last = changes.groupBy(key).agg(*(F.max(c).alias(f"_{c}") for c in columns))
+    met = rows.join(last, key, "left")
+    return met.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def remember_enriched(memories: DataFrame, incoming: DataFrame) -> DataFrame:
+    """:func:`remember` with what is known at once about a new memory: its importance and the dates it names."""
+    from palimpsest.functions.strings import explicit_dates
+    from palimpsest.operators.recall import importance
+
+    fresh = remember(memories, incoming)
+    return fresh.withColumn("importance", importance(fresh)).withColumn("dates", explicit_dates(F.col("content")))
