@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "relating", "ordering", "graphing", "strengthening", "knowing", "retrieving", "recalling", "ranking", "storing"]
+MODULES = ["scans", "relating", "ordering", "graphing", "strengthening", "knowing", "retrieving", "recalling", "ranking", "reading", "storing"]
 
 
 def queries() -> dict:

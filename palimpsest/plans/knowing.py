@@ -144,7 +144,7 @@ def mutate_reinforce_recall(spark, folder):
     return kn.reinforced(m, o).withColumn("importance", r("importance"))
 
 
-@_reg.add(f"""WITH {MEMORIES}, {_USABLE}, c AS (SELECT m.user_id, m.created_at AS at, v.vec_id AS id, vector::DOUBLE[] AS v FROM v JOIN m ON m.id = v.memory_id WHERE model = 'mini-enc-v2'), t AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY at NULLS FIRST, id) AS b FROM c),
+@_reg.add(f"""WITH {MEMORIES}, {_USABLE}, c AS (SELECT m.user_id, m.created_at AS moment, v.vec_id AS id, vector::DOUBLE[] AS v FROM v JOIN m ON m.id = v.memory_id WHERE model = 'mini-enc-v2'), t AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY moment NULLS FIRST, id) AS b FROM c),
 s AS (SELECT id, round(list_cosine_similarity(v, b), 9) AS similarity FROM t WHERE b IS NOT NULL) SELECT id, round(similarity, 6) AS similarity, similarity > 0.8 AS repeated, similarity < 0.3 AS changed FROM s""")
 def context_turns(spark, folder):
     v = rc.usable_vectors(table(spark, folder, "memory_vectors").where("model = 'mini-enc-v2'")).select("vec_id", "memory_id", "vector")

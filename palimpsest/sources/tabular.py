@@ -203,8 +203,9 @@ def import_interchange(documents: DataFrame, known: DataFrame) -> DataFrame:
     """Parsed documents whose content is not yet ``known`` (by SHA-256), each content once (the smallest id); unreadable ones are left out."""
     d = documents.select(F.from_json("document", INTERCHANGE).alias("d")).select("d.*").where("id is not null")
     d = d.withColumn("content_hash", F.sha2("content", 256)).withColumn("created_at", F.try_to_timestamp("created_at"))
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("id"))
-    d = d.withColumn("_n", first).where("_n = 1 or content is null").drop("_n")
+    # The smallest id of each content is found by an aggregation; documents without content have no copies.
+    first = d.where("content is not null").groupBy("content_hash").agg(F.min("id").alias("id"))
+    d = d.where("content is not null").join(first, ["content_hash", "id"], "left_semi").dropDuplicates(["content_hash"]).unionByName(d.where("content is null"))
     return d.join(known.select(F.sha2("content", 256).alias("content_hash")).where("content_hash is not null").distinct(), "content_hash", "left_anti")
 
 
