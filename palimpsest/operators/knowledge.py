@@ -71,7 +71,7 @@ def opposed(a: Column, b: Column) -> Column:
 
 def _wordings(facts: DataFrame) -> DataFrame:
     """One row per tenant, wording and set of entities, with the smallest id that has it."""
-    shown = facts.where("fact is not null").select("user_id", "fact", F.sort_array(F.array_distinct(F.coalesce("related_entities", F.array().cast("array<string>")))).alias("entities"), "id")
+    shown = facts.where("fact is not null").select("user_id", "fact", F.sort_array(F.array_distinct(F.filter(F.coalesce("related_entities", F.array().cast("array<string>")), lambda e: e.isNotNull()))).alias("entities"), "id")
     one = shown.groupBy("user_id", "fact", "entities").agg(F.min("id").alias("id"))
     words = one.withColumns({"words": word_counts(F.col("fact")), "tokens": F.array_distinct(F.filter(F.split(F.lower("fact"), r"\s+"), lambda w: w != "")), "positive": positive(F.col("fact"))})
     # Facts without entities are about nothing in particular and meet each other.

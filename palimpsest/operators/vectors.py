@@ -130,6 +130,16 @@ def encode(vectors: DataFrame, books: np.ndarray, column: str = "embedding") ->
     return vectors.where(F.size(column) == parts * width).withColumn("codes", F.pandas_udf(run, "array<int>")(F.col(column)))
 
 
+def decoded(coded: DataFrame, books: np.ndarray, column: str = "embedding") -> DataFrame:
+    """The vectors that codes stand for, in place of ``column``."""
+
+    def run(c: pd.Series) -> pd.Series:
+        codes = np.stack(c.to_numpy())
+        return pd.Series(list(np.concatenate([books[p][codes[:, p]] for p in range(len(books))], axis=1)))
+
+    return coded.withColumn(column, F.pandas_udf(run, "array<double>")("codes"))
+
+
 def quantized_distance(codes: Column, books: np.ndarray, query: list[float]) -> Column:
     """Squared distance to the query by looking up a table per part; the table is a literal of parts x codes numbers."""
     parts, _, width = books.shape

@@ -9,7 +9,7 @@ from palimpsest.operators import filters as fl
 from palimpsest.operators import texts as tx
 from palimpsest.operators import vectors as vc
 from palimpsest.plans.common import AS_OF_SQL, MEMORIES, Registry, as_of, memories, r
-from palimpsest.runtime import table
+from palimpsest.runtime import materialize, table
 
 _reg = Registry()
 _M = f"WITH {MEMORIES} "
@@ -69,12 +69,8 @@ def vector_recall(spark, folder):
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     exact = vc.top_k_each(e, asked, 5)
     books = vc.quantizer(e, 16, 64)
-    rebuilt = [(row["query"], list(row["vector"])) for row in asked.collect()]
-    coded = vc.encode(e, books)
-    found = None
-    for q, v in rebuilt:
-        best = coded.select(F.lit(q).alias("query"), "vec_id", vc.quantized_distance(F.col("codes"), books, v).alias("d")).orderBy("d", "vec_id").limit(20)
-        found = best if found is None else found.union(best)
+    # The collection is read once, as its codes stand for it, against all queries.
+    found = vc.top_k_each(vc.decoded(vc.encode(e, books), books), asked, 20)
     return vc.recall_of(found, exact, "query", "vec_id").select("query", r("recall").alias("recall"))
 
 
@@ -212,4 +208,35 @@ def score_fact_decay(spark, folder):
     return f.select("id", r(sc.fact_decay(sc.days_between(as_of(), F.col("last_reinforced")), F.col("support_count"))).alias("factor"))
 
 
+def _asked(spark, folder):
+    return _embeddings(spark, folder).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@_reg.add()
+def vector_graph_search(spark, folder):
+    """Five nearest of the asked vectors in a flat pruned graph; its recall against brute force is tested."""
+    from palimpsest.operators import graph_index as gi
+
+    return gi.search(materialize(gi.build(_embeddings(spark, folder))), _asked(spark, folder), 5)
+
+
+@_reg.add()
+def vector_layered_search(spark, folder):
+    """The same in a layered graph, with a tenth of the vectors removed."""
+    from palimpsest.operators import graph_index as gi
+
+    index = materialize(gi.build(_embeddings(spark, folder), layered=True))
+    return gi.search(index, _asked(spark, folder), 5, removed=_embeddings(spark, folder).where("vec_id % 10 = 1"))
+
+
+@_reg.add(f"WITH {_Q} SELECT label, count(*) AS n FROM (SELECT label FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 20) GROUP BY 1")
+def mode_multimodal(spark, folder):
+    """A search whose mode is chosen by name; the associative mode falls back to similarity."""
+    from palimpsest.operators import recall as rc
+
+    e = _embeddings(spark, folder)
+    near = vc.top_k(e, _query(spark, folder), 20)
+    return rc.by_mode("associative", similarity=near).join(e.select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql
