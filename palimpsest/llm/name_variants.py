@@ -53,6 +53,8 @@ SHORT = {
     "techs": "technologies", "sys": "systems", "labs": "laboratories", "lab": "laboratories", "eng": "engineering", "engg": "engineering", "ind": "industries", "inds": "industries",
     "log": "logistics", "rob": "robotics", "grp": "group", "hldgs": "holdings", "mgmt": "management", "natl": "national",
 }
+#: Forms of a block that one task compares with the whole block.
+PART = 2_000
 PERSON_TYPES, ORGANISATION_TYPES = ["person", "per"], ["organization", "organisation", "org"]
 
 _NICK: dict[str, set[str]] = {}
@@ -330,9 +332,13 @@ def clusters(memories: DataFrame) -> DataFrame:
     node = F.xxhash64("user_id", "kind", "form")
     nodes = forms.groupBy("user_id", "kind", "form").agg(F.first("partial").alias("partial"), F.first("keys").alias("keys")).withColumn("node", node)
     blocks = nodes.select("user_id", "kind", "form", "partial", "node", F.explode("keys").alias("block"))
-    other = blocks.select(*(F.col(c).alias(f"{c}_b") for c in blocks.columns))
-    near = (F.col("user_id") == F.col("user_id_b")) & (F.col("kind") == F.col("kind_b")) & (F.col("block") == F.col("block_b")) & (F.col("form") < F.col("form_b"))
-    pairs = blocks.join(other, near).select("kind", "form", "form_b", "partial", "partial_b", "node", "node_b").distinct()
+    block = ["user_id", "kind", "block"]
+    # Blocks of one form are gone before the join; a block of many is cut into parts, each of which meets the whole block in a task.
+    sizes = blocks.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1").select(*block, F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    blocks = materialize(blocks.join(sizes, block))
+    one = blocks.withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+    other = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*block, "part", *(F.col(c).alias(f"{c}_b") for c in ("form", "partial", "node")))
+    pairs = one.join(other, [*block, "part"]).where("form < form_b").select("kind", "form", "form_b", "partial", "partial_b", "node", "node_b").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -34,6 +34,8 @@ SEGMENTS = 0.5
 #: Sets on which signature costs are fitted, and cells of the cost table.
 COST_SAMPLE = 20_000
 COST_CELLS = 1 << 20
+#: Sets of the sample from which the number of probes is estimated (it sets the number of reducers only).
+PROBE_SAMPLE = 2_000
 #: What a signature costs to send, in candidate pairs.
 ENTRY_COST = 0.3
 #: Expected entries of one signature beyond which it is salted, and signatures per reducer.
@@ -409,9 +411,11 @@ def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     signatures, _ = _index_entries(plan, codes, offsets)
     np.add.at(cells, (signatures & np.uint64(COST_CELLS - 1)).astype(np.int64), np.float32(1))
     costs = Costs(cells, number / max(1, len(sample)))
-    # Signatures a set of the sample sends, to the index and as probes, times the sets: the number that the reducers share.
-    sent = len(signatures) + len(_probe_entries(plan, codes, offsets, costs)[0])
-    entries = int(number * (sent / max(1, len(sample)))) + 1
+    # Signatures that a set sends, to the index (as in the sample) and as probes (as in its first sets), times the sets: what the
+    # reducers share.
+    some = min(len(sample), PROBE_SAMPLE)
+    probes = len(_probe_entries(plan, codes[: offsets[some]], offsets[: some + 1], costs)[0])
+    entries = int(number * (len(signatures) / max(1, len(sample)) + probes / max(1, some))) + 1
     reducers = max(min(partitions(spark), 6), -(-entries // ENTRIES_PER_REDUCER))
     blocks = texts.select("gid", "words").mapInArrow(_sender(plan, shingle, costs, reducers), "reducer int, block binary")
     near = blocks.repartitionById(reducers, F.col("reducer")).mapInArrow(_matcher(plan), "a long, b long").distinct()

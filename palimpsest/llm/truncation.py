@@ -39,6 +39,11 @@ ANCHORED = 6
 BOUNDARY = 14
 #: Values at one length, and in the BOUNDARY characters below one, on which a limit is believed.
 LEAST_AT, LEAST_NEAR = 5, 8
+#: Log odds of evidence that is not estimated from the corpus: an open structure, a closed one, a final stop, a mark at and away from
+#: a limit, the prior, and a last word that was never seen. Set by hand to orders of magnitude: structures decide alone (e**8 to 1), a stop
+#: outweighs all words but those that always go on, a mark alone is weak (authors trail off), and the prior is a cut in six texts without
+#: other evidence.
+OPEN, CLOSED, STOPPED, MARKED_AT_LIMIT, MARKED, PRIOR, UNSEEN = 8.0, -8.0, -5.0, 3.0, -1.5, -1.5, 2.5
 #: Share of documents cut away from limits that is assumed when random cuts are discounted; only its order of magnitude matters.
 CUT_SHARE = 0.04
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -269,11 +274,11 @@ def endings(documents: DataFrame) -> DataFrame:
 
     enough = lambda s, n: F.coalesce(F.col(f"{s}.ends") + F.col(f"{s}.mids"), F.lit(0)) >= n
     words = F.when(enough("s_line", 2), llr("s_line")).when(enough("s_three", 5), llr("s_three")).when(enough("s_two", 5), llr("s_two")).when(enough("s_one", 3) | (F.col("s_one.ends") > 0), llr("s_one"))
-    words = F.when(F.col("g_one") == 0, 0.0).otherwise(F.coalesce(words, F.lit(2.5)))
+    words = F.when(F.col("g_one") == 0, 0.0).otherwise(F.coalesce(words, F.lit(UNSEEN)))
     # A stop after a context that always goes on (72.|5 %, filter.|py) is no end; elsewhere it nearly always is one.
-    stop = F.when(F.col("stop"), F.lit(-5.0)).when(F.col("mark"), F.when(F.col("limit_posterior") > 0, 3.0).otherwise(F.lit(-1.5))).otherwise(F.log(0.97 / F.col("bare")))
+    stop = F.when(F.col("stop"), F.lit(STOPPED)).when(F.col("mark"), F.when(F.col("limit_posterior") > 0, MARKED_AT_LIMIT).otherwise(F.lit(MARKED))).otherwise(F.log(0.97 / F.col("bare")))
     limit = F.when(F.col("limit_posterior") > 0, F.log(F.col("limit_posterior") / (1 - F.col("limit_posterior")))).otherwise(0.0)
-    score = F.when(F.col("open") == 1, 8.0).when(F.col("open") == -1, -8.0).otherwise(F.lit(-1.5) + words + stop + limit)
+    score = F.when(F.col("open") == 1, OPEN).when(F.col("open") == -1, CLOSED).otherwise(F.lit(PRIOR) + words + stop + limit)
     return docs.select("doc_id", "source", "chars", "bytes", "stop", "mark", "open", "limit_posterior", words.alias("words_llr"), score.alias("score"))
 
 

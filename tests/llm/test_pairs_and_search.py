@@ -164,6 +164,16 @@ def test_neighbours_recall_where_few_rows_are_compared(spark, monkeypatch, candi
     assert len(exact) > 100 and len(exact & found) >= 0.9 * len(exact)
 
 
+def test_hot_blocks_cut_into_parts_link_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    given = ["Robert", "Bob", "Rob", "Anna", "Anne", "William", "Bill", "Liz", "Elizabeth"]
+    rows = [("u" if k % 5 else "v", [(f"{rng.choice(given)} {rng.choice(['Hartmann', 'Hartman', 'Hartmanns'])}", "person")]) for k in range(120)]
+    df = spark.createDataFrame(rows, "user_id string, entities array<struct<text:string,type:string>>")
+    want = sorted(map(tuple, name_variants.variant_pairs(df).collect()))
+    monkeypatch.setattr(name_variants, "PART", 3)
+    assert sorted(map(tuple, name_variants.variant_pairs(df).collect())) == want and len(want) > 10
+
+
 # Leakage
 
 
