@@ -11,32 +11,44 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import materialize
 
 
+#: Nodes of which a task keeps the forest at a time.
+HELD_NODES = 500_000
+
+
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over each bounded batch: an edge batch becomes stars around the batch-local minimum."""
-    for batch in batches:
-        parent: dict = {}
+    """Union-find over the edges of a task: stars around the least node known. A forest of more than ``HELD_NODES`` nodes is handed on
+    and a new one begun, so memory is bounded and nothing is lost."""
+    parent: dict = {}
 
-        def find(x):
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    def find(x):
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
+    def stars() -> pd.DataFrame:
+        nodes = list(parent)
+        return pd.DataFrame({"src": nodes, "dst": [find(x) for x in nodes]})
+
+    for batch in batches:
         for a, b in zip(batch["src"].tolist(), batch["dst"].tolist()):
             ra, rb = find(a), find(b)
             if ra != rb:
                 low, high = (ra, rb) if ra < rb else (rb, ra)
                 parent[high] = low
-        nodes = list(parent)
-        yield pd.DataFrame({"src": nodes, "dst": [find(x) for x in nodes]})
+        if len(parent) > HELD_NODES:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Rows ``(node, component)`` for every endpoint; ``component`` is the smallest node of its component.
 
-    First every batch of edges is contracted to a star forest (bounded memory, no shuffle); then rounds of minimum-label
+    First every task contracts its edges to star forests (bounded memory, no shuffle); then rounds of minimum-label
     exchange with pointer jumping run until no label changes. Each round is written to the shared folder, so lost
     executors cost at most one round. Hot nodes are safe: all aggregations are map-side combinable minima.
     Edges with a null endpoint are dropped; self-loops yield a component of one; an empty input yields no rows.

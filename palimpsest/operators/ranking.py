@@ -114,12 +114,31 @@ def proper_nouns(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![.!?:\n-] )(?<!^)\b((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)*)\b"), F.lit(1)))
 
 
+#: Entities of a gap up to which related gaps are counted by inclusion and exclusion.
+FEW_ENTITIES = 4
+
+
 def gap_impact(gaps: DataFrame) -> DataFrame:
-    """Of ``(gap, entities)``: the share of all gaps that share an entity with a gap (itself left out)."""
+    """Of ``(gap, entities)``: the share of all gaps that share an entity with a gap (itself left out).
+
+    A gap of up to ``FEW_ENTITIES`` entities counts by inclusion and exclusion over the sets of its entities: gaps are counted per set,
+    so no pair of gaps is made and a hub of any degree is a number. Gaps of more entities are compared with the gaps they meet.
+    """
     total = gaps.count()
-    rows = gaps.select("gap", F.explode(F.array_distinct("entities")).alias("entity"))
-    other = rows.select("entity", F.col("gap").alias("other"))
-    related = rows.join(other, "entity").where("gap <> other").groupBy("gap").agg(F.countDistinct("other").alias("related"))
+    own = gaps.select("gap", F.array_sort(F.array_distinct("entities")).alias("e"))
+    none = F.array(F.array().cast("array<string>"))
+    subsets = F.aggregate("e", none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    few = own.where(F.size("e") <= FEW_ENTITIES)
+    sets = few.select("gap", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("s"))
+    many = own.where(F.size("e") > FEW_ENTITIES)
+    # Sets that small gaps ask about, as large gaps hold them.
+    asked = sets.select("s").distinct().withColumn("first", F.get("s", 0))
+    held = many.select("e", F.explode("e").alias("first")).join(asked, "first").where(F.size(F.array_except("s", "e")) == 0).select("s")
+    sizes = sets.select("s").union(held).groupBy("s").agg(F.count("*").alias("n"))
+    sign = F.when(F.size("s") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    related = sets.join(sizes, "s").groupBy("gap").agg((F.sum(sign) - 1).alias("related"))
+    wide = many.select("gap", F.explode("e").alias("entity")).join(own.select(F.col("gap").alias("other"), F.explode("e").alias("entity")), "entity")
+    related = related.union(wide.where("gap <> other").groupBy("gap").agg(F.countDistinct("other")))
     return gaps.select("gap").join(related, "gap", "left").select("gap", (F.coalesce("related", F.lit(0)) / F.lit(float(max(1, total)))).alias("impact"))
 
 
@@ -225,10 +244,15 @@ def deaths(vectors: DataFrame, block: int = 2_000) -> DataFrame:
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "death double")
 
 
+def intervals_for(rows: int, each: int = 1_000) -> int:
+    """Intervals of about ``each`` rows, eight at least."""
+    return max(8, -(-rows // each))
+
+
 def mapper(lens: DataFrame, intervals: int = 8, overlap: float = 0.25, cut: float = 0.6) -> DataFrame:
     """Mapper graph over ``(id, value, vector)``: intervals of the value that overlap, single-linkage groups (1 - cosine <= ``cut``) inside,
-    edges where groups share members: ``(a, b, shared)`` with group names ``interval/group``. An interval's rows go to one task, so choose
-    ``intervals`` by the size of the collection."""
+    edges where groups share members: ``(a, b, shared)`` with group names ``interval/group``. An interval's rows go to one task: choose
+    ``intervals`` by the size of the collection (see ``intervals_for``)."""
     low, high = lens.agg(F.min("value"), F.max("value")).first()
     if low is None:
         return lens.sparkSession.createDataFrame([], "a string, b string, shared long")
@@ -237,6 +261,7 @@ def mapper(lens: DataFrame, intervals: int = 8, overlap: float = 0.25, cut: floa
     rows = lens.withColumn("interval", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(F.greatest(last, F.lit(0)), F.lit(intervals - 1)))))
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id", ignore_index=True)
         x = np.stack(p["vector"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         parent = list(range(len(x)))
@@ -254,7 +279,7 @@ def mapper(lens: DataFrame, intervals: int = 8, overlap: float = 0.25, cut: floa
         return pd.DataFrame({"id": p["id"], "node": [f"{p['interval'].iloc[0]}/{root(k)}" for k in range(len(x))]})
 
     kind = lens.schema["id"].dataType.simpleString()
-    nodes = rows.orderBy("id").groupBy("interval").applyInPandas(group, f"id {kind}, node string")
+    nodes = rows.groupBy("interval").applyInPandas(group, f"id {kind}, node string")
     other = nodes.select("id", F.col("node").alias("b"))
     return nodes.select("id", F.col("node").alias("a")).join(other, "id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 

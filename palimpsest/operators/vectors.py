@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import materialize
+
 #: Rows on which cluster centres and codebooks are fitted (every row is assigned and encoded).
 FIT_ROWS = 50_000
 
@@ -40,16 +43,43 @@ def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
+def cosine_with(column: str, query: list[float]) -> Column:
+    """:func:`cosine` with one query vector, by Arrow batches: one matrix product for each batch."""
+    q = np.asarray(query, np.float64)
+    size = float(np.linalg.norm(q))
+
+    def run(v: pd.Series) -> pd.Series:
+        fit = [i for i, x in enumerate(v) if x is not None and len(x) == len(q)]
+        out = np.full(len(v), np.nan)
+        if fit:
+            x = np.stack([v.iloc[i] for i in fit]).astype(np.float64)
+            norms = np.linalg.norm(x, axis=1) * size
+            out[fit] = np.where(norms < 1e-10, 0.0, (x @ q) / np.maximum(norms, 1e-300))
+        return pd.Series(out)
+
+    return F.nanvl(F.pandas_udf(run, "double")(F.col(column)), F.lit(None).cast("double"))
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(key, similarity)`` of the ``k`` most similar rows, ties to the smaller key: one scan, a heap per task, no shuffle of vectors."""
     scored = vectors.select(key, cosine(F.col(column), literal(query)).alias("similarity")).where("similarity is not null")
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+#: Query vectors that are sent to every task at a time.
+QUERY_BLOCK = 20_000
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(query, key, similarity, rank)`` for a bounded set of query vectors ``(query, vector)``: blocks of the collection against all
     queries by one matrix product in each task, the best ``k`` of a block kept before the shuffle."""
-    asked = queries.collect()  # the stated, small query set
+    count = queries.count()
+    if count > QUERY_BLOCK:
+        # Queries go to every task, so they are taken in blocks, one scan each.
+        blocks = 2 * -(-count // QUERY_BLOCK)
+        mine = F.pmod(F.xxhash64("query"), F.lit(blocks))
+        return reduce(DataFrame.union, (materialize(top_k_each(vectors, queries.where(mine == b), k, key, column)) for b in range(blocks)))
+    asked = queries.collect()  # at most QUERY_BLOCK
     if not asked:
         return vectors.sparkSession.createDataFrame([], f"query {queries.schema['query'].dataType.simpleString()}, {key} long, similarity double, rank int")
     names = [q["query"] for q in asked]

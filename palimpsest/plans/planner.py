@@ -28,7 +28,7 @@ class Plan:
 def execute(plan: Plan, memories: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Rows ``(id, similarity)``, by similarity where the plan has a vector predicate, then newest first, then id.
 
-    ``vectors``: ``memory_id, vector`` with comparable vectors; a memory scores by its best vector. With a vector predicate only its
+    ``vectors``: ``memory_id, vector`` with comparable vectors (repeated rows do no harm); a memory scores by its best vector. With a vector predicate only its
     ``top_k`` memories (after all other predicates) remain.
     """
     where = F.col("user_id") == plan.user_id
@@ -50,7 +50,7 @@ def execute(plan: Plan, memories: DataFrame, vectors: DataFrame | None = None) -
         out = rows.withColumn("similarity", F.lit(None).cast("double")).orderBy(*newest)
     else:
         query, k = plan.vector
-        scored = vectors.join(rows.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", vc.cosine(F.col("vector"), vc.literal(query)).alias("similarity"))
+        scored = vectors.join(rows.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("memory_id", vc.cosine_with("vector", query).alias("similarity"))
         best = vc.max_pool(scored.where("similarity is not null"), "memory_id")
         out = rows.join(best, rows.id == best.memory_id).select("id", "updated_at", "similarity").orderBy(F.desc("similarity"), *newest).limit(k)
     out = out.limit(plan.limit) if plan.limit is not None else out

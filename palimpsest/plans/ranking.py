@@ -130,7 +130,7 @@ def shape_persistence(spark, folder):
 @_reg.add()
 def shape_mapper(spark, folder):
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", 0).cast("double").alias("value"), F.col("embedding").alias("vector"))
-    return rk.mapper(e)
+    return rk.mapper(e, rk.intervals_for(e.count()))
 
 
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

@@ -219,9 +219,10 @@ _VEC = "v AS (SELECT DISTINCT ON (vec_id) vec_id, memory_id, vector::DOUBLE[] AS
 
 
 def _vectors(spark, folder):
+    """Usable vectors of the main model; redelivered rows stay, since only the best vector of a memory counts."""
     v = table(spark, folder, "memory_vectors").where("model = 'mini-enc-v2'")
     good = (F.size("vector") == 128) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return fl.once(v.where(good), "vec_id")
+    return v.where(good).select("vec_id", "memory_id", "vector")
 
 
 @_reg.add(f"""WITH {MEMORIES}, {_VEC}, q AS (SELECT x AS y FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)), c AS (SELECT id, updated_at FROM m WHERE user_id = '{HOT_TENANT}' AND importance >= 0.2 AND experience_type <> 'Intention'),

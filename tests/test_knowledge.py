@@ -267,3 +267,43 @@ def test_graph_indices_find_the_nearest(spark, layered):
     assert gi.search(grown, ask, 1).first().vec_id == 10_000_001
     assert gi.search(index, asked.limit(0), 5).count() == 0
     index.unpersist()
+
+
+def test_gap_impact_equals_brute_force(spark):
+    from palimpsest.operators.ranking import gap_impact
+
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(9)]
+    rows = [(f"g{k}", rng.sample(names, rng.randint(1, 6))) for k in range(40)] + [("none", []), ("lone", ["zz", "zz"])]
+    got = {r.gap: r.impact for r in gap_impact(spark.createDataFrame(rows, "gap string, entities array<string>")).collect()}
+    for g, e in rows:
+        assert abs(got[g] - sum(1 for h, f in rows if h != g and set(e) & set(f)) / len(rows)) < 1e-9
+
+
+def test_components_of_many_tasks_and_flushes(spark, monkeypatch):
+    from palimpsest.operators import components as co
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(500, 500), (None, 1)]
+    parent = list(range(501))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in rows:
+        if a is not None:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    df = spark.createDataFrame(rows, "src long, dst long").repartition(6)
+    got = {r.node: r.component for r in co.connected_components(df).collect()}
+    assert got == {n: root(n) for pair in rows if pair[0] is not None for n in pair}
+
+
+def test_asked_vectors_come_in_blocks(spark, monkeypatch):
+    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    want = sorted((r["query"], r.vec_id, r.rank) for r in vc.top_k_each(e, asked, 3).collect())
+    monkeypatch.setattr(vc, "QUERY_BLOCK", 7)
+    assert sorted((r["query"], r.vec_id, r.rank) for r in vc.top_k_each(e, asked, 3).collect()) == want
