@@ -55,18 +55,22 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+class _Codes(dict):
+    """A 64-bit code of every word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode()
+        self[word] = code = (zlib.crc32(raw) << 32) | zlib.crc32(raw, 0x5BD1E995)
+        return code
+
+
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of the distinct shingles of each text of blank-separated words, and the offsets of the texts."""
-    known: dict[str, int] = {}
-    flat, lengths = [], []
+    code_of, flat, lengths = _Codes().__getitem__, [], []
     for t in texts:
         w = t.split(" ")
         lengths.append(len(w))
-        for x in w:
-            if x not in known:
-                raw = x.encode()
-                known[x] = (zlib.crc32(raw) << 32) | zlib.crc32(raw, 0x5BD1E995)
-            flat.append(known[x])
+        flat.extend(map(code_of, w))
     words, lengths = np.array(flat, np.uint64), np.array(lengths, np.int64)
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -385,9 +389,9 @@ def representatives(records: DataFrame, key: str, text: str, least_words: int) -
 
     Words are the runs of ``[a-z0-9]`` in the lower-cased text; ``gid`` is a 64-bit hash of the words. A repeated key counts once.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    read = records.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") >= least_words)
-    stored = materialize(read.select("id", F.array_join("w", " ").alias("words")).withColumn("gid", F.xxhash64("words")))
+    read = records.select(F.col(key).alias("id"), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")).alias("words"))
+    count = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)
+    stored = materialize(read.where(count >= least_words).withColumn("gid", F.xxhash64("words")))
     # Copies of a wording are folded before the shuffle, so a hot wording travels once per task.
     return stored.select("id", "gid").distinct(), stored.groupBy("gid").agg(F.first("words").alias("words"))
 
