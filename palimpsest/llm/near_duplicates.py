@@ -15,6 +15,7 @@ the few that are left; those are verified exactly on their words. Frequent signa
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -389,9 +390,17 @@ def representatives(records: DataFrame, key: str, text: str, least_words: int) -
 
     Words are the runs of ``[a-z0-9]`` in the lower-cased text; ``gid`` is a 64-bit hash of the words. A repeated key counts once.
     """
-    read = records.select(F.col(key).alias("id"), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")).alias("words"))
-    count = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)
-    stored = materialize(read.where(count >= least_words).withColumn("gid", F.xxhash64("words")))
+    kind = records.schema[key].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            found = [words(t.lower()) for t in batch.column(1).to_pylist()]
+            kept = [k for k, w in enumerate(found) if len(w) >= least_words]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([" ".join(found[k]) for k in kept], pa.string())], ["id", "words"])
+
+    shown = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
+    stored = materialize(shown.mapInArrow(read, f"id {kind}, words string").withColumn("gid", F.xxhash64("words")))
     # Copies of a wording are folded before the shuffle, so a hot wording travels once per task.
     return stored.select("id", "gid").distinct(), stored.groupBy("gid").agg(F.first("words").alias("words"))
 
