@@ -48,6 +48,12 @@ def word_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / (size(a) * size(b)))
 
 
+def _length(words: Column) -> Column:
+    """Root of the summed squares of word counts."""
+    times = lambda w: F.size(F.filter(words, lambda v: v == w)).cast("double")
+    return F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), lambda s, w: s + times(w) * times(w)))
+
+
 def positive(text: Column) -> Column:
     """True for an even number of negating words."""
     return F.size(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.isin(NEGATION_MARKERS))) % 2 == 0
@@ -73,7 +79,7 @@ def _wordings(facts: DataFrame) -> DataFrame:
     """One row per tenant, wording and set of entities, with the smallest id that has it."""
     shown = facts.where("fact is not null").select("user_id", "fact", F.sort_array(F.array_distinct(F.filter(F.coalesce("related_entities", F.array().cast("array<string>")), lambda e: e.isNotNull()))).alias("entities"), "id")
     one = shown.groupBy("user_id", "fact", "entities").agg(F.min("id").alias("id"))
-    words = one.withColumns({"words": word_counts(F.col("fact")), "tokens": F.array_distinct(F.filter(F.split(F.lower("fact"), r"\s+"), lambda w: w != "")), "positive": positive(F.col("fact"))})
+    words = one.withColumn("words", word_counts(F.col("fact"))).withColumns({"length": _length(F.col("words")), "different": F.array_distinct("words"), "tokens": F.array_distinct(F.filter(F.split(F.lower("fact"), r"\s+"), lambda w: w != "")), "positive": positive(F.col("fact"))})
     # Facts without entities are about nothing in particular and meet each other.
     return words.withColumn("entity", F.explode(F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit("")))))
 
@@ -86,14 +92,20 @@ def _pairs(facts: DataFrame, same_polarity: bool) -> DataFrame:
     pair = (F.col("user_id") == F.col("user_id_b")) & (F.col("entity") == F.col("entity_b")) & (F.col("id") < F.col("id_b")) & polar
     first = F.coalesce(F.array_min(F.array_intersect("entities", "entities_b")), F.lit(""))
     met = rows.join(other, pair).where(F.col("entity") == first)
-    return met.withColumn("cosine", F.round(word_cosine(F.col("words"), F.col("words_b")), 9)).where(F.col("cosine") >= SAME_COSINE)
+    if same_polarity:
+        met = met.where(jaccard(F.col("tokens"), F.col("tokens_b")) >= SAME_JACCARD)
+    # Lengths are known per wording; only the words that both hold count for a pair.
+    times = lambda arr, w: F.size(F.filter(arr, lambda v: v == w)).cast("double")
+    dot = F.aggregate(F.array_intersect("different", "different_b"), F.lit(0.0), lambda s, w: s + times(F.col("words"), w) * times(F.col("words_b"), w))
+    size = F.col("length") * F.col("length_b")
+    return met.withColumn("cosine", F.when(size > 0, F.round(dot / size, 9)).otherwise(0.0)).where(F.col("cosine") >= SAME_COSINE)
 
 
 def duplicate_facts(facts: DataFrame) -> DataFrame:
     """``(id, match, cosine)``: for each wording the other fact of its tenant that says the same: an entity shared (or neither has any),
     the same polarity, cosine and Jaccard over their bounds; the best by cosine, then the smaller id. ``id`` stands for all facts of
     one wording."""
-    near = _pairs(facts, True).where(jaccard(F.col("tokens"), F.col("tokens_b")) >= SAME_JACCARD)
+    near = _pairs(facts, True)
     both = near.select("id", F.col("id_b").alias("match"), "cosine").union(near.select("id_b", "id", "cosine"))
     return both.groupBy("id").agg(F.min_by(F.struct("match", "cosine"), F.struct(-F.col("cosine"), F.col("match"))).alias("m")).select("id", "m.match", "m.cosine")
 
