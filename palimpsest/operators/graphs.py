@@ -209,3 +209,19 @@ def upsert_edges(edges: DataFrame) -> DataFrame:
     g = rows.groupBy("user_id", "a", "b", "relation_type").agg(F.sort_array(F.collect_list(F.struct("created_at", "uuid", "strength"))).alias("l"), F.sum("n").alias("activations"), F.count("*").alias("merged"))
     first = F.get("l", 0)["strength"]
     return g.select("user_id", "a", "b", "relation_type", "activations", "merged", (1 - (1 - first) * F.pow(F.lit(0.9), F.col("merged") - 1)).alias("strength"))
+
+
+def dot_lines(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lines ``(part, key, line)`` of a graph document in DOT: nodes (part 0) and edges (part 1), to be written in that order between
+    ``digraph {`` and ``}`` (see ``write_dot``). Quotes inside names become apostrophes; each entity and edge is there once."""
+    name = F.replace(F.coalesce("name", F.lit("")), F.lit('"'), F.lit("'"))
+    nodes = entities.dropDuplicates(["uuid"]).select(F.lit(0).alias("part"), F.col("uuid").alias("key"), F.concat(F.lit('  "'), "uuid", F.lit('" [label="'), name, F.lit('"];')).alias("line"))
+    weight = F.format_string("%.3f", F.coalesce(F.col("strength").cast("double"), F.lit(0.0)))
+    line = F.concat(F.lit('  "'), "from_entity", F.lit('" -> "'), "to_entity", F.lit('" [label="'), F.coalesce("relation_type", F.lit("")), F.lit('", weight='), weight, F.lit("];"))
+    return nodes.union(edges.where("from_entity is not null and to_entity is not null").select(F.lit(1), "uuid", line))
+
+
+def write_dot(lines: DataFrame, path: str) -> None:
+    """Write a graph document as text files in order of part and key, framed by its first and last line."""
+    frame = lines.sparkSession.createDataFrame([(-1, "", "digraph {"), (2, "", "}")], "part int, key string, line string")
+    lines.union(frame).orderBy("part", "key").select("line").write.text(path)

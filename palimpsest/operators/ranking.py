@@ -68,6 +68,15 @@ def context_triggers(tasks: DataFrame, context: str) -> DataFrame:
     return tasks.where(F.exists("keywords", lambda k: (F.length(k) > 0) & folded.contains(F.lower(k)))).orderBy(F.desc("priority"), "id")
 
 
+def context_matches(tasks: DataFrame, context: str, similar: DataFrame, least: float = 0.75) -> DataFrame:
+    """Tasks ``(id, keywords, priority)`` that a context calls up: by a keyword in it, or by likeness of at least ``least`` in
+    ``similar`` ``(id, similarity)``; ``(id, priority, by_keyword)``. A task without keywords and without a vector never is."""
+    word = F.coalesce(F.exists("keywords", lambda k: (F.length(k) > 0) & F.lit(context.lower()).contains(F.lower(k))), F.lit(False))
+    near = similar.where(F.col("similarity") >= least).select("id", F.lit(True).alias("near")).distinct()
+    met = tasks.join(near, "id", "left").withColumn("by_keyword", word)
+    return met.where(F.col("by_keyword") | F.coalesce("near", F.lit(False))).select("id", "priority", "by_keyword")
+
+
 def expand_hierarchy(found: DataFrame, memories: DataFrame) -> DataFrame:
     """Found ids, their parents (importance times 1.1, at most 1) and children (times 1.05) that are not yet there: ``(id, importance, via)``."""
     value = F.col("importance").cast("double")

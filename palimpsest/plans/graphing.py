@@ -209,4 +209,10 @@ def graph_coactivation_all(spark, folder):
     return x.join(x.select("episode_id", F.col("a").alias("b")), "episode_id").where("a < b").select("a", "b")
 
 
+@_reg.add(_G + """, n AS (SELECT DISTINCT ON (uuid) uuid, name FROM graph_entities), l AS (SELECT 0 AS part, uuid AS key, '  "' || uuid || '" [label="' || replace(coalesce(name, ''), '"', chr(39)) || '"];' AS line FROM n
+UNION ALL SELECT 1, uuid, '  "' || from_entity || '" -> "' || to_entity || '" [label="' || coalesce(relation_type, '') || '", weight=' || printf('%.3f', coalesce(strength::DOUBLE, 0)) || '];' FROM g) SELECT part, key, line FROM l""")
+def graph_dot_document(spark, folder):
+    return gr.dot_lines(table(spark, folder, "graph_entities"), edges(spark, folder))
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

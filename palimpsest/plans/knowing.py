@@ -89,10 +89,10 @@ def mutate_purge_facts(spark, folder):
     return mu.purge_facts(facts(spark, folder), as_of(), 0.4).select("id", F.unix_micros("purged_at").alias("purged_us"), "purge_reason")
 
 
-@_reg.add("WITH m AS (SELECT DISTINCT ON (id) * FROM memories), g AS (SELECT parent_id AS cause, id AS effect FROM m WHERE parent_id IS NOT NULL) SELECT cause, count(DISTINCT effect) AS branches FROM g GROUP BY 1 HAVING count(DISTINCT effect) > 1")
+@_reg.add("WITH m AS (SELECT DISTINCT ON (id) * FROM memories), g AS (SELECT DISTINCT unnest(relations.related_memories) AS cause, id AS effect FROM m) SELECT cause, count(DISTINCT effect) AS branches FROM g WHERE cause IS NOT NULL GROUP BY 1 HAVING count(DISTINCT effect) > 1")
 def lineage_branches(spark, folder):
-    told = memories(spark, folder, "parent_id is not null").select(F.col("parent_id").alias("cause"), F.col("id").alias("effect"), F.lit("contains").alias("relation"))
-    return kn.branches(told).select("cause", "branches")
+    cites = memories(spark, folder).select(F.explode(F.array_distinct("relations.related_memories")).alias("cause"), F.col("id").alias("effect"), F.lit("cites").alias("relation")).where("cause is not null")
+    return kn.branches(cites).select("cause", "branches")
 
 
 @_reg.add("WITH m AS (SELECT DISTINCT ON (id) * FROM memories), l AS (SELECT DISTINCT id, unnest(relations.related_memories) AS cause FROM m) SELECT 'cites' AS relation, CASE WHEN cause IN (SELECT id FROM m) THEN 'known' ELSE 'forgotten' END AS source, count(*) AS edges, round(avg(CASE WHEN cause IN (SELECT id FROM m) THEN 1.0 ELSE 0.5 END), 6) AS confidence FROM l WHERE cause IS NOT NULL GROUP BY ALL")

@@ -128,4 +128,13 @@ def salience_spikes(spark, folder):
     return x.where((F.abs(F.col("v") - F.col("a")) > 0.3) | (F.col("v") > 0.7)).select("id", r("v").alias("importance"), r("a").alias("usual"))
 
 
+@_reg.add(f"""WITH {MESSAGES}, x AS (SELECT session_id, msg_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM s WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY ts, msg_id)),
+y AS (SELECT *, sum(CASE WHEN coalesce(gap > 86400, true) THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, msg_id) AS session FROM x)
+SELECT session_id, session, count(*) AS members, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM y GROUP BY ALL HAVING count(*) >= 2""")
+def time_clusters_messages(spark, folder):
+    """Messages of a session no more than a day apart: the test messages stand further apart than half an hour."""
+    t = od.time_clusters(messages(spark, folder, "ts is not null").select("session_id", "msg_id", "ts"), "session_id", "ts", "msg_id", gap_seconds=86_400)
+    return t.select("session_id", "session", "members", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

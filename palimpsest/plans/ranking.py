@@ -133,4 +133,21 @@ def shape_mapper(spark, folder):
     return rk.mapper(e, rk.intervals_for(e.count()))
 
 
+_CALL = "the backup of the retry loop and the privacy review ran in staging"
+
+
+@_reg.add(f"""WITH {MEMORIES}, v AS (SELECT DISTINCT ON (vec_id) * FROM memory_vectors WHERE vector IS NOT NULL AND len(vector) = dimensions AND len([x for x in vector if x IS NULL OR isnan(x)]) = 0 AND len([x for x in vector if x <> 0]) > 0),
+q AS (SELECT vector::DOUBLE[] AS q FROM v WHERE model = 'mini-enc-v2' ORDER BY vec_id LIMIT 1), n AS (SELECT memory_id AS id, max(round(list_cosine_similarity(vector::DOUBLE[], q), 9)) AS s FROM v, q WHERE dimensions = len(q) GROUP BY 1),
+w AS (SELECT id, coalesce(len([t for t in tags if length(trim(t)) > 0 AND contains('{_CALL}', lower(trim(t)))]) > 0, false) AS by_keyword FROM m) SELECT id, by_keyword FROM w LEFT JOIN n USING (id) WHERE by_keyword OR coalesce(s >= 0.75, false)""")
+def trigger_context_match(spark, folder):
+    """Memories as tasks, their tags as keywords, the vector of a known memory as that of the context."""
+    from palimpsest.operators import recall as rc
+    from palimpsest.plans.recalling import _asked_vector
+
+    m = memories(spark, folder)
+    tasks = m.select("id", F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.trim(t)).alias("keywords"), F.lit(1).alias("priority"))
+    near = rc.by_similarity(m, table(spark, folder, "memory_vectors"), _asked_vector(spark, folder), 1_000_000)
+    return rk.context_matches(tasks, _CALL, near).select("id", "by_keyword")
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

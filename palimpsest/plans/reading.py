@@ -69,9 +69,11 @@ def source_plain_text(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", words.alias("words"), lines.alias("lines"))
 
 
-@_reg.add(f"WITH x AS (SELECT doc_id, list_sort(list_distinct([lower(n) for n in regexp_extract_all(text, '{sg.DECLARATION}', 2) if length(n) > 1])) AS names FROM documents) SELECT doc_id, names FROM x WHERE len(names) > 0")
+@_reg.add(f"WITH x AS (SELECT doc_id, list_sort(list_distinct([lower(n) for n in regexp_extract_all(text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'def load_' || doc_id || '(x):' || chr(10) || '  class Probe: pass' ELSE '' END, '{sg.DECLARATION}', 2) if length(n) > 1])) AS names FROM documents) SELECT doc_id, names FROM x WHERE len(names) > 0")
 def source_code_names(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", sg.code_names(F.col("text")).alias("names")).where("size(names) > 0")
+    """Every third document has a declaration added, since few hold any."""
+    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("def load_"), F.col("doc_id").cast("string"), F.lit("(x):\n  class Probe: pass"))).otherwise("")
+    return table(spark, folder, "documents").select("doc_id", sg.code_names(F.concat("text", F.lit("\n"), code)).alias("names")).where("size(names) > 0")
 
 
 @_reg.add(_M + "SELECT user_id, count(*) AS n, max(epoch_us(created_at)) AS last_us FROM m WHERE content IS NOT NULL GROUP BY 1")
@@ -150,4 +152,20 @@ def mutate_interference(spark, folder):
     return mu.interference(met).withColumns({"retroactive": r("retroactive"), "proactive": r("proactive")})
 
 
+@_reg.add()
+def query_parsed(spark, folder):
+    """The judged questions taken apart; the rules are tested one by one."""
+    import pandas as pd
+
+    from palimpsest.functions.querying import parsed
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, p["kind"], p["parts"], p["nouns"], p["labels"], p["wanted"], p["confidence"], p["expansion"], p["dates"]) for i, t in zip(b["item_id"], b["query_text"]) for p in [parsed(t or "")]]
+            yield pd.DataFrame(rows, columns=["item_id", "kind", "parts", "nouns", "labels", "wanted", "confidence", "expansion", "dates"])
+
+    items = table(spark, folder, "eval_items").select("item_id", "query_text")
+    return items.mapInPandas(run, "item_id long, kind string, parts array<string>, nouns array<string>, labels array<string>, wanted array<string>, confidence double, expansion array<string>, dates array<string>")
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

@@ -79,6 +79,14 @@ def join_lineage_inference(spark, folder):
     return rel.inferred_lineage(memories(spark, folder)).select("cause", "effect", "relation", "confidence", r("overlap").alias("overlap"))
 
 
+@_reg.add(f"""WITH {MEMORIES}, x AS (SELECT id, user_id, experience_type AS ty, epoch_us(created_at) AS t, {_NAMES} AS n FROM m WHERE created_at IS NOT NULL), k(a, b, relation, confidence) AS (VALUES {_TYPES})
+SELECT x.id AS cause, y.id AS effect, relation, confidence::DOUBLE AS confidence, round({_JAC.format(a='x.n', b='y.n')}, 6) AS overlap
+FROM x JOIN y_x y ON x.user_id = y.user_id AND x.t <= y.t AND y.t - x.t <= 60 * 86400000000 AND x.id <> y.id JOIN k ON k.a = x.ty AND k.b = y.ty WHERE {_JAC.format(a='x.n', b='y.n')} >= 0.1""".replace("y_x y", "x y"))
+def join_lineage_wide(spark, folder):
+    """With bounds that the test tables meet: sixty days, a tenth of the entities."""
+    return rel.inferred_lineage(memories(spark, folder), 60, 0.1).select("cause", "effect", "relation", "confidence", r("overlap").alias("overlap"))
+
+
 @_reg.add(_M + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id, lower(substr(content, 1, 200)) ORDER BY importance DESC NULLS LAST, id) AS n FROM m WHERE content IS NOT NULL) WHERE n = 1")
 def dedup_heads(spark, folder):
     return rel.head_duplicates(memories(spark, folder)).select("id")

@@ -218,6 +218,12 @@ def set_criteria_intersection(spark, folder):
     return m.where(F.array_contains(fl.lowered("tags"), "audit")).select("id").intersect(m.where("importance > 0.2").select("id"))
 
 
+@_reg.add(_M + "SELECT id FROM m WHERE list_has_any([lower(trim(t)) for t in tags if t is not null], ['backup', 'privacy', 'staging']) INTERSECT SELECT id FROM m WHERE importance > 0.2")
+def set_criteria_overlap(spark, folder):
+    tagged = F.arrays_overlap(fl.lowered("tags"), F.array(*(F.lit(t) for t in ("backup", "privacy", "staging"))))
+    return memories(spark, folder, tagged).select("id").intersect(memories(spark, folder, "importance > 0.2").select("id"))
+
+
 @_reg.add(_M + "SELECT DISTINCT lower(trim(t)) AS tag FROM (SELECT unnest(tags) AS t FROM m) WHERE t IS NOT NULL")
 def set_tag_union(spark, folder):
     return memories(spark, folder).select(F.explode("tags").alias("t")).where("t is not null").select(F.lower(F.trim("t")).alias("tag")).distinct()

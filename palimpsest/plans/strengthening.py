@@ -23,7 +23,7 @@ _READY = "CASE WHEN tier = 'L1' THEN 0.0::DOUBLE ELSE {n} / 10.0::DOUBLE * 0.5 +
 _SINCE = "len([t for t in CASE WHEN tier <> 'L1' THEN coalesce(activation_timestamps, []) ELSE [] END if t >= " + AS_OF_SQL + " - INTERVAL {a} HOUR AND t {op} " + AS_OF_SQL + " - INTERVAL {b} HOUR])"
 _ORDER = "CASE {c} WHEN 'Burst' THEN 1 WHEN 'Weekly' THEN 2 WHEN 'Full' THEN 3 ELSE 0 END"
 _G = f"WITH {EDGES} "
-_START = "(SELECT min(from_entity) FROM graph_edges)"
+_START = "(SELECT from_entity FROM graph_edges GROUP BY 1 ORDER BY count(DISTINCT uuid) DESC, 1 LIMIT 1)"
 
 
 @_reg.add(f"""WITH {EDGES}, a AS (SELECT *, coalesce(activation_count, 0) + 1 AS n, least({_S} + (0.1::DOUBLE + CASE tier WHEN 'L1' THEN 0.15::DOUBLE WHEN 'L2' THEN 0.12 ELSE 0.075 END) * (1 - {_S}), 1.0) AS w FROM g),
@@ -45,7 +45,8 @@ def graph_directional(spark, folder):
 
 @_reg.add(_G + f"SELECT uuid, CASE WHEN from_entity = {_START} THEN to_entity ELSE from_entity END AS other, round({_EFF.format(s=_S)}, 6) AS effective FROM g WHERE invalidated_at IS NULL AND {_START} IN (from_entity, to_entity) AND {_EFF.format(s=_S)} > 0.01 ORDER BY {_EFF.format(s=_S)} DESC, uuid LIMIT 10")
 def graph_associations(spark, folder):
-    start = table(spark, folder, "graph_edges").agg(F.min("from_entity")).first()[0]
+    degree = table(spark, folder, "graph_edges").groupBy("from_entity").agg(F.countDistinct("uuid").alias("n"))
+    start = degree.orderBy(F.desc("n"), "from_entity").first()[0]
     return pl.associations(edges(spark, folder), F.lit(start), as_of()).withColumn("effective", r("effective"))
 
 

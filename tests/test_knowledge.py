@@ -307,3 +307,33 @@ def test_asked_vectors_come_in_blocks(spark, monkeypatch):
     want = sorted((r["query"], r.vec_id, r.rank) for r in vc.top_k_each(e, asked, 3).collect())
     monkeypatch.setattr(vc, "QUERY_BLOCK", 7)
     assert sorted((r["query"], r.vec_id, r.rank) for r in vc.top_k_each(e, asked, 3).collect()) == want
+
+
+def test_questions_are_taken_apart():
+    from palimpsest.functions import querying as qy
+
+    who = qy.intent_of("Who manages the release pipeline?")
+    assert who.labels == ["Person", "Organization", "Team"] and who.relations == ["Manages", "DeploysTo"] and who.confidence == 1.0
+    assert qy.intent_of("How do we monitor latency?").labels == ["Metric", "Service"] and qy.intent_of("how are you").labels == ["Concept", "Technology"]
+    assert qy.intent_of("Which library do we use").labels == ["Technology", "Product", "Module"] and qy.intent_of("which one").labels == []
+    assert qy.intent_of("").confidence == 0.0
+    assert qy.expanded("Any risks, concerns?") == {w: 0.3 for w in ("issues", "problems", "challenges", "threats")} and qy.expanded("plain words") == {}
+    p = qy.parsed("When did it fail, 2024-05-01 or later, but not staging?")
+    assert p["kind"] == "temporal" and p["dates"] == ["2024-05-01"] and "staging" in p["negated"]
+
+
+def test_intent_of_time_follows_the_most_telling_phrase(spark):
+    from palimpsest.functions import strings as st
+
+    rows = [("When did we meet yesterday?", "when"), ("how long until today", "duration"), ("was it before the fix", "ordering"), ("the latest run", "specific"), ("what broke", "none"), (None, None), ("", "none")]
+    got = spark.createDataFrame(rows, "q string, want string").select(st.temporal_intent(F.col("q")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_a_graph_is_written_as_a_document(spark, tmp_path):
+    from palimpsest.operators.graphs import dot_lines, write_dot
+
+    e = spark.createDataFrame([("a", 'A "x"'), ("b", None), ("b", None)], "uuid string, name string")
+    write_dot(dot_lines(e, _edges(spark, [("a", "b", "Uses", 0.5)])).coalesce(1), str(tmp_path / "g"))
+    text = "\n".join(open(f).read() for f in sorted((tmp_path / "g").glob("part-*")))
+    assert [x for x in text.split("\n") if x] == ["digraph {", "  \"a\" [label=\"A 'x'\"];", '  "b" [label=""];', '  "a" -> "b" [label="Uses", weight=0.500];', "}"]
