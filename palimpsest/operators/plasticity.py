@@ -219,3 +219,25 @@ def coactivated(edges: DataFrame, retrievals: DataFrame, most: int = 20) -> Data
     weight = F.coalesce(F.col("k.strength").cast("double"), F.lit(0.0))
     grown = F.least(weight + (LEARNING_RATE + _by(TIER_BOOST, F.col("k.tier"), TIER_BOOST["L3"])) * (1 - weight), F.lit(1.0))
     return pairs.join(known, ["a", "b"], "left").select("a", "b", F.when(F.col("k").isNull(), 0.4).otherwise(grown).alias("strength"), F.col("k").isNull().alias("fresh"))
+
+
+def traversed(edges: DataFrame, starts: DataFrame, now: Column, depth: int, relations: list[str] | None = None, least: float = 0.0, fan: int = FAN, hop_decay: float = 0.0) -> DataFrame:
+    """``(start, node, score, hop)``: the best product of effective strengths over walks of up to ``depth`` edges of the given relations,
+    each hop times ``exp(-hop_decay)``, and the fewest hops of a walk with that product; nodes use their ``fan`` strongest edges. A
+    start reaches itself with 1. Only bests are carried from round to round."""
+    valid = edges.where("invalidated_at is null and from_entity is not null and to_entity is not null")
+    if relations is not None:
+        valid = valid.where(F.col("relation_type").isin(relations))
+    both = F.array(F.struct(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst")), F.struct(F.col("to_entity").alias("src"), F.col("from_entity").alias("dst")))
+    steps = valid.select("uuid", F.explode(both).alias("x"), F.round(effective(now), 9).alias("w")).select("uuid", "x.src", "x.dst", "w").where((F.col("w") >= least) & (F.col("src") != F.col("dst")))
+    ways = materialize(first_ranks(steps, "uuid", "w", fan, ["src"]).groupBy("src", "dst").agg((F.max("w") * math.exp(-hop_decay)).alias("w")))
+    best = materialize(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hop")))
+    front = best
+    for hop in range(1, depth + 1):
+        step = front.join(ways, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("w")).alias("score"))
+        better = step.join(best.select("start", "node", F.col("score").alias("old")), ["start", "node"], "left").where("old is null or score > old")
+        front = materialize(better.select("start", "node", "score", F.lit(hop).alias("hop")))
+        if front.isEmpty():
+            break
+        best = materialize(best.union(front).groupBy("start", "node").agg(F.max_by(F.struct("score", "hop"), F.struct("score", -F.col("hop"))).alias("b")).select("start", "node", "b.score", "b.hop"))
+    return best

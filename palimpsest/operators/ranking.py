@@ -118,6 +118,23 @@ def resolve_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     return whole.union(part).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "salience")
 
 
+def resolve_entities_by_stem(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """:func:`resolve_entities` with a step between: names of the same stems (0.8), so that a plural or another form finds its entity. The
+    words of all names are stemmed once each."""
+    from palimpsest.operators.knowledge import stem_sets
+
+    exact = resolve_entities(names, entities)
+    asked = names.distinct().where("length(asked) >= 3").withColumn("id", F.xxhash64("user_id", "asked"))
+    e = entities.where("name is not null").dropDuplicates(["uuid"])
+    a = stem_sets(asked.withColumn("text", F.col("asked")).select("id", "user_id", "asked", "text")).where("size(tokens) > 0")
+    b = stem_sets(e.select(F.col("uuid").alias("id"), F.col("user_id").alias("owner"), "name", F.coalesce("salience", F.lit(0.0)).alias("salience"), F.col("name").alias("text"))).where("size(tokens) > 0")
+    met = a.select("user_id", "asked", "tokens").join(b.select(F.col("id").alias("uuid"), "owner", "name", "salience", F.col("tokens").alias("own")), (F.col("user_id") == F.col("owner")) & (F.col("tokens") == F.col("own")))
+    stems = met.select("user_id", "asked", "uuid", "name", F.lit(0.8).alias("score"), "salience")
+    every = exact.withColumn("salience", F.lit(1.0)).select("user_id", "asked", "uuid", "name", "score", "salience").unionByName(stems)
+    w = Window.partitionBy("user_id", "asked").orderBy(F.desc("score"), F.desc("salience"), F.length("name"), "uuid")
+    return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "salience")
+
+
 def proper_nouns(text: Column) -> Column:
     """Distinct runs of capitalised words that do not start a sentence, in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![.!?:\n-] )(?<!^)\b((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)*)\b"), F.lit(1)))

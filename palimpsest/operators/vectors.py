@@ -209,3 +209,80 @@ def cells_of_neighbours(knn: DataFrame) -> DataFrame:
     mine = knn.groupBy("vec_id").agg(F.avg(1 - F.col("similarity")).alias("isolation"))
     heard = knn.groupBy(F.col("other").alias("vec_id")).agg(F.count("*").alias("in_degree"))
     return mine.join(heard, "vec_id", "left").select("vec_id", "isolation", (1 / F.greatest("isolation", F.lit(1e-9))).alias("density"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+
+
+def knn_blocks(vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 2_000) -> DataFrame:
+    """``(key, other, similarity, rank)``: the exact ``k`` nearest others of every vector of the commonest length. Each pair of blocks of
+    about ``block`` rows is one task, so memory is bounded and the work is quadratic: for collections where exactness is worth that."""
+    known = vectors.where(F.col(column).isNotNull()).dropDuplicates([key]).select(key, F.col(column).alias("v"))
+    size = known.groupBy(F.size("v").alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()
+    kind = vectors.schema[key].dataType.simpleString()
+    if size is None:
+        return vectors.sparkSession.createDataFrame([], f"{key} {kind}, other {kind}, similarity double, rank int")
+    rows = materialize(known.where(F.size("v") == size["s"]))
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("b", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    met = placed.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"), "b", key, "v")
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(p["v"].to_numpy()).astype(np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        ids, side = p[key].to_numpy(), p["b"].to_numpy() == p["one"].iloc[0]
+        same = p["one"].iloc[0] == p["two"].iloc[0]
+        parts = []
+        for mine, theirs in (((slice(None), slice(None)),) if same else ((side, ~side), (~side, side))):
+            s = np.round(x[mine] @ x[theirs].T, 9)
+            if same:
+                np.fill_diagonal(s, -np.inf)
+            for i, row in zip(ids[mine], s):
+                best = np.lexsort((ids[theirs], -row))[:k]
+                best = best[np.isfinite(row[best])]
+                parts.append(pd.DataFrame({key: i, "other": ids[theirs][best], "similarity": row[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({key: ids[:0], "other": ids[:0], "similarity": np.zeros(0)})
+
+    found = met.groupBy("one", "two").applyInPandas(meet, f"{key} {kind}, other {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def shapes_of_cells(knn: DataFrame, vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``(key, isolation, density, anisotropy, sparse)`` from ``(key, other, similarity)``: mean distance of the neighbours and its inverse;
+    the greatest over the mean likeness of two directions to neighbours (1 at least; 1 with fewer than two); and the direction away
+    from the neighbours' mean, null with fewer than three. A vector's own neighbours are all that a row of work holds."""
+    own = vectors.dropDuplicates([key]).select(key, F.col(column).alias("v"))
+    near = knn.join(own.select(F.col(key).alias("other"), F.col("v").alias("w")), "other").groupBy(key).agg(F.avg(1 - F.col("similarity")).alias("isolation"), F.collect_list("w").alias("ws"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            shape, sparse = [], []
+            for v, ws in zip(b["v"], b["ws"]):
+                d = np.stack(list(ws)).astype(np.float64) - np.asarray(v, np.float64)
+                d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
+                off = np.abs((d @ d.T)[np.triu_indices(len(d), 1)])
+                shape.append(max(1.0, off.max() / off.mean()) if len(off) and off.mean() > 0.001 else 1.0)
+                mean = d.mean(axis=0)
+                sparse.append((-mean / np.linalg.norm(mean)).tolist() if len(d) > 2 and np.linalg.norm(mean) > 1e-9 else None)
+            yield pd.DataFrame({key: b[key], "isolation": b["isolation"], "anisotropy": shape, "sparse": sparse})
+
+    done = near.join(own, key).mapInPandas(run, f"{key} {kind}, isolation double, anisotropy double, sparse array<double>")
+    return done.select(key, "isolation", F.when(F.col("isolation") > 0, 1 / F.col("isolation")).otherwise(0.0).alias("density"), "anisotropy", "sparse")
+
+
+def void(cells: DataFrame, vectors: DataFrame, isolation: float, least: int = 3, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``(boundary, nearest, radius, confidence)``: the hole that isolated vectors surround, if their centre is empty: at least ``least``
+    cells over ``isolation`` whose centroid no vector is nearer to than 0.3. No row otherwise."""
+    lone = vectors.dropDuplicates([key]).select(key, F.col(column).alias("v")).join(cells.where(F.col("isolation") > isolation).select(key), key, "left_semi")
+    means = lone.select(F.posexplode("v").alias("place", "x")).groupBy("place").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("place").collect()  # one number per dimension
+    count = lone.count()
+    spark = vectors.sparkSession
+    schema = "boundary long, nearest double, radius double, confidence double"
+    if count < least:
+        return spark.createDataFrame([], schema)
+    centre = literal([m["x"] for m in means])
+    nearest = vectors.where(F.col(column).isNotNull()).agg(F.min(1 - cosine(F.col(column), centre))).first()[0]
+    if nearest is None or nearest <= 0.3:
+        return spark.createDataFrame([], schema)
+    radius = lone.agg(F.avg(1 - cosine(F.col("v"), centre))).first()[0]
+    confidence = min(max(count / 10, 0.2), 0.9) * min(max(nearest / 0.5, 0.3), 1.0)
+    return spark.createDataFrame([(count, float(nearest), float(radius), confidence)], schema)

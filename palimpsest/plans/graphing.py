@@ -202,11 +202,12 @@ def graph_coactivation(spark, folder):
     return y.join(z, "episode_id").where("k < kb").select(F.col("id").alias("a"), "b")
 
 
-@_reg.add()
+@_reg.add(f"WITH {MEMORIES}, n AS (SELECT episode_id, count(*) - 1 AS links FROM m WHERE episode_id IS NOT NULL GROUP BY 1) SELECT id, episode_id, links FROM m JOIN n USING (episode_id)")
 def graph_coactivation_all(spark, folder):
-    """The pairs of whole episodes; ``graph_coactivation`` keeps the first 20 memories of each, as its SQL does."""
-    x = memories(spark, folder, "episode_id is not null").select("episode_id", F.col("id").alias("a"))
-    return x.join(x.select("episode_id", F.col("a").alias("b")), "episode_id").where("a < b").select("a", "b")
+    """Whole episodes: each memory with its episode and the number of others that it is activated with, so that no pairs are made;
+    ``graph_coactivation`` lists the pairs of the first 20 memories of each, as its SQL does."""
+    m = memories(spark, folder, "episode_id is not null").select("id", "episode_id")
+    return m.join(m.groupBy("episode_id").agg((F.count("*") - 1).alias("links")), "episode_id").select("id", "episode_id", "links")
 
 
 @_reg.add(_G + """, n AS (SELECT DISTINCT ON (uuid) uuid, name FROM graph_entities), l AS (SELECT 0 AS part, uuid AS key, '  "' || uuid || '" [label="' || replace(coalesce(name, ''), '"', chr(39)) || '"];' AS line FROM n

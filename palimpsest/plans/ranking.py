@@ -8,7 +8,7 @@ from palimpsest.operators import filters as fl
 from palimpsest.operators import graphs as gr
 from palimpsest.operators import ranking as rk
 from palimpsest.operators import vectors as vc
-from palimpsest.plans.common import HOT_TENANT, MEMORIES, MESSAGES, Registry, edges, memories, messages, r
+from palimpsest.plans.common import EDGES, HOT_TENANT, MEMORIES, MESSAGES, Registry, edges, memories, messages, r
 from palimpsest.runtime import table
 
 _reg = Registry()
@@ -71,11 +71,14 @@ def mode_action_outcome(spark, folder):
     return rk.by_outcome(memories(spark, folder, "reward >= 0.0 and reward <= 1.0")).limit(30).select("id", r("reward").alias("reward"))
 
 
-@_reg.add()
+_NEAR = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(h.lat - geo_location[1]) / 2), 2) + cos(radians(geo_location[1])) * cos(radians(h.lat)) * pow(sin(radians(h.lon - geo_location[2]) / 2), 2))))"
+
+
+@_reg.add(f"WITH {MEMORIES}, h AS (SELECT geo_location[1] AS lat, geo_location[2] AS lon FROM m WHERE len(geo_location) >= 2 ORDER BY id LIMIT 1) SELECT id, round({_NEAR}, 3) AS metres FROM m, h WHERE len(geo_location) >= 2 AND {_NEAR} <= 2000000")
 def mode_spatial(spark, folder):
     m = memories(spark, folder)
     centre = m.where(F.size("geo_location") >= 2).agg(F.min_by("geo_location", "id")).first()[0]
-    return rk.spatial(m, centre[0], centre[1], 50_000.0).select("id", r("metres", 3).alias("metres"))
+    return rk.spatial(m, centre[0], centre[1], 2_000_000.0).select("id", r("metres", 3).alias("metres"))
 
 
 @_reg.add(_M + "SELECT mission_id, id FROM m WHERE mission_id IS NOT NULL")
@@ -88,7 +91,9 @@ def context_summary(spark, folder):
     return rk.context_summary(memories(spark, folder)).select("user_id", "experience_type", "id", "place")
 
 
-@_reg.add()
+@_reg.add(f"""WITH {MEMORIES}, e AS (SELECT uuid, user_id, name, lower(name) AS low, coalesce(salience::DOUBLE, 0) AS s FROM (SELECT DISTINCT ON (uuid) * FROM graph_entities) WHERE name IS NOT NULL), a AS (SELECT DISTINCT user_id, x.text AS asked FROM (SELECT user_id, unnest(entities) AS x FROM m) WHERE x.text IS NOT NULL),
+w AS (SELECT DISTINCT uuid, user_id, name, s, unnest(string_split_regex(low, '[^\\p{{L}}\\p{{Nd}}]+')) AS word FROM e), r AS (SELECT a.user_id, asked, uuid, name, s, CASE WHEN asked = name THEN 1.0 ELSE 0.9 END AS score FROM a JOIN e ON a.user_id = e.user_id AND lower(asked) = low
+UNION ALL SELECT a.user_id, asked, uuid, name, s, 0.7 FROM a JOIN w ON a.user_id = w.user_id AND lower(asked) = word WHERE length(asked) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, asked ORDER BY score DESC, s DESC, length(name), uuid) AS n FROM r) SELECT user_id, asked, uuid, name, score::DOUBLE AS score FROM k WHERE n = 1""")
 def entity_resolution(spark, folder):
     e = fl.once(table(spark, folder, "graph_entities"), "uuid")
     asked = memories(spark, folder).select("user_id", F.explode("entities").alias("e")).select("user_id", F.col("e.text").alias("asked")).where("asked is not null")
@@ -101,7 +106,8 @@ def entity_extraction(spark, folder):
     return n.groupBy("name").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@_reg.add()
+@_reg.add(f"""WITH {EDGES}, t AS (SELECT DISTINCT concat_ws('>', x.from_entity, x.to_entity, y.to_entity) AS gap, x.from_entity AS a, y.to_entity AS c FROM g x JOIN g y ON x.to_entity = y.from_entity WHERE x.from_entity <> y.to_entity AND x.strength::DOUBLE >= 0.7 AND y.strength::DOUBLE >= 0.7 AND NOT EXISTS (SELECT 1 FROM g z WHERE (z.from_entity = x.from_entity AND z.to_entity = y.to_entity) OR (z.from_entity = y.to_entity AND z.to_entity = x.from_entity))),
+n AS (SELECT count(*)::DOUBLE AS n FROM t), e AS (SELECT gap, a AS entity FROM t UNION SELECT gap, c FROM t), o AS (SELECT x.gap, count(DISTINCT y.gap) AS k FROM e x JOIN e y ON x.entity = y.entity AND x.gap <> y.gap GROUP BY 1) SELECT t.gap, round(coalesce(k, 0) / n, 6) AS impact FROM t LEFT JOIN o USING (gap), n""")
 def gap_impact(spark, folder):
     t = gr.open_triads(edges(spark, folder), 0.7).select(F.concat_ws(">", "a", "b", "c").alias("gap"), F.array("a", "c").alias("entities")).distinct()
     return rk.gap_impact(t).select("gap", r("impact").alias("impact"))

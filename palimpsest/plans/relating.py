@@ -26,7 +26,7 @@ def join_shares_entity(spark, folder):
     return rel.sharing_entities(m, m.where(F.col("id").endswith("00")))
 
 
-@_reg.add()
+@_reg.add(f"""WITH {MEMORIES}, e AS (SELECT id, user_id, unnest({_NAMES}) AS entity FROM m), k AS (SELECT user_id, entity, count(*) - 1 AS n FROM e GROUP BY ALL), l AS (SELECT e.id, sum(n) AS links FROM e JOIN k USING (user_id, entity) GROUP BY 1) SELECT id, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (id)""")
 def join_entity_links(spark, folder):
     """The links of all memories; ``join_shares_entity`` lists those of the anchors that its SQL names."""
     return rel.entity_links(memories(spark, folder))

@@ -239,4 +239,20 @@ def mode_multimodal(spark, folder):
     return rc.by_mode("associative", similarity=near).join(e.select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@_reg.add("""WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS rank FROM p QUALIFY rank <= 5) SELECT vec_id, round(avg(1 - s), 6) AS isolation, round(1 / avg(1 - s), 4) AS density FROM k GROUP BY 1""")
+def vector_cells(spark, folder):
+    """Neighbourhoods of all vectors from their exact five nearest; shapes and directions are tested against plain computations."""
+    e = _embeddings(spark, folder)
+    return vc.shapes_of_cells(vc.knn_blocks(e, 5), e).select("vec_id", r("isolation").alias("isolation"), r("density", 4).alias("density"))
+
+
+@_reg.add()
+def vector_void(spark, folder):
+    e = _embeddings(spark, folder)
+    cells = materialize(vc.shapes_of_cells(vc.knn_blocks(e, 5), e))
+    bound = cells.agg(F.percentile_approx("isolation", 0.9)).first()[0] or 0.0
+    return vc.void(cells, e, bound)
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

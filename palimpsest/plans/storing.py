@@ -25,7 +25,12 @@ def scalar_contains(spark, folder):
     return memories(spark, folder, "content is not null").select("id", st.contains_folded(c, "Rollback").alias("folded"), st.contains_word(c, "robot").alias("word"))
 
 
-@_reg.add()
+_HIT = ["regexp_matches(content, '" + p.replace("'", "''") + "')" for p, _, _ in st.TYPE_PATTERNS]
+_DETECT = " ".join(f"WHEN {h} THEN '{kind}'" for h, (_, kind, _) in zip(_HIT, st.TYPE_PATTERNS))
+_TRUST = " ".join(f"WHEN {h} THEN {value}" for h, (_, _, value) in zip(_HIT, st.TYPE_PATTERNS))
+
+
+@_reg.add(_M + f"SELECT CASE {_DETECT} ELSE 'Observation' END AS detected, CASE {_TRUST} ELSE 0.5 END::DOUBLE AS confidence, count(*) AS n FROM m WHERE content IS NOT NULL GROUP BY ALL")
 def scalar_type_detection(spark, folder):
     kind, confidence = st.detected_type(F.col("content"))
     return memories(spark, folder, "content is not null").groupBy(kind.alias("detected"), confidence.alias("confidence")).agg(F.count("*").alias("n"))
@@ -93,7 +98,7 @@ def scalar_json(spark, folder):
     return e.where(F.size(keys) > 0).select("event_id", F.element_at(F.from_json("props", "map<string,string>"), F.get(keys, 0)).isNotNull().alias("has_first"))
 
 
-@_reg.add()
+@_reg.add(_M + """, f AS (SELECT sha256(content) AS h, min(id) AS id FROM m WHERE content IS NOT NULL GROUP BY 1) SELECT id, user_id, len(tags) AS tags FROM m WHERE content IS NULL OR id IN (SELECT id FROM f)""")
 def source_interchange_round_trip(spark, folder):
     m = memories(spark, folder)
     return tb.import_interchange(tb.export_interchange(m), m.where("content is null")).select("id", "user_id", F.size("tags").alias("tags"))
@@ -105,7 +110,7 @@ def source_dataset_query(spark, folder):
     return tb.query_dataset(spark, p.orderBy("id"), "size > :least AND brand LIKE :brand", {"least": 25, "brand": "Brand#1%"}).select("id", "name", "size")
 
 
-@_reg.add()
+@_reg.add("""SELECT list_concat(CASE WHEN p_partkey % 7 = 0 THEN ['unknown other'] ELSE [] END, CASE WHEN p_partkey % 5 = 0 THEN ['missing name'] ELSE [] END) AS violations, count(*) AS n FROM part GROUP BY 1""")
 def source_dataset_validation(spark, folder):
     schema = tb.dataset_schema([("id", "i64", False), ("name", "text", False), ("score", "f64", True)])
     rows = table(spark, folder, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 7 == 0, F.lit(1)).alias("other"))).alias("row"))
@@ -241,4 +246,10 @@ def planner_graph(spark, folder):
     return planner.execute(planner.Plan(HOT_TENANT, shares_with=anchor, limit=20), m).select("id")
 
 
+@_reg.add("""SELECT * FROM (VALUES ('yesterday', '2024-05-14'), ('2 weeks ago', '2024-05-01'), ('1 month ago', '2024-04'), ('last month', '2024-04'), ('next month', '2024-06'), ('last year', '2023'), ('3 years ago', '2021'), ('last friday', '2024-05-10'), ('nothing', NULL)) t(phrase, period)""")
+def scalar_relative_period(spark, folder):
+    p = spark.createDataFrame([(x,) for x in ("yesterday", "2 weeks ago", "1 month ago", "last month", "next month", "last year", "3 years ago", "last friday", "nothing")], "phrase string")
+    return p.select("phrase", st.relative_period(F.col("phrase"), F.lit("2024-05-15").cast("date")).alias("period"))
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

@@ -127,4 +127,14 @@ def graph_coretrieved(spark, folder):
     return pl.coactivated(edges(spark, folder), m.select(F.col("episode_id").alias("retrieval"), place.alias("place"), F.col("id").alias("node")))
 
 
+@_reg.add(f"""WITH RECURSIVE {EDGES}, e AS (SELECT uuid, from_entity AS a, to_entity AS b, round({_EFF.format(s=_S)}, 9) AS w FROM g WHERE invalidated_at IS NULL AND relation_type IN ('RelatedTo', 'Uses', 'WorksWith', 'PartOf')), s AS (SELECT uuid, a AS src, b AS dst, w FROM e WHERE a <> b UNION ALL SELECT uuid, b, a, w FROM e WHERE a <> b),
+t AS (SELECT src, dst, max(w) * exp(-0.15::DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, uuid) AS k FROM s) WHERE k <= 100 GROUP BY ALL),
+p AS (SELECT {_START} AS node, 1.0::DOUBLE AS score, 0 AS hop UNION SELECT t.dst, p.score * t.w, hop + 1 FROM p JOIN t ON t.src = p.node WHERE hop < 3) SELECT node, round(max(score), 6) AS score FROM p GROUP BY 1""")
+def graph_traverse(spark, folder):
+    """From the node of most edges over some relations, three hops, each decayed."""
+    degree = table(spark, folder, "graph_edges").groupBy("from_entity").agg(F.countDistinct("uuid").alias("n")).orderBy(F.desc("n"), "from_entity").limit(1)
+    found = pl.traversed(edges(spark, folder), degree.select("from_entity"), as_of(), 3, ["RelatedTo", "Uses", "WorksWith", "PartOf"], hop_decay=0.15)
+    return found.select("node", r("score").alias("score"))
+
+
 QUERIES, ORACLE_SQL = _reg.queries, _reg.sql

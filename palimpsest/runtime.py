@@ -62,6 +62,16 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` gave, when nothing more will be read from it."""
+    context = written.sparkSession.sparkContext
+    own = f"/{run_folder(written.sparkSession)}/"
+    for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if own in f"{path}/":
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     """Shuffle width set for this session, never under ``at_least``."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

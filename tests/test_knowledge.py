@@ -337,3 +337,38 @@ def test_a_graph_is_written_as_a_document(spark, tmp_path):
     write_dot(dot_lines(e, _edges(spark, [("a", "b", "Uses", 0.5)])).coalesce(1), str(tmp_path / "g"))
     text = "\n".join(open(f).read() for f in sorted((tmp_path / "g").glob("part-*")))
     assert [x for x in text.split("\n") if x] == ["digraph {", "  \"a\" [label=\"A 'x'\"];", '  "b" [label=""];', '  "a" -> "b" [label="Uses", weight=0.500];', "}"]
+
+
+def test_cells_and_voids_equal_plain_computations(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8)).astype(np.float32)
+    rows = [(k, [float(a) for a in v]) for k, v in enumerate(x)] + [(3, [float(a) for a in x[3]]), (900, None), (901, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    knn = vc.knn_blocks(df, 4, block=17)
+    u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    best = {k: sorted(range(60), key=lambda j: (-s[k, j], j))[:4] for k in range(60)}
+    got: dict = {}
+    for r in sorted(knn.collect(), key=lambda r: r.rank):
+        got.setdefault(r.vec_id, []).append(r.other)
+    assert got == best
+    for r in vc.shapes_of_cells(knn, df).collect():
+        d = x[best[r.vec_id]].astype(float) - x[r.vec_id]
+        d /= np.linalg.norm(d, axis=1, keepdims=True)
+        off = np.abs((d @ d.T)[np.triu_indices(4, 1)])
+        assert abs(r.anisotropy - max(1, off.max() / off.mean())) < 1e-6 and abs(r.isolation - np.mean([1 - s[r.vec_id, j] for j in best[r.vec_id]])) < 1e-6
+        assert np.allclose(r.sparse, -d.mean(0) / np.linalg.norm(d.mean(0)), atol=1e-6)
+    assert vc.knn_blocks(df.limit(0), 4).count() == 0
+    axes = spark.createDataFrame([(k, [float(k == j) for j in range(4)]) for k in range(4)], "vec_id long, embedding array<float>")
+    cells = vc.shapes_of_cells(vc.knn_blocks(axes, 2), axes)
+    hole = vc.void(cells, axes, 0.5).collect()
+    assert len(hole) == 1 and hole[0].boundary == 4 and abs(hole[0].nearest - 0.5) < 1e-9 and vc.void(cells, axes, 2.0).count() == 0
+
+
+def test_names_resolve_by_stem(spark):
+    from palimpsest.operators.ranking import resolve_entities_by_stem
+
+    e = spark.createDataFrame([("u", "e1", "Query Planner", 0.5), ("u", "e2", "Robots", 0.9), ("v", "e3", "Robot", 0.9), ("u", "e4", None, 0.1)], "user_id string, uuid string, name string, salience double")
+    n = spark.createDataFrame([("u", "query planners"), ("u", "robot"), ("v", "Robot"), ("u", "xx"), ("u", "nothing")], "user_id string, asked string")
+    assert {(r.user_id, r.asked): (r.uuid, r.score) for r in resolve_entities_by_stem(n, e).collect()} == {("u", "query planners"): ("e1", 0.8), ("u", "robot"): ("e2", 0.8), ("v", "Robot"): ("e3", 1.0)}

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from palimpsest import catalog
-from palimpsest.runtime import materialize, remove_tables
+from palimpsest.runtime import discard, materialize, remove_tables
 
 FOLDER = "/root/testdata/sf0.001"
 PUSHED = [
@@ -27,3 +27,13 @@ def test_tables_of_a_session_can_be_removed(spark):
     remove_tables(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_one_table_can_be_discarded(spark):
+    gone, kept = materialize(spark.range(3)), materialize(spark.range(4))
+    path = gone.inputFiles()[0]
+    discard(gone)
+    discard(spark.read.parquet(f"{FOLDER}/memories.parquet").limit(1))  # not a table of this session: left alone
+    assert kept.count() == 4 and spark.read.parquet(f"{FOLDER}/memories.parquet").count() > 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
