@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import connected_components
-from palimpsest.runtime import materialize, partitions
+from palimpsest.runtime import discard, materialize, partitions
 
 #: Ratio between the largest and the smallest set of a size band.
 BAND = 2.0
@@ -386,7 +386,7 @@ def _verifier(width: int, least: float):
 
 
 def representatives(records: DataFrame, key: str, text: str, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """``(members, texts)``: rows ``(id, gid)`` of the records with enough words, and one ``(gid, words)`` per distinct wording.
+    """``(members, texts)``, both written: rows ``(id, gid)`` of the records with enough words, and one ``(gid, words)`` per distinct wording.
 
     Words are the runs of ``[a-z0-9]`` in the lower-cased text; ``gid`` is a 64-bit hash of the words. A repeated key counts once.
     """
@@ -401,8 +401,11 @@ def representatives(records: DataFrame, key: str, text: str, least_words: int) -
 
     shown = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
     stored = materialize(shown.mapInArrow(read, f"id {kind}, words string").withColumn("gid", F.xxhash64("words")))
+    members = materialize(stored.select("id", "gid").distinct())
     # Copies of a wording are folded before the shuffle, so a hot wording travels once per task.
-    return stored.select("id", "gid").distinct(), stored.groupBy("gid").agg(F.first("words").alias("words"))
+    texts = materialize(stored.groupBy("gid").agg(F.first("words").alias("words")))
+    discard(stored)
+    return members, texts
 
 
 def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -411,9 +414,13 @@ def similar_texts(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     Exact: no pair is lost, whatever the sizes, ties or frequencies. Texts with fewer words than a shingle have an empty set and
     are in no pair.
     """
+    return _similar(materialize(texts.where(F.length("words") - F.length(F.replace("words", F.lit(" "))) >= shingle - 1)), shingle, least)
+
+
+def _similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """:func:`similar_texts` of a written table whose texts have the words of a shingle at least."""
     spark = texts.sparkSession
     plan = Plan(least)
-    texts = materialize(texts.where(F.length("words") - F.length(F.replace("words", F.lit(" "))) >= shingle - 1))
     number = texts.count()
     if number < 2:
         return spark.createDataFrame([], "a long, b long, similarity double")
@@ -447,7 +454,7 @@ def similar_ids(records: DataFrame, key: str, text: str, shingle: int = 5, least
     Null texts and texts under ``least_words`` words are out.
     """
     members, texts = representatives(records, key, text, max(least_words, shingle))
-    links = similar_texts(texts, shingle, least).select("a", "b")
+    links = _similar(texts, shingle, least).select("a", "b")
     alike = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     left, right = members.select(F.col("id").alias("x"), F.col("gid").alias("a")), members.select(F.col("id").alias("y"), F.col("gid").alias("b"))
     pairs = links.union(alike).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
@@ -458,7 +465,7 @@ def groups(records: DataFrame, key: str, text: str, shingle: int = 5, least: flo
     """One row ``(id, group, links)`` per record with enough words: the smallest wording number of its connected group, and the
     number of other wordings that it is linked to. Copies share a group."""
     members, texts = representatives(records, key, text, max(least_words, shingle))
-    links = materialize(similar_texts(texts, shingle, least).select("a", "b"))
+    links = materialize(_similar(texts, shingle, least).select("a", "b"))
     component = connected_components(links, "a", "b")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     return (
