@@ -20,8 +20,10 @@ import numpy as np
 
 from palimpsest.llm import pii
 
-#: Contents in the labelled sample, characters of a training window, hidden size, passes.
-SAMPLE, CUT, HIDDEN, PASSES = 9_000, 160, 24, 13
+#: Contents in the labelled sample, characters of a training window, hidden size; passes at most, windows of a batch, batches of a step
+#: (one for each process), and seconds after which no further pass begins.
+SAMPLE, CUT, HIDDEN = 9_000, 160, 24
+PASSES, LANES, WORKERS, SECONDS = 60, 32, 8, 270
 EMBED = 11
 
 _L = r"[^\W\d_]"
@@ -293,7 +295,7 @@ def _gradient(job: tuple[int, dict, list]) -> tuple[float, dict[str, np.ndarray]
     return net.loss(*_padded(batch))
 
 
-def train(texts: list[str], spans: list[list], passes: int = PASSES, lanes: int = 96, hidden: int = HIDDEN, seconds: float = 420, said=print, workers: int = 1) -> Net:
+def train(texts: list[str], spans: list[list], passes: int = PASSES, lanes: int = LANES, hidden: int = HIDDEN, seconds: float = SECONDS, said=print, workers: int = 1) -> Net:
     """A step takes the mean gradient of ``workers`` batches, computed in as many processes."""
     net, rng, began = Net(hidden), np.random.default_rng(7), time.time()
     pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
@@ -366,7 +368,7 @@ def main(folder: str, teacher: str | None = None) -> None:
     names_of = pii.load(teacher) if teacher else None
     texts, spans = labelled_sample(folder, teacher=names_of)
     print(len(texts), "texts", Counter(pii.KINDS[k] for s in spans for _, _, k in s))
-    model = train(texts, spans, workers=4).frozen()
+    model = train(texts, spans, workers=WORKERS).frozen()
     print("held out", measure(model, *labelled_sample(folder, SAMPLE // 4, names_of, held=True)))
     np.savez_compressed(pii.MODEL, **{k: v.astype(np.float16 if k not in ("trans", "start", "bias") else np.float32) for k, v in model.items()})
 
