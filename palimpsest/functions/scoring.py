@@ -127,7 +127,10 @@ def fused(semantic: Column, entity: Column, tag: Column, importance: Column, mom
 
 
 def heat(accesses: Column, richness: Column, age_days: Column) -> Column:
-    return accesses * F.log1p(richness.cast("double")) / (1.0 + age_days * 0.1)
+    """Accesses by richness, less with age. Ten days ahead of the reference time the divisor is 0, and the division follows IEEE as in
+    the SQL: infinite, or not a number for a memory without anything."""
+    above, below = accesses * F.log1p(richness.cast("double")), 1.0 + age_days * 0.1
+    return F.when(below == 0, above * F.lit(float("inf"))).otherwise(above / below)
 
 
 def fact_decay(days_since_support: Column, support: Column) -> Column:

@@ -265,3 +265,19 @@ def test_coactivation_of_whole_episodes(spark, tmp_path):
     rows = [(i, episode) for i, _, episode, *_ in _memories_in(spark, tmp_path) if episode]
     got = {r.id: r.links for r in graphing.graph_coactivation_all(spark, tmp_path).collect()}
     assert got == {i: sum(1 for j, other in rows if other == episode and j != i) for i, episode in rows} and sum(got.values()) == 870
+
+
+def test_heat_of_memories_ten_days_ahead(spark, tmp_path):
+    """Ten days ahead of the reference time the divisor is 0: infinite, or not a number for a memory without anything, as in the SQL."""
+    import pyarrow.parquet as pq
+
+    from palimpsest.plans import relating
+    from tests.oracle import connect, difference, rows_of_spark
+
+    day = lambda d: dt.datetime(2025, 6, 1, tzinfo=dt.timezone.utc) + dt.timedelta(days=d)
+    rows = [("a", 3, day(10), ["x"]), ("b", 3, day(9.5), []), ("c", 3, day(9.5), ["x"]), ("d", 2, day(11), ["x"]), ("e", 2, day(9), ["x"]), ("f", 2, None, ["x"]), ("g", 0, day(10), ["x"]), ("h", 1, day(-40), None)]
+    df = spark.createDataFrame([(*r, None, None, None, None) for r in rows], "id string, access_count int, created_at timestamp, tags array<string>, entities array<string>, episode_id string, robot_id string, parent_id string")
+    pq.write_table(df.toArrow(), tmp_path / "memories.parquet")
+    heat = relating.agg_heat(spark, tmp_path)
+    assert difference(heat, connect(tmp_path), relating.ORACLE_SQL["agg_heat"]) == ""
+    assert {("inf", "a"), ("nan", "b"), ("inf", "c")} <= {(str(h), i) for h, i in rows_of_spark(heat)[1]}
