@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import strings as st
 from palimpsest.operators.components import connected_components
 from palimpsest.operators.texts import STOP_WORDS, sentences, stem
-from palimpsest.runtime import materialize
+from palimpsest.runtime import discard, materialize
 
 # Fixed values that results depend on.
 SAME_COSINE, SAME_JACCARD, SAME_WORDS_ONLY = 0.80, 0.30, 0.70
@@ -33,6 +35,9 @@ PAST_VERBS = ["ran", "went", "did", "took", "made", "had", "got", "saw", "met"]
 FACT_TRUST = {"Planned": 0.8, "Occurred": 0.75, "Historical": 0.85}
 INERTIA = {"Learning": 0.95, "Decision": 0.90, "Pattern": 0.85, "Discovery": 0.75, "Context": 0.60, "Task": 0.50, "Observation": 0.40, "Conversation": 0.30, "Error": 0.20}
 HELPFUL_BOOST, MISLEADING_DECAY, IMPORTANCE_FLOOR = 0.025, 0.10, 0.05
+#: They steer work, never results: rows of a bucket that are compared without a look at its parts, counters of how common tokens are, and
+#: stems that a task remembers.
+BUCKET, COUNTERS, STEMS = 256, 1 << 16, 200_000
 
 
 def word_counts(text: Column) -> Column:
@@ -131,6 +136,99 @@ def similar_sets(rows: DataFrame, least: float) -> DataFrame:
     return both.where(jaccard(F.col("x"), F.col("y")) >= least - 1e-12).select("a", "b")
 
 
+def _content_words(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
+
+
+def stem_codes(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` without their text, with ``tokens``: the tokens of :func:`stem_sets` as 64-bit codes. Nothing is shuffled; a task stems a
+    word once as long as it remembers it."""
+    kept = [c for c in rows.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for b in batches:
+            lists = b.column("words")
+            words = lists.flatten().dictionary_encode()
+            names = words.dictionary.to_pylist()
+            if len(known) > STEMS:
+                known.clear()
+            stems = [known[w] if w in known else known.setdefault(w, stem(w)) for w in names]
+            spread = pa.array(stems, pa.string()).take(words.indices)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), spread)], names=[*kept, "stems"])
+
+    asked = rows.select(*kept, F.coalesce(F.array_distinct(_content_words(F.col(text))), F.array().cast("array<string>")).alias("words"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", stems array<string>"
+    return asked.mapInArrow(run, schema).select(*kept, F.array_distinct(F.transform("stems", lambda t: F.xxhash64(t))).alias("tokens"))
+
+
+def _rarest_first(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            tokens, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(sizes):
+                continue
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            tokens = tokens[np.lexsort((tokens, counts[tokens & (len(counts) - 1)], np.repeat(np.arange(len(sizes)), sizes)))]
+            marks = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (tokens & 63).astype(np.uint64)), ends[:-1]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(sizes.astype(np.int32)), pa.array(marks), pa.array(np.full(len(sizes), -1, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], names=["key", "id", "size", "mark", "at", "tokens"])
+
+    return run
+
+
+def linked_sets(rows: DataFrame, least: float, within: str, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` between rows ``(id, within, tokens)`` of the same ``within`` with Jaccard >= ``least``. Not all pairs are listed, but
+    the connected components are those of all pairs. Tokens are distinct 64-bit codes.
+
+    Tokens stand in one order, common ones last. Rows of a ``within`` are a bucket. A bucket of up to ``bucket`` rows is compared pair by
+    pair; a larger one is cut by the next token: rows that have to share ``k + 1`` tokens agree in the first ``k + 1`` that they share, and
+    enough must be left behind these. Rows that share enough already are linked to the smallest row of the bucket. A bucket whose
+    parts would cost more than half of its own pairs is compared as it is. Bits of the tokens rule most pairs out before their tokens are met.
+    """
+    need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * (least / (1 + least)) - 1e-9)
+    rows = rows.where(F.col(within).isNotNull() & (F.size("tokens") > 0))
+    counts = np.zeros(COUNTERS, np.int64)
+    for c in rows.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).collect():  # COUNTERS rows at most
+        counts[c["c"]] = c["n"]
+    state = materialize(rows.select(F.xxhash64(within).alias("key"), "id", "tokens").mapInArrow(_rarest_first(counts), f"key long, id {rows.schema['id'].dataType.simpleString()}, size int, mark long, at int, tokens array<long>"))
+
+    def met(some: DataFrame) -> DataFrame:
+        x = some.select("key", "id", "size", "mark", "tokens")
+        y = x.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "mark", "tokens")))
+        x, enough = x.withColumnRenamed("key", "key_a"), need("size", "size_b")
+        apart = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
+        pair = (F.col("key_a") == F.col("key")) & (F.col("id") < F.col("id_b")) & (F.col("size") - apart("mark", "mark_b") >= enough) & (F.col("size_b") - apart("mark_b", "mark") >= enough) & (F.size(F.array_intersect("tokens", "tokens_b")) >= enough)
+        return x.join(y, pair).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+    links, k = None, 0
+    while True:
+        sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "id")).alias("head"), F.max("size").alias("most"))
+        large = materialize(sizes.where(F.col("n") > bucket).select("key", "n", F.col("head.size").alias("head_size"), F.col("head.id").alias("head"), "most"))
+        last = large.isEmpty()
+        found = met(state) if last else None
+        if not last:
+            own = state.join(large, "key")
+            end = F.col("size") + k - F.greatest(F.lit(k + 1), F.ceil(F.col("size") * least - 1e-9).cast("int"))
+            cut = own.where((need("size", "most") > k) & (end > F.col("at"))).select(F.col("key").alias("parent"), "n", "id", "size", "mark", "tokens", F.explode(F.sequence(F.col("at") + 1, end)).alias("at"))
+            parts = materialize(cut.withColumn("key", F.xxhash64("parent", F.get("tokens", F.col("at")))))
+            cost = parts.groupBy("parent", "key").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cost"), F.first("n").alias("n"))
+            whole = materialize(cost.where(F.col("cost") * 2 > F.col("n") * F.col("n")).select(F.col("parent").alias("key")))
+            split = large.join(whole, "key", "left_anti")
+            sure = own.where((F.col("id") != F.col("head")) & (need("size", "head_size") <= k)).select(F.col("id").alias("a"), F.col("head").alias("b"))
+            found = met(state.join(split.select("key"), "key", "left_anti")).union(sure)
+        found = materialize(found)
+        links = found if links is None else links.union(found)
+        if last:
+            discard(state)
+            return links
+        rest = materialize(parts.join(whole.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "id", "size", "mark", "at", "tokens"))
+        discard(state)
+        discard(parts)
+        state, k = rest, k + 1
+
+
 def stem_sets(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``tokens``: the distinct stems of the content words of a text. Words are stemmed once each, not once per text."""
 
@@ -138,8 +236,7 @@ def stem_sets(rows: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             yield b.assign(stem=[stem(t) for t in b["word"]])
 
-    words = F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
-    spread = materialize(rows.select("id", F.explode_outer(F.array_distinct(words)).alias("word")))
+    spread = materialize(rows.select("id", F.explode_outer(F.array_distinct(_content_words(F.col(text)))).alias("word")))
     stems = spread.select("word").where("word is not null").distinct().mapInPandas(run, "word string, stem string")
     tokens = spread.join(stems, "word", "left").groupBy("id").agg(F.sort_array(F.collect_set("stem")).alias("tokens"))  # one text's own stems
     return rows.join(tokens, "id")
@@ -156,13 +253,11 @@ def consolidated(memories: DataFrame, now: Column, kinds: list[str], least_age_d
     old = memories.where(F.col("experience_type").isin(kinds) & (F.col("created_at") <= now - F.make_dt_interval(days=F.lit(least_age_days))))
     said = old.select("user_id", F.col("id").alias("memory"), F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("confidence"), F.explode(F.array_distinct(sentences(F.col("content")))).alias("text"))
     said = materialize(said.withColumn("id", F.xxhash64("user_id", F.lower("text"))))
-    wordings = materialize(stem_sets(said.groupBy("id").agg(F.first("text").alias("text"), F.first("user_id").alias("user_id"))).select("id", "user_id", "tokens"))
-    # The tenant is a token of its own kind, so that it neither links nor splits: pairs of two tenants are left out behind the join.
-    owner = wordings.select("id", "user_id")
-    pairs = similar_sets(wordings.select("id", "tokens"), CLUSTER_JACCARD)
-    pairs = pairs.join(owner.select(F.col("id").alias("a"), F.col("user_id").alias("u")), "a").join(owner.select(F.col("id").alias("b"), F.col("user_id").alias("v")), "b").where("u = v")
-    groups = connected_components(pairs.select("a", "b"), "a", "b")
-    full = said.join(groups, said.id == groups.node, "left").withColumn("group", F.coalesce("component", "id"))
+    wordings = materialize(stem_codes(said.groupBy("id").agg(F.first("text").alias("text"), F.first("user_id").alias("user_id"), F.count("*").alias("n"))))
+    groups = connected_components(linked_sets(wordings, CLUSTER_JACCARD, "user_id"), "a", "b")
+    # A sentence that is like no other counts only if enough memories have it.
+    kept = wordings.select("id", "n").join(groups, F.col("id") == F.col("node"), "left").where(F.col("component").isNotNull() | (F.col("n") >= CLUSTER_SUPPORT))
+    full = said.join(kept.select("id", F.coalesce("component", "id").alias("group")), "id")
     best = full.groupBy("group", "user_id", "memory").agg(F.max("confidence").alias("confidence"), F.max_by("text", F.struct("confidence", "text")).alias("text"))
     facts = best.groupBy("group", "user_id").agg(F.max_by("text", F.struct("confidence", "text")).alias("fact"), F.count("*").alias("support"), F.avg("confidence").alias("confidence"), F.min("memory").alias("source"))
     return facts.where(F.col("support") >= CLUSTER_SUPPORT).select("user_id", "fact", "support", F.least("confidence", F.lit(1.0)).alias("confidence"), "source")

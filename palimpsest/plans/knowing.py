@@ -48,7 +48,8 @@ def facts_duplicate(spark, folder):
 @_reg.add()
 def facts_consolidated(spark, folder):
     """Tested against brute force on a fixture."""
-    return kn.consolidated(memories(spark, folder), as_of(), ["Decision", "Learning", "Discovery", "Pattern", "Error", "Observation"]).withColumn("confidence", r("confidence"))
+    kinds = ["Decision", "Learning", "Discovery", "Pattern", "Error", "Observation"]
+    return kn.consolidated(memories(spark, folder, F.col("experience_type").isin(kinds)), as_of(), kinds).withColumn("confidence", r("confidence"))
 
 
 _TOLD = f"""s AS (SELECT id, user_id, created_at, [e.text for e in entities if e.text is not null] AS al, [trim(x) for x in string_split_regex(content, '[.!?]') if trim(x) <> ''] AS l FROM m WHERE created_at IS NOT NULL AND content IS NOT NULL),

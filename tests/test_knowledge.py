@@ -102,6 +102,42 @@ def test_similar_sets_equal_brute_force(spark):
         assert got == want and want
 
 
+def test_linked_sets_have_the_components_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(k, ["u", "v", "w", None][min(k % 7, 3)], rng.sample(range(1, 26), rng.randint(0, 9))) for k in range(160)] + [(k, "u", [30, 31, 32, 33, 34, 35, 1000 + k]) for k in range(160, 190)]
+    df = spark.createDataFrame(rows, "id long, user_id string, tokens array<long>")
+    for least in (0.45, 0.7):
+        part = {i: i for i, *_ in rows}
+        for i, u, x in rows:
+            for j, v, y in rows:
+                if i < j and u == v and u and x and y and len({*x} & {*y}) >= least * len({*x} | {*y}) - 1e-12 and part[i] != part[j]:
+                    part = {k: min(part[i], part[j]) if p in (part[i], part[j]) else p for k, p in part.items()}
+        for bucket in (1, 6, 256):
+            got = {i: i for i, *_ in rows}
+            for r in kn.linked_sets(df, least, "user_id", bucket).collect():
+                got = {k: min(got[r.a], got[r.b]) if p in (got[r.a], got[r.b]) else p for k, p in got.items()}
+            assert got == part
+
+
+def test_consolidation_moves_little_for_many_tenants(spark):
+    """Sentences alike in many tenants meet within each; before, all tenants met, were told apart behind the join, and every candidate moved."""
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    rng, old = random.Random(7), NOW - timedelta(days=30)
+    words = ["".join("bcdfghklmn"[int(d)] for d in str(n)) for n in range(1000, 1040)]
+    rows = [(f"m{u}-{k}", f"u{u}", "Decision", f"Robots {' '.join(rng.sample(words, 9))}.", 0.5, old) for u in range(60) for k in range(40)]
+    rows += [(f"{i}+", u, kind, f"{text[:-1]}!", c, t) for i, u, kind, text, c, t in rows if i.endswith("-7")]
+    df = spark.createDataFrame(rows, "id string, user_id string, experience_type string, content string, importance double, created_at timestamp")
+    before = moved()
+    got = kn.consolidated(df, F.lit(NOW), ["Decision"]).collect()
+    assert {r.user_id for r in got} == {f"u{u}" for u in range(60)}
+    assert moved() - before < 5_000_000
+
+
 def test_consolidated_facts_need_two_memories(spark):
     old = NOW - timedelta(days=30)
     rows = [
