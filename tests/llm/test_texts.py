@@ -57,6 +57,39 @@ def test_decoding_equals_brute_force_over_paths():
         assert tuple(got[:, lane]) == max(itertools.product(range(pii.TAGS), repeat=3), key=value)
 
 
+def test_scores_equal_a_plain_recurrence_over_each_window():
+    model = pii.load()
+    texts = ["Ask Xenia Velzoman.", "Tel: 415-555-0152 ext. 46. ID: QQ147901B, to be masked.", "Call with Xenia Velzoman: agreed to wait. " * 5]
+    codes = [pii.encode(t) for t in texts]
+    symbols = np.full((max(map(len, codes)), 3), pii._PAD, np.uint8)
+    for k, c in enumerate(codes):
+        symbols[: len(c), k] = c
+    got = pii.emissions(model, symbols, np.array([len(c) for c in codes]))
+    size = len(model["rec_f"]) // 4
+    for k, c in enumerate(codes):
+        want = np.tile(model["bias"].astype(float), (len(c), 1))
+        for weights, out, way in ((model["rec_f"], model["out"][:, :size], 1), (model["rec_b"], model["out"][:, size:], -1)):
+            h = cell = np.zeros(size)
+            for row, symbol in zip(want[::way], c[::way]):
+                z = weights.astype(float) @ np.concatenate([h, model["embed"][symbol]])
+                i, f, o = np.clip(z[: 3 * size] * 0.25 + 0.5, 0, 1).reshape(3, size)
+                cell = f * cell + i * np.tanh(z[3 * size :])
+                h = o * np.tanh(cell)
+                row += out @ h
+        assert np.abs(got[: len(c), :, k] - want).max() < 1e-4
+        assert (got[len(c) :, :, k].argmax(axis=1) == 0).all()
+
+
+def test_spans_of_a_text_do_not_depend_on_the_texts_beside_it():
+    model = pii.load()
+    texts = ["Ask daniel.kes4@example.com", "Call with Xenia Velzoman", "The retry loop kept stale tag lists. " * 12 + "Reach Xenia Velzoman"]
+    together = pii.raw_spans(model, texts)
+    for text, spans in zip(texts, together):
+        alone = pii.raw_spans(model, [text])[0]
+        assert spans and [s[:3] for s in spans] == [s[:3] for s in alone]
+        assert np.allclose([s[3] for s in spans], [s[3] for s in alone], rtol=1e-4)
+
+
 def test_decoding_of_stretches_equals_decoding_of_windows():
     model, rng = pii.load(), np.random.default_rng(4)
     scores = rng.standard_normal((60, pii.TAGS, 64)).astype(np.float32) * 3
