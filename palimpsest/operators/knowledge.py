@@ -22,6 +22,7 @@ from palimpsest.runtime import discard, materialize
 # Fixed values that results depend on.
 SAME_COSINE, SAME_JACCARD, SAME_WORDS_ONLY = 0.80, 0.30, 0.70
 CLUSTER_JACCARD, CLUSTER_SUPPORT = 0.45, 2
+HOT, HOT_AGE_DAYS, RELATED_LENGTH = 3.0, 3, 3
 NEGATION_MARKERS = "not n't never no none neither nor cannot can't won't don't doesn't didn't shouldn't wouldn't couldn't isn't aren't wasn't weren't hasn't haven't hadn't".split()
 OPPOSITION_MARKERS = ["not ", "n't ", "no ", "never ", "doesn't ", "don't ", "didn't ", "isn't ", "aren't ", "wasn't ", "weren't ", "won't ", "wouldn't ", "can't ", "cannot ", "couldn't ", "shouldn't ", "hasn't ", "haven't ", "hadn't "]
 OPPOSITES = [
@@ -137,7 +138,7 @@ def similar_sets(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _content_words(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", ""), r"\s+"), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
 
 
 def stem_codes(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -158,7 +159,7 @@ def stem_codes(rows: DataFrame, text: str = "text") -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), spread)], names=[*kept, "stems"])
 
-    asked = rows.select(*kept, F.coalesce(F.array_distinct(_content_words(F.col(text))), F.array().cast("array<string>")).alias("words"))
+    asked = rows.select(*kept, F.coalesce(_content_words(F.col(text)), F.array().cast("array<string>")).alias("words"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", stems array<string>"
     return asked.mapInArrow(run, schema).select(*kept, F.array_distinct(F.transform("stems", lambda t: F.xxhash64(t))).alias("tokens"))
 
@@ -195,12 +196,12 @@ def linked_sets(rows: DataFrame, least: float, within: str, bucket: int = BUCKET
     state = materialize(rows.select(F.xxhash64(within).alias("key"), "id", "tokens").mapInArrow(_rarest_first(counts), f"key long, id {rows.schema['id'].dataType.simpleString()}, size int, mark long, at int, tokens array<long>"))
 
     def met(some: DataFrame) -> DataFrame:
-        x = some.select("key", "id", "size", "mark", "tokens")
-        y = x.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "mark", "tokens")))
-        x, enough = x.withColumnRenamed("key", "key_a"), need("size", "size_b")
+        # Both sides are one plan without new names, so that they are shuffled once.
+        x, y = (some.select("key", "id", "size", "mark", "tokens").alias(side) for side in "xy")
+        enough = need("x.size", "y.size")
         apart = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
-        pair = (F.col("key_a") == F.col("key")) & (F.col("id") < F.col("id_b")) & (F.col("size") - apart("mark", "mark_b") >= enough) & (F.col("size_b") - apart("mark_b", "mark") >= enough) & (F.size(F.array_intersect("tokens", "tokens_b")) >= enough)
-        return x.join(y, pair).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.size") - apart("x.mark", "y.mark") >= enough) & (F.col("y.size") - apart("y.mark", "x.mark") >= enough) & (F.size(F.array_intersect("x.tokens", "y.tokens")) >= enough)
+        return x.join(y, pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     links, k = None, 0
     while True:
@@ -242,25 +243,53 @@ def stem_sets(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.join(tokens, "id")
 
 
-def consolidated(memories: DataFrame, now: Column, kinds: list[str], least_age_days: int = 7) -> DataFrame:
-    """Facts that several memories support: ``(user_id, fact, support, confidence, sources)``.
-
-    Candidates are the sentences of memories of ``kinds`` that are old enough, with their importance as confidence. Sentences alike
-    (stems, Jaccard >= ``CLUSTER_JACCARD``) form groups by connected components within a tenant; a group that ``CLUSTER_SUPPORT``
-    memories or more support gives one fact: its most confident sentence, the mean confidence, and the number of memories. The
-    greedy grouping that depends on the order of rows has no counterpart here. ``sources`` are the first ten ids.
+def _relations(told: DataFrame) -> DataFrame:
+    """``(user_id, fact, support, confidence, sources)`` of every two ``names`` of a ``memory``, "a relates to b". Names are compared in
+    lower case; short ones, stop words and those that are a part of another name of the memory stand for nothing of their own."""
+    known = F.array_sort(F.array_distinct(F.filter(F.transform("names", lambda e: F.lower(F.trim(e))), lambda e: (F.length(e) >= RELATED_LENGTH) & ~e.isin(STOP_WORDS))))
+    told = told.select("user_id", "memory", "confidence", known.alias("own")).where("size(own) > 1")
+    told = told.withColumn("own", F.filter("own", lambda e: ~F.exists("own", lambda o: (o != e) & o.contains(e))))
+    both = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = materialize(told.select("user_id", "memory", "confidence", F.explode(both).alias("p")).select("*", F.xxhash64("user_id", "p").alias("key")))
+    # The same two names in several memories; alike is not enough, or all relations of one name would be one group. Most pairs stand alone
+    # and are left behind before ids are gathered.
+    several = materialize(pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CLUSTER_SUPPORT).select("key"))
+    same = pairs.join(several, "key", "left_semi").groupBy("user_id", "p.x", "p.y").agg(F.count("*").alias("support"), F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list("memory")).alias("sources"))
+    return same.where(F.col("support") >= CLUSTER_SUPPORT).select("user_id", F.concat("x", F.lit(" relates to "), "y").alias("fact"), "support", "confidence", "sources")
+
+
+def consolidated(memories: DataFrame, now: Column, kinds: list[str] | None = None, least_age_days: int = 7, heat: Column | None = None, names: Column | None = None) -> DataFrame:
+    """Facts that several memories support: ``(user_id, fact, support, confidence, sources)``, of memories ``(id, user_id, content,
+    importance, created_at)``, each once, that are old enough. With ``heat`` those that are ``HOT_AGE_DAYS`` old and hot are old enough too;
+    ``kinds`` narrows the memories to types of experience.
+
+    Candidates are all sentences of a memory, with its importance as confidence. Sentences alike (stems, Jaccard >= ``CLUSTER_JACCARD``)
+    form groups by connected components within a tenant; a group that ``CLUSTER_SUPPORT`` memories or more support gives one fact: its most
+    confident sentence, the mean confidence, and the number of memories. The greedy grouping that depends on the order of rows has no
+    counterpart here. With ``names`` (an array of the names of a memory's entities) every two of them are a candidate too, and the
+    memories with the same two support it. ``sources`` are the ids of all memories of a fact, in order.
     """
-    old = memories.where(F.col("experience_type").isin(kinds) & (F.col("created_at") <= now - F.make_dt_interval(days=F.lit(least_age_days))))
-    said = old.select("user_id", F.col("id").alias("memory"), F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("confidence"), F.explode(F.array_distinct(sentences(F.col("content")))).alias("text"))
-    said = materialize(said.withColumn("id", F.xxhash64("user_id", F.lower("text"))))
-    wordings = materialize(stem_codes(said.groupBy("id").agg(F.first("text").alias("text"), F.first("user_id").alias("user_id"), F.count("*").alias("n"))))
-    groups = connected_components(linked_sets(wordings, CLUSTER_JACCARD, "user_id"), "a", "b")
+    aged = lambda days: F.col("created_at") <= now - F.make_dt_interval(days=F.lit(days))
+    ripe = aged(least_age_days) if heat is None else aged(least_age_days) | (aged(HOT_AGE_DAYS) & (heat >= HOT))
+    old = memories.where(ripe if kinds is None else ripe & F.col("experience_type").isin(kinds))
+    told = old.select("user_id", F.col("id").alias("memory"), F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("confidence"), F.array_distinct(sentences(F.col("content"))).alias("texts"), *([] if names is None else [names.alias("names")]))
+    told = materialize(told)
+    said = told.select("user_id", "memory", "confidence", F.explode("texts").alias("text")).withColumn("id", F.xxhash64("user_id", F.lower("text")))
+    # A code of the tenant stands for it, so that memories without one meet each other as well. Texts move only where several rows are one wording.
+    told_once = said.select("id", "text", F.xxhash64("user_id").alias("tenant"), F.lit(1).cast("long").alias("n"))
+    several = materialize(said.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"))
+    folded = told_once.drop("n").join(several, "id").groupBy("id").agg(F.first("text").alias("text"), F.first("tenant").alias("tenant"), F.first("n").alias("n"))
+    wordings = materialize(stem_codes(told_once.join(several, "id", "left_anti").union(folded)))
+    groups = connected_components(linked_sets(wordings, CLUSTER_JACCARD, "tenant"), "a", "b")
     # A sentence that is like no other counts only if enough memories have it.
     kept = wordings.select("id", "n").join(groups, F.col("id") == F.col("node"), "left").where(F.col("component").isNotNull() | (F.col("n") >= CLUSTER_SUPPORT))
-    full = said.join(kept.select("id", F.coalesce("component", "id").alias("group")), "id")
+    full = said.join(materialize(kept.select("id", F.coalesce("component", "id").alias("group"))), "id")
     best = full.groupBy("group", "user_id", "memory").agg(F.max("confidence").alias("confidence"), F.max_by("text", F.struct("confidence", "text")).alias("text"))
-    facts = best.groupBy("group", "user_id").agg(F.max_by("text", F.struct("confidence", "text")).alias("fact"), F.count("*").alias("support"), F.avg("confidence").alias("confidence"), F.min("memory").alias("source"))
-    return facts.where(F.col("support") >= CLUSTER_SUPPORT).select("user_id", "fact", "support", F.least("confidence", F.lit(1.0)).alias("confidence"), "source")
+    facts = best.groupBy("group", "user_id").agg(F.max_by("text", F.struct("confidence", "text")).alias("fact"), F.count("*").alias("support"), F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list("memory")).alias("sources"))
+    facts = facts.where(F.col("support") >= CLUSTER_SUPPORT).select("user_id", "fact", "support", "confidence", "sources")
+    if names is not None:
+        facts = facts.union(_relations(told))
+    return facts.withColumn("confidence", F.least("confidence", F.lit(1.0)))
 
 
 def temporal_facts(memories: DataFrame) -> DataFrame:

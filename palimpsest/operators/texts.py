@@ -94,7 +94,7 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, score: str = "score", k
 
 def sentences(text: Column) -> Column:
     """Split behind a stop that white space and a capital follow; common abbreviations and initials do not end a sentence."""
-    return F.filter(F.transform(F.split(text, r"(?<!\b(?:Mr|Dr|Ms|St|vs|Inc|Ltd|No|Fig)\.)(?<!\b[A-Z]\.)(?<=[.!?])\s+(?=[A-Z0-9])|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])(?=\s)(?<!\b(?:Mr|Dr|Ms|St|vs|Inc|Ltd|No|Fig)\.)(?<!\b[A-Z]\.)\s+(?=[A-Z0-9])|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def cooccurring_words(documents: DataFrame, key: str, text: str) -> DataFrame:

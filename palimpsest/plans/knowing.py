@@ -12,6 +12,7 @@ from palimpsest.operators import recall as rc
 from palimpsest.operators.vectors import cosine
 from palimpsest.plans.common import AS_OF_SQL, EDGES, FACTS, HOT_TENANT, MEMORIES, Registry, as_of, edges, facts, memories, r
 from palimpsest.plans.recalling import _IMPORTANT, _USABLE
+from palimpsest.plans.relating import _heat
 from palimpsest.runtime import table
 
 _reg = Registry()
@@ -47,9 +48,10 @@ def facts_duplicate(spark, folder):
 
 @_reg.add()
 def facts_consolidated(spark, folder):
-    """Tested against brute force on a fixture."""
-    kinds = ["Decision", "Learning", "Discovery", "Pattern", "Error", "Observation"]
-    return kn.consolidated(memories(spark, folder, F.col("experience_type").isin(kinds)), as_of(), kinds).withColumn("confidence", r("confidence"))
+    """Memories of all types, with every two of their entities. Tested against brute force on a fixture."""
+    old = table(spark, folder, "memories").where(F.col("created_at") <= as_of() - F.make_dt_interval(days=F.lit(kn.HOT_AGE_DAYS)))
+    rows = fl.once(old.select("id", "user_id", "content", "importance", "created_at", _heat().alias("heat"), F.transform("entities", lambda e: e["text"]).alias("names")))
+    return kn.consolidated(rows, as_of(), heat=F.col("heat"), names=F.col("names")).withColumn("confidence", r("confidence"))
 
 
 _TOLD = f"""s AS (SELECT id, user_id, created_at, [e.text for e in entities if e.text is not null] AS al, [trim(x) for x in string_split_regex(content, '[.!?]') if trim(x) <> ''] AS l FROM m WHERE created_at IS NOT NULL AND content IS NOT NULL),

@@ -146,12 +146,16 @@ def agg_narratives(spark, folder):
     return rel.narratives(f).select("user_id", "topic", "facts", "support", r("confidence").alias("confidence"))
 
 
+def _heat():
+    rich = sum(((F.coalesce(F.size(c), F.lit(0)) > 0).cast("int") for c in ("tags", "entities")), F.lit(0)) + sum((F.col(c).isNotNull().cast("int") for c in ("episode_id", "robot_id", "parent_id")), F.lit(0))
+    days = F.floor(sc.days_between(as_of(), F.col("created_at")))
+    return sc.heat(F.col("access_count"), rich, days)
+
+
 @_reg.add(_M + f"""SELECT id, round(access_count * ln(1 + (coalesce(len(tags), 0) > 0)::INT + (coalesce(len(entities), 0) > 0)::INT + (episode_id IS NOT NULL)::INT + (robot_id IS NOT NULL)::INT + (parent_id IS NOT NULL)::INT)
 / (1 + 0.1 * floor((epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / 86400000000)), 6) AS heat FROM m WHERE access_count > 0""")
 def agg_heat(spark, folder):
-    rich = sum(((F.coalesce(F.size(c), F.lit(0)) > 0).cast("int") for c in ("tags", "entities")), F.lit(0)) + sum((F.col(c).isNotNull().cast("int") for c in ("episode_id", "robot_id", "parent_id")), F.lit(0))
-    days = F.floor(sc.days_between(as_of(), F.col("created_at")))
-    return memories(spark, folder, "access_count > 0").select("id", r(sc.heat(F.col("access_count"), rich, days)).alias("heat"))
+    return memories(spark, folder, "access_count > 0").select("id", r(_heat()).alias("heat"))
 
 
 @_reg.add(f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, count(DISTINCT msg_type) AS kinds, (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000000 AS seconds FROM s GROUP BY 1")

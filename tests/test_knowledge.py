@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from palimpsest.operators import graph_index as gi
 from palimpsest.operators import knowledge as kn
 from palimpsest.operators import plasticity as pl
@@ -150,6 +151,60 @@ def test_consolidated_facts_need_two_memories(spark):
     assert kn.consolidated(df.limit(0), F.lit(NOW), ["Decision"]).count() == 0
 
 
+def test_consolidation_covers_all_types_hot_memories_relations_and_sources(spark, tmp_path):
+    """The query itself: before, eight of fourteen types, memories of three to seven days, relations and all sources but one were left out."""
+    at = datetime(2025, 6, 1, tzinfo=timezone.utc)
+    age = lambda days: at - timedelta(days=days)
+    names = lambda *texts: [{"text": t} for t in texts]
+    six, map_lost = ["Alpha", "bravo", "Charlie", "delta", "Echo", "foxtrot"], "Robots lost the map near the dock."
+    rows = [
+        ("m1", "u", map_lost, "Task", 0.5, age(30), 0, names(*six)), ("m2", "u", "The robots lost a map near docks!", "CodeEdit", 0.9, age(8), 0, names(*reversed(six), "bravo", "foxtrot line", "up", None)),
+        ("m3", "u", map_lost, "Conversation", 0.1, age(4), 9, None),  # hot: 9 * ln(1 + 1) / 1.4
+        ("m4", "u", map_lost, "Task", 0.1, age(4), 1, None), ("m5", "u", map_lost, "Task", 0.1, age(2), 900, None), ("m6", "u", map_lost, "Task", 0.1, age(4), None, None),
+        ("m7", None, "Queue depth stayed low today.", "Context", None, age(9), 0, None), ("m8", None, "Queue depth stayed low.", "Search", 0.4, age(9), 0, None), ("m9", "v", map_lost, "Command", 0.4, age(9), 0, names("Alpha", "bravo")), ("m1", "u", map_lost, "Task", 0.5, age(30), 0, names(*six)),
+    ]
+    shape = "id string, user_id string, content string, experience_type string, importance float, created_at timestamp, access_count int, entities array<struct<text: string>>"
+    df = spark.createDataFrame(rows, shape).withColumns({"tags": F.array(F.lit("t")), "episode_id": F.lit(None).cast("string"), "robot_id": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("string")})
+    df.write.parquet(f"{tmp_path}/memories.parquet")
+    got = {(r.user_id, r.fact): (r.support, r.confidence, r.sources) for r in entry.queries()["facts_consolidated"](spark, str(tmp_path)).collect()}
+    # "foxtrot" is a part of "foxtrot line" in m2, so it stands for nothing there; "up" is short.
+    pairs = [(x, y) for x in sorted(map(str.lower, six)) for y in sorted(map(str.lower, six)) if x < y and "foxtrot" not in (x, y)]
+    want = {("u", f"{x} relates to {y}"): (2, 0.7, ["m1", "m2"]) for x, y in pairs}
+    assert len(pairs) == 10 and got == want | {("u", "The robots lost a map near docks!"): (3, 0.5, ["m1", "m2", "m3"]), (None, "Queue depth stayed low."): (2, 0.2, ["m7", "m8"])}
+
+
+def test_consolidated_facts_equal_brute_force(spark):
+    rng, old = random.Random(11), NOW - timedelta(days=30)
+    words = ["robot", "dock", "map", "queue", "cache", "tenant", "planner", "vector", "lens", "gripper", "crate", "beacon"]
+    say = lambda: " ".join(rng.sample(words, rng.randint(3, 6))).capitalize() + "."
+    rows = [(f"m{k:03}", rng.choice(["u", "v", None]), " ".join(say() for _ in range(rng.randint(0, 2))) or None, round(rng.random(), 3), old, rng.sample(["Ada", "ada lake", "Bo", "Cyd", "Dee", "the"], rng.randint(0, 5))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, user_id string, content string, importance double, created_at timestamp, names array<string>")
+    got = [(r.user_id or "", r.fact, r.support, round(r.confidence, 9), r.sources) for r in kn.consolidated(df, F.lit(NOW), names=F.col("names")).collect()]
+    want, related, told = [], defaultdict(list), [(u or "", i, c, t + ".", {tx.stem(w) for w in t.lower().split()}) for i, u, text, c, _, _ in rows if text for t in text[:-1].split(". ")]
+    group = [*range(len(told))]
+    for a, (u, _, _, _, x) in enumerate(told):
+        for b, (v, _, _, _, y) in enumerate(told):
+            if u == v and len(x & y) >= 0.45 * len(x | y) - 1e-12 and group[a] != group[b]:
+                group = [group[a] if g == group[b] else g for g in group]
+    for g in {*group}:
+        own = {}
+        for k, (u, i, c, t, _) in enumerate(told):
+            if group[k] == g:
+                own[i] = max(own.get(i, (c, t)), (c, t))
+        if len(own) > 1:
+            want.append((told[group.index(g)][0], max(own.values())[1], len(own), round(sum(c for c, _ in own.values()) / len(own), 9), sorted(own)))
+    said = len(want)
+    for i, u, _, c, _, named in rows:
+        low = sorted({n.lower() for n in named if len(n) > 2 and n != "the"})
+        low = [n for n in low if not any(n != o and n in o for o in low)]
+        for x in low:
+            for y in low:
+                if x < y:
+                    related[u or "", f"{x} relates to {y}"].append((i, c))
+    want += [(u, fact, len(m), round(sum(c for _, c in m) / len(m), 9), [i for i, _ in m]) for (u, fact), m in related.items() if len(m) > 1]
+    assert sorted(got) == sorted(want) and len(want) > said > 2
+
+
 def test_momentum_equals_a_plain_fold(spark):
     rng = random.Random(2)
     rows = [(f"m{k % 3}", ["Learning", "Error", None][k % 3], NOW - timedelta(hours=rng.randint(1, 2000)), rng.uniform(-1, 1), rng.uniform(0.3, 1)) for k in range(60)] + [("m0", "Learning", NOW, None, 0.9), (None, "Error", NOW, 0.3, 0.9)]
